@@ -23,30 +23,33 @@ def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Da
 
 
 def suffix_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
-                suffixes=("", "_y"), right_on=None, broadcast_right: bool | int = False) -> DataFrame:
-    """Equi-join; overlapping non-key columns get ``suffixes`` (pandas.merge).
+                suffixes=("", "_y"), right_on=None, broadcast_right: bool | int = False,
+                keep_right_keys: bool = True) -> DataFrame:
+    """Equi-join with pandas.merge column rules.
 
-    ``right_on`` names the right keys when they differ (J13); the right key
-    columns are then dropped like pandas drops duplicate key columns.
+    A key pair with the same name on both sides becomes one column; when
+    the names differ (J13, ``right_on``) both key columns are kept.  Every
+    other name present on both sides gets ``suffixes``.
     """
     on = [on] if isinstance(on, str) else list(on)
     right_on = on if right_on is None else ([right_on] if isinstance(right_on, str) else list(right_on))
-    r_keys = {rk: lk for lk, rk in zip(on, right_on)}
-    left_cols = [c for c in left.columns]
-    right_rest = [c for c in right.columns if c not in r_keys]
-    overlap = (set(left_cols) - set(on)) & set(right_rest)
+    merged = {lk for lk, rk in zip(on, right_on) if lk == rk}
+    right_keep = [c for c in right.columns if c not in merged
+                  and (keep_right_keys or c not in right_on)]
+    overlap = (set(left.columns) - merged) & set(right_keep)
     ls, rs = suffixes
-    l2 = left.select(*[F.col(q(c)).alias(c + ls if c in overlap else c) for c in left_cols])
+    l2 = left.select(*[F.col(q(c)).alias(f"_lk{on.index(c)}") for c in on],
+                     *[F.col(q(c)).alias(c + ls if c in overlap else c) for c in left.columns])
     r2 = right.select(*[F.col(q(rk)).alias(f"_rk{i}") for i, rk in enumerate(right_on)],
-                      *[F.col(q(c)).alias(c + rs if c in overlap else c) for c in right_rest])
+                      *[F.col(q(c)).alias(c + rs if c in overlap else c) for c in right_keep])
     if broadcast_right:
         r2 = sized_broadcast(r2, DEFAULT_BROADCAST_ROWS if broadcast_right is True else int(broadcast_right))
     cond = None
-    for i, lk in enumerate(on):
-        c = l2[q(lk)] == r2[f"_rk{i}"]
+    for i in range(len(on)):
+        c = l2[f"_lk{i}"] == r2[f"_rk{i}"]
         cond = c if cond is None else cond & c
     out = l2.join(r2, cond, how)
-    return out.drop(*[f"_rk{i}" for i in range(len(on))])
+    return out.drop(*[f"_lk{i}" for i in range(len(on))], *[f"_rk{i}" for i in range(len(on))])
 
 
 def semi_join(left: DataFrame, right: DataFrame, on, anti: bool = False) -> DataFrame:

@@ -112,3 +112,369 @@ def q_curate_objects(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_dose_response_ec50(spark, sf_dir)
+
+
+# --------------------------------------------------------------------------
+# Curation-side aggregates and joins
+# --------------------------------------------------------------------------
+from morphospark.featureset import ORGANOID_KEYS  # noqa: E402
+from morphospark.functions.numeric import l2_norm  # noqa: E402
+from morphospark.operators import aggregate as A  # noqa: E402
+from morphospark.operators import dose as DS  # noqa: E402
+from morphospark.operators import ranking as RK  # noqa: E402
+from morphospark.operators import report as RP  # noqa: E402
+from morphospark.operators import scale as SC  # noqa: E402
+from morphospark.operators.joins import suffix_join  # noqa: E402
+from morphospark.operators.rows import cross_section  # noqa: E402
+
+_ORG = O.with_(*O.ORG_CHAIN)
+_FEATS_SQL = ", ".join(O.FEATURES)
+
+
+@register("organoid_summary", _ORG + "SELECT Drug, Cell, \"Conc /uM\", count(l_quantity) AS Organoids, "
+          + ", ".join(f"count({c}) AS {c}" for c in O.FEATURES[1:])
+          + " FROM organoids GROUP BY Drug, Cell, \"Conc /uM\"")
+def q_organoid_summary(spark, sf_dir):
+    fs = organoids(spark, sf_dir)
+    return A.count_non_null(fs.df, ["Drug", "Cell", "Conc /uM"], list(fs.features), first_name="Organoids")
+
+
+@register("nuclei_summary", O.with_(O.OBJECTS, O.META, O.CELLS)
+          + "SELECT Drug, Cell, \"Conc /uM\", count(l_quantity) AS Nuclei, "
+          + ", ".join(f"count({c}) AS {c}" for c in O.FEATURES[1:])
+          + " FROM cells GROUP BY Drug, Cell, \"Conc /uM\"")
+def q_nuclei_summary(spark, sf_dir):
+    fs = cells(spark, sf_dir)
+    return A.count_non_null(fs.df, ["Drug", "Cell", "Conc /uM"], list(fs.features), first_name="Nuclei")
+
+
+@register("object_totals", _ORG + "SELECT (SELECT count(l_quantity) FROM cells) AS Nuclei, "
+          "(SELECT count(l_quantity) FROM organoids) AS Organoids")
+def q_object_totals(spark, sf_dir):
+    n = A.object_total(cells(spark, sf_dir).df, "l_quantity", "Nuclei")
+    o = A.object_total(organoids(spark, sf_dir).df, "l_quantity", "Organoids")
+    return n.unionByName(o, allowMissingColumns=True).agg(
+        F.max("Nuclei").alias("Nuclei"), F.max("Organoids").alias("Organoids"))
+
+
+@register("date_drug_counts", _ORG + "SELECT Date, Drug, Cell, count(*) AS size FROM organoids GROUP BY ALL")
+def q_date_drug_counts(spark, sf_dir):
+    return A.group_size(organoids(spark, sf_dir).df, ["Date", "Drug", "Cell"])
+
+
+@register("largest_organoid_per_image", O.with_(O.ORGANOID_PARENTS) + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY ImageNumber ORDER BY AreaShape_Area DESC, ObjectNumber) AS rn
+      FROM org)
+SELECT ImageNumber, ObjectNumber, round(AreaShape_Area, 6) AS AreaShape_Area,
+       round(l_extendedprice, 6) AS l_extendedprice, Children_Count FROM r WHERE rn = 1""")
+def q_largest_organoid_per_image(spark, sf_dir):
+    org = D.organoids(spark, sf_dir)
+    return stable(A.row_of_group_max(org, "ImageNumber", "AreaShape_Area", "ObjectNumber"))
+
+
+@register("objects_join_organoids", O.with_(O.OBJECTS, O.ORGANOID_PARENTS) + """
+SELECT o.ImageNumber, o.ObjectNumber, o.Metadata_FileLocation, o.l_linenumber, o.l_partkey,
+       o.l_quantity, round(o.l_extendedprice, 6) AS l_extendedprice, o.l_tax, o.p_size,
+       o.p_retailprice, round(g.AreaShape_Area, 6) AS AreaShape_Area,
+       round(g.l_extendedprice, 6) AS l_extendedprice_Organoid, g.Children_Count
+FROM objects o JOIN org g ON o.ObjectNumber = g.ObjectNumber AND o.ImageNumber = g.ImageNumber""")
+def q_objects_join_organoids(spark, sf_dir):
+    j = suffix_join(D.objects(spark, sf_dir), D.organoids(spark, sf_dir),
+                    on=["ObjectNumber", "ImageNumber"], how="inner", suffixes=("", "_Organoid"))
+    return stable(j)
+
+
+@register("parent_child_join", O.with_(O.OBJECTS, O.ORGANOID_PARENTS) + """
+SELECT g.ImageNumber, g.ObjectNumber AS ObjectNumber_Organoid, round(g.AreaShape_Area, 6) AS AreaShape_Area,
+       round(g.l_extendedprice, 6) AS l_extendedprice_Organoid, g.Children_Count,
+       o.ObjectNumber AS ObjectNumber_Nuclei, o.l_linenumber, o.l_partkey, o.l_quantity,
+       round(o.l_extendedprice, 6) AS l_extendedprice_Nuclei, o.l_tax, o.p_size, o.p_retailprice
+FROM org g JOIN objects o ON g.ObjectNumber = o.l_linenumber AND g.ImageNumber = o.ImageNumber""")
+def q_parent_child_join(spark, sf_dir):
+    objs = D.objects(spark, sf_dir).drop("Metadata_FileLocation")
+    j = suffix_join(D.organoids(spark, sf_dir), objs, on=["ObjectNumber", "ImageNumber"],
+                    right_on=["l_linenumber", "ImageNumber"], how="inner",
+                    suffixes=("_Organoid", "_Nuclei"), keep_right_keys=True)
+    return stable(j)
+
+
+# --------------------------------------------------------------------------
+# Feature ~ dose correlation (E5)
+# --------------------------------------------------------------------------
+_CORR = """corr AS (
+  SELECT Drug, Features,
+         covar_pop("Conc /uM", _v) / nullif(stddev_pop("Conc /uM") * stddev_pop(_v), 0) AS Correlation
+  FROM """ + O.tall("cells", 'Drug, "Conc /uM"') + """ GROUP BY Drug, Features
+)"""
+_CELLS = O.with_(O.OBJECTS, O.META, O.CELLS)
+
+
+def _drug_corr(spark, sf_dir):
+    fs = cells(spark, sf_dir)
+    return DS.feature_dose_correlation(fs.df, fs.features, by=["Drug"])
+
+
+@register("feature_dose_correlation", _CELLS + "," + _CORR +
+          " SELECT Drug, Features, round(Correlation, 6) AS Correlation FROM corr")
+def q_feature_dose_correlation(spark, sf_dir):
+    return stable(_drug_corr(spark, sf_dir))
+
+
+@register("feature_dose_correlation_overall", _CELLS + """,
+c AS (SELECT Features, covar_pop("Conc /uM", _v) / nullif(stddev_pop("Conc /uM") * stddev_pop(_v), 0) AS Correlation
+      FROM """ + O.tall("cells", '"Conc /uM"') + """ GROUP BY Features)
+SELECT Features, round(Correlation, 6) AS Correlation,
+       round(CASE WHEN stddev_pop(Correlation) OVER () = 0 THEN 0.0
+             ELSE (Correlation - avg(Correlation) OVER ()) / stddev_pop(Correlation) OVER () END, 6)
+         AS Correlation_scaled
+FROM c""")
+def q_feature_dose_correlation_overall(spark, sf_dir):
+    fs = cells(spark, sf_dir)
+    c = DS.feature_dose_correlation(fs.df, fs.features, by=())
+    return stable(DS.standardise_column(c, "Correlation", "Correlation_scaled"))
+
+
+@register("best_correlator", _CELLS + "," + _CORR + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY Drug ORDER BY Correlation DESC, Features DESC) AS rn
+      FROM corr WHERE Correlation IS NOT NULL)
+SELECT Drug, Features, round(Correlation, 6) AS Correlation FROM r WHERE rn = 1""")
+def q_best_correlator(spark, sf_dir):
+    return stable(DS.best_per_group(_drug_corr(spark, sf_dir)))
+
+
+@register("best_correlator_values", O.with_(*O.ORG_CHAIN) + "," + _CORR + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY Drug ORDER BY Correlation DESC, Features DESC) AS rn
+      FROM corr WHERE Correlation IS NOT NULL),
+best AS (SELECT Drug, Features AS Feature FROM r WHERE rn = 1),
+t AS """ + O.tall("organoids", O.ORG_KEYS_SQL, name="Feature", value="Magnitude") + """
+SELECT t.Date, t.Drug, t.Cell, t.Replicate, t."Conc /uM", t.ImageNumber, t.Feature,
+       round(t.Magnitude, 6) AS Magnitude
+FROM t JOIN best b ON t.Drug = b.Drug AND t.Feature = b.Feature""")
+def q_best_correlator_values(spark, sf_dir):
+    best = DS.best_per_group(_drug_corr(spark, sf_dir))
+    org = organoids(spark, sf_dir)
+    return stable(DS.best_feature_values(org.df, ORGANOID_KEYS, org.features, best))
+
+
+# --------------------------------------------------------------------------
+# Scaling (MM7 at fixed lambda, MM8, MM9, MM20)
+# --------------------------------------------------------------------------
+FIXED_LAMBDAS = {"l_quantity": 0.0, "l_extendedprice": 0.5, "l_tax": 2.0, "p_size": 1.0,
+                 "p_retailprice": -1.0, "o_totalprice": 1.5}
+
+
+def _std_sql(src="organoids"):
+    return ("std AS (SELECT " + O.ORG_KEYS_SQL + ", " + ", ".join(
+        f"{O.zscore_sql(c)} AS {c}" for c in O.FEATURES) + f" FROM {src})")
+
+
+@register("standard_scaled_organoids", _ORG + "," + _std_sql() + " SELECT " + O.ORG_KEYS_SQL + ", "
+          + ", ".join(f"round({c}, 6) AS {c}" for c in O.FEATURES) + " FROM std")
+def q_standard_scaled_organoids(spark, sf_dir):
+    return stable(SC.standard_scale(organoids(spark, sf_dir)).select())
+
+
+@register("yeo_johnson_fixed", _ORG + "," + _std_sql() + ",\nyj AS (SELECT " + O.ORG_KEYS_SQL + ", "
+          + ", ".join(f"{O.yj_sql(c, FIXED_LAMBDAS[c])} AS {c}" for c in O.FEATURES) + " FROM std)\n"
+          + "SELECT " + O.ORG_KEYS_SQL + ", " + ", ".join(f"round({O.zscore_sql(c)}, 6) AS {c}" for c in O.FEATURES)
+          + " FROM yj")
+def q_yeo_johnson_fixed(spark, sf_dir):
+    std = SC.standard_scale(organoids(spark, sf_dir))
+    return stable(SC.apply_yeo_johnson(std, FIXED_LAMBDAS).select())
+
+
+@register("yeo_johnson_lambdas")
+def q_yeo_johnson_lambdas(spark, sf_dir):
+    fs = organoids(spark, sf_dir)
+    lam = SC.fit_yeo_johnson(fs)
+    return spark.createDataFrame([(c, lam[c]) for c in fs.features], "feature string, lambda double")
+
+
+@register("power_transformed_organoids")
+def q_power_transformed_organoids(spark, sf_dir):
+    fs, _ = SC.power_transform(organoids(spark, sf_dir))
+    return stable(fs.select())
+
+
+@register("robust_scaled_organoids", _ORG + ",\nqs AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.25) AS {c}_q1, median({c}) AS {c}_med, quantile_cont({c}, 0.75) AS {c}_q3"
+    for c in O.FEATURES) + " FROM organoids)\nSELECT " + O.ORG_KEYS_SQL + ", " + ", ".join(
+    f"round(CASE WHEN {c}_q3 - {c}_q1 = 0 THEN {c} - {c}_med ELSE ({c} - {c}_med) / ({c}_q3 - {c}_q1) END, 6) AS {c}"
+    for c in O.FEATURES) + " FROM organoids, qs")
+def q_robust_scaled_organoids(spark, sf_dir):
+    return stable(SC.robust_scale(organoids(spark, sf_dir)).select())
+
+
+@register("normalized_organoids", _ORG + ",\nn AS (SELECT *, sqrt(" + " + ".join(f"{c}*{c}" for c in O.FEATURES)
+          + ") AS _norm FROM organoids)\nSELECT " + O.ORG_KEYS_SQL + ", " + ", ".join(
+              f"round(CASE WHEN _norm = 0 THEN {c} ELSE {c} / _norm END, 6) AS {c}" for c in O.FEATURES)
+          + " FROM n")
+def q_normalized_organoids(spark, sf_dir):
+    return stable(SC.normalize_rows(organoids(spark, sf_dir)).select())
+
+
+@register("sigma_clip_report", _ORG + ",\nt AS " + O.tall("organoids", "ImageNumber", name="feature") + """,
+z AS (SELECT feature, CASE WHEN stddev_pop(_v) OVER (PARTITION BY feature) = 0 THEN 0.0
+        ELSE abs((_v - avg(_v) OVER (PARTITION BY feature)) / stddev_pop(_v) OVER (PARTITION BY feature)) END AS az
+      FROM t)
+SELECT feature, round(max(az), 6) AS max_abs_z, NOT (max(az) > 3.0) AS kept FROM z GROUP BY feature""")
+def q_sigma_clip_report(spark, sf_dir):
+    return stable(SC.sigma_clip_report(organoids(spark, sf_dir), 3.0))
+
+
+# --------------------------------------------------------------------------
+# Ordering, splits, balancing, label codes
+# --------------------------------------------------------------------------
+def _org_hash():
+    return RK.hash_order_key(["ImageNumber", "Date", "Drug", "Cell", "Replicate",
+                              F.format_string("%.3f", F.col("`Conc /uM`"))], seed=0)
+
+
+@register("balanced_heads", _ORG + ",\nh AS (SELECT " + O.ORG_KEYS_SQL + ", " + O.ORG_HASH + """ AS _h FROM organoids),
+r AS (SELECT *, row_number() OVER (PARTITION BY Drug ORDER BY _h) AS rn, count(*) OVER (PARTITION BY Drug) AS cnt FROM h)
+SELECT """ + O.ORG_KEYS_SQL + " FROM r WHERE rn <= (SELECT min(cnt) FROM r)")
+def q_balanced_heads(spark, sf_dir):
+    df = organoids(spark, sf_dir).df.select(*[q(k) for k in ORGANOID_KEYS]).withColumn("_h", _org_hash())
+    return RK.balanced_heads(df, "Drug", ["_h"]).drop("_h")
+
+
+@register("ordered_split_by_date", _ORG + ",\nh AS (SELECT " + O.ORG_KEYS_SQL + ", " + O.ORG_HASH + """ AS _h
+  FROM organoids WHERE Cell = 'ISO49'),
+r AS (SELECT *, row_number() OVER (ORDER BY Date, _h) AS rn, count(*) OVER () AS n FROM h)
+SELECT Date, Drug, Replicate, "Conc /uM", ImageNumber, rn <= n - ceil(n / 2.0) AS is_train FROM r""")
+def q_ordered_split_by_date(spark, sf_dir):
+    df = cross_section(organoids(spark, sf_dir).df, "Cell", "ISO49")
+    df = df.select("Date", "Drug", "Replicate", "`Conc /uM`", "ImageNumber").withColumn(
+        "Cell", F.lit("ISO49")).withColumn("_h", _org_hash())
+    return RK.split_flag_ordered(df, ["Date", "_h"]).drop("_h", "Cell")
+
+
+@register("label_codes", _ORG + """
+SELECT Drug, CAST(dense_rank() OVER (ORDER BY Drug) - 1 AS BIGINT) AS label_code
+FROM (SELECT DISTINCT Drug FROM organoids)""")
+def q_label_codes(spark, sf_dir):
+    df = organoids(spark, sf_dir).df.select("Drug").distinct()
+    return RK.label_codes(df, "Drug")
+
+
+@register("importance_cumsum", _CELLS + """,
+c AS (SELECT Features AS Feature, abs(covar_pop("Conc /uM", _v) / nullif(stddev_pop("Conc /uM") * stddev_pop(_v), 0)) AS a
+      FROM """ + O.tall("cells", '"Conc /uM"') + """ GROUP BY Features),
+imp AS (SELECT Feature, a / sum(a) OVER () AS importance FROM c)
+SELECT Feature, round(importance, 6) AS importance,
+       round(sum(importance) OVER (ORDER BY importance DESC, Feature ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6)
+         AS cumulative_importance
+FROM imp""")
+def q_importance_cumsum(spark, sf_dir):
+    fs = cells(spark, sf_dir)
+    c = DS.feature_dose_correlation(fs.df, fs.features, by=()).select(
+        F.col("Features").alias("Feature"), F.abs("Correlation").alias("a"))
+    total = c.agg(F.sum("a")).first()[0]
+    imp = c.select("Feature", (F.col("a") / F.lit(total)).alias("importance"))
+    return stable(RK.running_total(imp, "importance", "importance", "Feature"))
+
+
+@register("top_correlations", _CELLS + "," + _CORR + """
+SELECT Drug, Features, round(Correlation, 6) AS Correlation FROM corr
+WHERE Correlation IS NOT NULL ORDER BY abs(Correlation) DESC, Drug, Features LIMIT 10""")
+def q_top_correlations(spark, sf_dir):
+    c = _drug_corr(spark, sf_dir).filter(F.col("Correlation").isNotNull())
+    return stable(RK.top_k(c, [F.abs("Correlation").desc(), F.col("Drug"), F.col("Features")], 10))
+
+
+@register("dose_cross_section_with_control", _ORG + """
+SELECT """ + O.ORG_KEYS_SQL + ", round(l_quantity, 6) AS l_quantity FROM organoids WHERE \"Conc /uM\" = 0.05 "
+          "UNION ALL SELECT " + O.ORG_KEYS_SQL + ", round(l_quantity, 6) AS l_quantity FROM organoids WHERE Drug = 'Control'")
+def q_dose_cross_section_with_control(spark, sf_dir):
+    df = organoids(spark, sf_dir).df.select(*[q(k) for k in ORGANOID_KEYS], "l_quantity")
+    a = cross_section(df, "Conc /uM", 0.05, drop_level=False)
+    b = cross_section(df, "Drug", "Control", drop_level=False)
+    return stable(a.unionByName(b))
+
+
+@register("drug_set_minus", _ORG + """
+SELECT DISTINCT Drug FROM organoids WHERE Drug NOT IN ('Control', 'Vemurafenib')""")
+def q_drug_set_minus(spark, sf_dir):
+    from morphospark.operators.reshape import label_set_minus
+
+    return label_set_minus(organoids(spark, sf_dir).df, "Drug", ["Control", "Vemurafenib"])
+
+
+# --------------------------------------------------------------------------
+# Reports over a deterministic classifier
+# --------------------------------------------------------------------------
+def lang_rule():
+    """Keyword rule over the whole text (a deterministic stand-in classifier)."""
+    return (F.when(F.instr("text", " the ") > 0, "en").when(F.instr("text", " der ") > 0, "de")
+            .when(F.instr("text", " el ") > 0, "es").when(F.instr("text", " le ") > 0, "fr")
+            .otherwise("en"))
+
+
+def predictions(spark, sf_dir):
+    d = D.table(spark, sf_dir, "documents")
+    return d.select("doc_id", "source", F.col("lang").alias("truth"), lang_rule().alias("pred"))
+
+
+_PRED = O.with_(O.PREDICTIONS)
+
+
+@register("confusion_counts", _PRED + """,
+cl AS (SELECT truth AS c FROM preds UNION SELECT pred FROM preds),
+g AS (SELECT a.c AS truth, b.c AS pred FROM cl a, cl b),
+cnt AS (SELECT truth, pred, count(*) AS n FROM preds GROUP BY ALL)
+SELECT g.truth, g.pred, coalesce(cnt.n, 0) AS count FROM g LEFT JOIN cnt USING (truth, pred)""")
+def q_confusion_counts(spark, sf_dir):
+    return RP.confusion_counts(predictions(spark, sf_dir), "truth", "pred")
+
+
+_REPORT_SQL = _PRED + "," + O.CLASS_COUNTS + """,
+rep AS (SELECT label,
+   coalesce(CAST(tp AS DOUBLE) / nullif(predicted, 0), 0.0) AS precision,
+   coalesce(CAST(tp AS DOUBLE) / nullif(support, 0), 0.0) AS recall, CAST(support AS DOUBLE) AS support
+ FROM cls2),
+rep2 AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS "f1-score" FROM rep)"""
+
+
+@register("classification_report", _REPORT_SQL + """
+SELECT label, Metric, round(Score, 6) AS Score FROM
+(UNPIVOT rep2 ON precision, recall, "f1-score", support INTO NAME Metric VALUE Score)""")
+def q_classification_report(spark, sf_dir):
+    return stable(RP.report_tall(predictions(spark, sf_dir), "truth", "pred"))
+
+
+@register("roc_auc_hard", _PRED + "," + O.CLASS_COUNTS + """
+SELECT label, round(CAST(tp AS DOUBLE) / nullif(support, 0), 6) AS tpr,
+       round(CAST(predicted - tp AS DOUBLE) / nullif(n_total - support, 0), 6) AS fpr,
+       round((1 + CAST(tp AS DOUBLE) / nullif(support, 0) - CAST(predicted - tp AS DOUBLE) / nullif(n_total - support, 0)) / 2, 6) AS auc
+FROM cls2""")
+def q_roc_auc_hard(spark, sf_dir):
+    return stable(RP.roc_auc_hard(predictions(spark, sf_dir), "truth", "pred"))
+
+
+@register("balanced_accuracy", _PRED + "," + O.CLASS_COUNTS + """
+SELECT round(avg(CAST(tp AS DOUBLE) / support), 6) AS balanced_accuracy FROM cls2 WHERE support > 0""")
+def q_balanced_accuracy(spark, sf_dir):
+    return stable(RP.balanced_accuracy(predictions(spark, sf_dir), "truth", "pred"))
+
+
+@register("accuracy", _PRED + """
+SELECT round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM preds""")
+def q_accuracy(spark, sf_dir):
+    return stable(RP.accuracy_table(predictions(spark, sf_dir), "truth", "pred"))
+
+
+@register("accuracy_per_source", _PRED + """
+SELECT source, round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM preds GROUP BY source""")
+def q_accuracy_per_source(spark, sf_dir):
+    return stable(A.group_accuracy(predictions(spark, sf_dir), ["source"], "truth", "pred"))
+
+
+@register("predicted_fraction", _PRED + """,
+w AS (SELECT truth, count(*) FILTER (WHERE pred = 'de') AS de, count(*) FILTER (WHERE pred = 'en') AS en,
+             count(*) FILTER (WHERE pred = 'es') AS es, count(*) FILTER (WHERE pred = 'fr') AS fr
+      FROM preds GROUP BY truth)
+SELECT truth, round(de / nullif(en, 0), 6) AS de, round(en / nullif(en, 0), 6) AS en,
+       round(es / nullif(en, 0), 6) AS es, round(fr / nullif(en, 0), 6) AS fr FROM w""")
+def q_predicted_fraction(spark, sf_dir):
+    return stable(RP.predicted_fraction(predictions(spark, sf_dir), ["truth"], "pred", "en",
+                                        classes=["de", "en", "es", "fr"]))

@@ -102,3 +102,53 @@ def with_(*ctes: str) -> str:
 def r6(expr: str, alias: str | None = None) -> str:
     alias = alias or expr
     return f'round({expr}, 6) AS "{alias}"' if not alias.isidentifier() else f"round({expr}, 6) AS {alias}"
+
+
+ORG_CHAIN = (OBJECTS, META, CELLS, ORGANOIDS)
+
+ORGANOID_PARENTS = """org AS (
+  SELECT l_orderkey AS ImageNumber, CAST(l_linenumber AS BIGINT) AS ObjectNumber,
+         sum(l_quantity) AS AreaShape_Area, avg(l_extendedprice) AS l_extendedprice,
+         count(*) AS Children_Count
+  FROM lineitem GROUP BY l_orderkey, l_linenumber
+)"""
+
+# the language rule used as a deterministic classifier over whole texts
+LANG_RULE = """CASE WHEN contains(text, ' the ') THEN 'en' WHEN contains(text, ' der ') THEN 'de'
+            WHEN contains(text, ' el ') THEN 'es' WHEN contains(text, ' le ') THEN 'fr'
+            ELSE 'en' END"""
+PREDICTIONS = f"""preds AS (
+  SELECT doc_id, source, lang AS truth, {LANG_RULE} AS pred FROM documents
+)"""
+
+CLASS_COUNTS = """cls AS (
+  SELECT coalesce(t.label, p.label) AS label, coalesce(t.support, 0) AS support,
+         coalesce(t.tp, 0) AS tp, coalesce(p.predicted, 0) AS predicted
+  FROM (SELECT truth AS label, count(*) AS support, sum(CASE WHEN truth = pred THEN 1 ELSE 0 END) AS tp
+        FROM preds GROUP BY truth) t
+  FULL JOIN (SELECT pred AS label, count(*) AS predicted FROM preds GROUP BY pred) p
+  ON t.label = p.label
+),
+cls2 AS (SELECT *, sum(support) OVER () AS n_total FROM cls)"""
+
+
+def tall(src: str, keys: str, feats=FEATURES, name: str = "Features", value: str = "_v") -> str:
+    return (f"(UNPIVOT (SELECT {keys}, " + ", ".join(feats) + f" FROM {src}) ON "
+            + ", ".join(feats) + f" INTO NAME {name} VALUE {value})")
+
+
+def yj_sql(x: str, lam: float) -> str:
+    eps = 2.220446049250313e-16
+    pos = f"ln(1 + {x})" if abs(lam) < eps else f"((pow({x} + 1, {lam!r}) - 1) / {lam!r})"
+    neg = (f"(-(pow(-{x} + 1, {2.0 - lam!r}) - 1) / {2.0 - lam!r})" if abs(lam - 2.0) > eps
+           else f"(-ln(1 - {x}))")
+    return f"CASE WHEN {x} >= 0 THEN {pos} ELSE {neg} END"
+
+
+def zscore_sql(x: str) -> str:
+    return (f"CASE WHEN stddev_pop({x}) OVER () = 0 THEN {x} - avg({x}) OVER () "
+            f"ELSE ({x} - avg({x}) OVER ()) / stddev_pop({x}) OVER () END")
+
+
+ORG_HASH = ("md5(concat_ws('|', CAST(ImageNumber AS VARCHAR), Date, Drug, Cell, Replicate, "
+            "printf('%.3f', \"Conc /uM\"), '0'))")
