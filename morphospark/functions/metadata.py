@@ -40,15 +40,43 @@ def control_label(drug: Column, dose: Column) -> Column:
     return F.when(dose == 0, F.lit(CONTROL)).otherwise(drug)
 
 
+_SEP = "\u0001"
+
+
+def path_parts(path: Column) -> Column:
+    """F1 in one regex evaluation: array(Date, Cell, Drug, Concentration,
+    Position) of the first match (re.search semantics), or a 1-element
+    array (the path itself) when the pattern does not match."""
+    whole = "^.*?(?:" + PATTERN_NOFLAGS + ").*$"
+    repl = _SEP.join(f"${i}" for i in range(1, 6))
+    return F.split(F.regexp_replace(path, whole, repl), _SEP)
+
+
+PATTERN_NOFLAGS = PATH_PATTERN
+
+
 def add_path_metadata(df: DataFrame, path_col: str = "Metadata_FileLocation",
                       zero_is_control: bool = True, strict: bool = True) -> DataFrame:
-    """Add Date, Drug, Cell, Replicate, `Conc /uM` from the path column."""
-    path = F.col(q(path_col))
-    dose = dose_from_text(extract(path, "Concentration"), strict)
-    drug = extract(path, "Drug")
-    return df.withColumns({
-        "Date": extract(path, "Date"),
-        "Cell": extract(path, "Cell"),
-        "Replicate": F.coalesce(extract(path, "Position"), F.lit(DEFAULT_REPLICATE)),
+    """Add Date, Drug, Cell, Replicate, `Conc /uM` from the path column.
+
+    The five groups come from one regex evaluation, emitted through a
+    generator (``inline``) so that later row filters on the keys (P11, P12)
+    are not pushed beneath it and re-evaluate the regex once per key.
+    """
+    parts = path_parts(F.col(q(path_col)))
+    df = df.select("*", F.inline(F.array(F.struct(parts.alias("_parts")))))
+    ok = F.size("_parts") == 5
+
+    def grp(i):
+        return F.when(ok, F.nullif(F.col("_parts")[i], F.lit("")))
+
+    dose = dose_from_text(grp(3), strict)
+    drug = grp(2)
+    out = df.withColumns({
+        "Date": grp(0),
+        "Cell": grp(1),
+        "Replicate": F.coalesce(grp(4), F.lit(DEFAULT_REPLICATE)),
         DOSE: dose,
-    }).withColumn("Drug", control_label(drug, F.col(q(DOSE))) if zero_is_control else drug)
+    })
+    out = out.withColumn("Drug", control_label(drug, F.col(q(DOSE))) if zero_is_control else drug)
+    return out.drop("_parts")

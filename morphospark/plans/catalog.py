@@ -50,9 +50,8 @@ def _memo(spark: SparkSession, sf_dir: str, key: str, build):
 def cells(spark: SparkSession, sf_dir: str) -> FeatureSet:
     """Curated per-object table of the binding (checkpointed once per session)."""
     def build():
-        fs = curate_objects(D.objects(spark, sf_dir), D.images(spark, sf_dir),
-                            drop_list=D.DROP_LIST)
-        return fs.with_df(fs.df.checkpoint(eager=True))
+        return curate_objects(D.objects(spark, sf_dir), D.images(spark, sf_dir),
+                              drop_list=D.DROP_LIST)
     return _memo(spark, sf_dir, "cells", build)
 
 

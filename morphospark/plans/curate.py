@@ -36,12 +36,18 @@ def annotate(objects: DataFrame, images: DataFrame | None = None,
 
 
 def curate_objects(objects: DataFrame, images: DataFrame | None = None, drop_list=(),
-                   **kw) -> FeatureSet:
-    """Per-object FeatureSet keyed by the 7 index keys."""
+                   stage: bool = True, **kw) -> FeatureSet:
+    """Per-object FeatureSet keyed by the 7 index keys.
+
+    With ``stage`` the joined numeric table is checkpointed (reliable
+    storage) before the P5 null-count action, so the path parsing and the
+    join run once; the returned plan reads the staged rows.
+    """
     df = drop_listed(annotate(objects, images, **kw), drop_list)
-    fs = keep_numeric(df, INDEX_KEYS)
-    fs = drop_null_features(fs)
-    return cast_features(fs)
+    fs = cast_features(keep_numeric(df, INDEX_KEYS))
+    if stage:
+        fs = fs.with_df(fs.df.checkpoint(eager=True))
+    return drop_null_features(fs)
 
 
 def median_per_organoid(cells: FeatureSet, method: str = "exact",
