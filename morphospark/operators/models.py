@@ -38,9 +38,10 @@ def make_estimator(name: str = "random_forest", seed: int = 0, **kw):
     if name == "random_forest":
         return RandomForestClassifier(
             featuresCol=FEATURES_VEC, labelCol=LABEL_IDX, seed=seed,
-            numTrees=kw.get("num_trees", 100), maxDepth=kw.get("max_depth", 20),
+            numTrees=kw.get("num_trees", 100), maxDepth=kw.get("max_depth", 12),
             featureSubsetStrategy="sqrt", maxBins=kw.get("max_bins", 32),
-            minInstancesPerNode=1, subsamplingRate=1.0, bootstrap=True)
+            minInstancesPerNode=1, subsamplingRate=1.0, bootstrap=True,
+            cacheNodeIds=True, maxMemoryInMB=kw.get("max_memory_mb", 1024))
     if name == "logistic_regression":
         return LogisticRegression(featuresCol=FEATURES_VEC, labelCol=LABEL_IDX, maxIter=kw.get("max_iter", 100))
     if name == "linear_svc":
@@ -85,7 +86,9 @@ class Classifier:
             raise ValueError("estimator has no probabilities")
         arr = vector_to_array("probability")
         names = F.array(*[F.lit(c) for c in self.classes])
+        # the indexer's extra "unknown" slot (handleInvalid="keep") is dropped
         long = out.select(*[q(c) for c in keep], F.posexplode(arr).alias("_i", "probability")) \
+            .filter(F.col("_i") < len(self.classes)) \
             .withColumn("class", F.element_at(names, F.col("_i") + 1)).drop("_i")
         if classes is not None:
             long = long.filter(F.col("class").isin(list(classes)))

@@ -477,3 +477,143 @@ SELECT truth, round(de / nullif(en, 0), 6) AS de, round(en / nullif(en, 0), 6) A
 def q_predicted_fraction(spark, sf_dir):
     return stable(RP.predicted_fraction(predictions(spark, sf_dir), ["truth"], "pred", "en",
                                         classes=["de", "en", "es", "fr"]))
+
+
+# --------------------------------------------------------------------------
+# Feature scores (MM13, MM14) on the per-object table, label = Drug
+# --------------------------------------------------------------------------
+from morphospark.operators import models as M  # noqa: E402
+from morphospark.operators import outliers as OUT  # noqa: E402
+from morphospark.operators import similarity as SIM  # noqa: E402
+
+_TALL_DRUG = "t AS " + O.tall("cells", "Drug", name="feature")
+
+
+@register("anova_f_scores", _CELLS + "," + _TALL_DRUG + """,
+g AS (SELECT feature, Drug, count(*) AS n, avg(_v) AS m, var_pop(_v) AS v FROM t GROUP BY ALL),
+tot AS (SELECT feature, count(*) AS ntot, avg(_v) AS mu FROM t GROUP BY feature),
+s AS (SELECT g.feature, sum(n * (m - mu) * (m - mu)) AS ssb, sum(n * v) AS ssw, count(*) AS k, any_value(ntot) AS ntot
+      FROM g JOIN tot USING (feature) GROUP BY g.feature)
+SELECT feature, round((ssb / (k - 1)) / nullif(ssw / (ntot - k), 0), 6) AS F FROM s""")
+def q_anova_f_scores(spark, sf_dir):
+    return stable(M.anova_f(cells(spark, sf_dir), "Drug"))
+
+
+@register("chi2_scores", _CELLS + "," + _TALL_DRUG + """,
+cls AS (SELECT Drug, count(*) / (SELECT count(*) FROM cells) AS p FROM cells GROUP BY Drug),
+obs AS (SELECT feature, Drug, sum(_v) AS o FROM t GROUP BY ALL),
+tot AS (SELECT feature, sum(_v) AS tt FROM t GROUP BY feature)
+SELECT feature, round(sum((o - p * tt) * (o - p * tt) / nullif(p * tt, 0)), 6) AS chi2
+FROM obs JOIN tot USING (feature) JOIN cls USING (Drug) GROUP BY feature""")
+def q_chi2_scores(spark, sf_dir):
+    return stable(M.chi2_scores(cells(spark, sf_dir), "Drug"))
+
+
+@register("mutual_info_binned", _CELLS + "," + _TALL_DRUG + """,
+r AS (SELECT feature, Drug, row_number() OVER (PARTITION BY feature ORDER BY _v, Drug) AS rn,
+             count(*) OVER (PARTITION BY feature) AS n FROM t),
+b AS (SELECT feature, Drug, n, floor((rn - 1) * 10 / n) AS bin FROM r),
+j AS (SELECT feature, bin, Drug, count(*) AS c, any_value(n) AS n FROM b GROUP BY ALL),
+pb AS (SELECT feature, bin, sum(c) AS cb FROM j GROUP BY ALL),
+py AS (SELECT feature, Drug, sum(c) AS cy FROM j GROUP BY ALL)
+SELECT feature, round(sum((c / n) * ln((c * n) / (cb * cy))), 6) AS mutual_info
+FROM j JOIN pb USING (feature, bin) JOIN py USING (feature, Drug) GROUP BY feature""")
+def q_mutual_info_binned(spark, sf_dir):
+    return stable(M.mutual_information_binned(cells(spark, sf_dir), "Drug", bins=10))
+
+
+# --------------------------------------------------------------------------
+# Outliers, PCA, clustering, classification, similarity (model-based: rows)
+# --------------------------------------------------------------------------
+# forest settings of the registered model queries (library default depth: 12)
+RF_TREES, RF_DEPTH = 100, 8
+
+
+def scaled_organoids(spark, sf_dir):
+    return _memo(spark, sf_dir, "scaled", lambda: SC.standard_scale(organoids(spark, sf_dir)))
+
+
+@register("isolation_forest_scores")
+def q_isolation_forest_scores(spark, sf_dir):
+    fs = organoids(spark, sf_dir)
+    model = OUT.fit_isolation_forest(fs, n_trees=100, max_samples=256, seed=0)
+    return OUT.score_isolation_forest(fs, model).select(*[q(k) for k in ORGANOID_KEYS], "anomaly_score")
+
+
+@register("isolation_inliers")
+def q_isolation_inliers(spark, sf_dir):
+    return OUT.isolation_inliers(organoids(spark, sf_dir), seed=0).select()
+
+
+@register("pca_organoids")
+def q_pca_organoids(spark, sf_dir):
+    out, _ = M.pca(scaled_organoids(spark, sf_dir), k=2)
+    return out.select()
+
+
+@register("kmeans_on_pcs")
+def q_kmeans_on_pcs(spark, sf_dir):
+    pcs, _ = M.pca(scaled_organoids(spark, sf_dir), k=2)
+    k = pcs.df.select("Drug").distinct().count()
+    labelled, _ = M.kmeans_labels(pcs, k=k, seed=0)
+    return labelled.select(*[q(c) for c in ORGANOID_KEYS], "PC1", "PC2", "cluster")
+
+
+@register("classification_study_drug")
+def q_classification_study_drug(spark, sf_dir):
+    from morphospark.plans.classification import classification_study
+
+    rep, _scores = classification_study(
+        scaled_organoids(spark, sf_dir), None, ["ISO49"], variables=["Drug"], seed=0, cv=5,
+        population_names=["Median per Organoid unsorted"], num_trees=RF_TREES, max_depth=RF_DEPTH)
+    return stable(rep)
+
+
+@register("pairwise_similarity")
+def q_pairwise_similarity(spark, sf_dir):
+    fs = scaled_organoids(spark, sf_dir)
+    sub = FeatureSet(fs.df.filter(F.col("Cell") == "ISO49"), fs.keys, fs.features)
+    long = SIM.pairwise_similarity(sub, "Drug", seed=0, num_trees=RF_TREES, max_depth=RF_DEPTH)
+    return stable(SIM.similarity_summary(long))
+
+
+@register("leave_one_out_similarity")
+def q_leave_one_out_similarity(spark, sf_dir):
+    fs = scaled_organoids(spark, sf_dir)
+    sub = FeatureSet(fs.df.filter(F.col("Cell") == "ISO49"), fs.keys, fs.features)
+    long = SIM.leave_one_out_similarity(sub, "Drug", seed=0, num_trees=RF_TREES, max_depth=RF_DEPTH)
+    return stable(SIM.pair_mean(long, exclude_self=False))
+
+
+# --------------------------------------------------------------------------
+# Post-model similarity operators on a deterministic score table (SQL)
+# --------------------------------------------------------------------------
+KEYWORDS = {"de": " der ", "en": " the ", "es": " el ", "fr": " le "}
+
+
+def keyword_shares(spark, sf_dir) -> DataFrame:
+    """(doc_id, Drug=lang, Predicted Drug, Similarity): each language's share
+    of all keyword hits in the whole text - a probability-like score table."""
+    d = D.table(spark, sf_dir, "documents")
+    counts = {k: F.regexp_count("text", F.lit(w)) for k, w in KEYWORDS.items()}
+    total = sum(counts.values(), F.lit(0))
+    cls = F.explode(F.array(*[F.struct(F.lit(k).alias("p"), c.alias("c")) for k, c in counts.items()]))
+    long = d.select("doc_id", F.col("lang").alias("Drug"), total.alias("_t"), cls.alias("_x"))
+    return long.select("doc_id", "Drug", F.col("_x.p").alias("Predicted Drug"),
+                       F.try_divide(F.col("_x.c").cast("double"), F.nullif(F.col("_t"), F.lit(0)).cast("double"))
+                       .alias("Similarity"))
+
+
+@register("similarity_pairs_min", O.with_(O.SHARES, O.SIM_POST) +
+          'SELECT "Predicted Drug", Drug, round(Similarity, 6) AS Similarity FROM mined')
+def q_similarity_pairs_min(spark, sf_dir):
+    return stable(SIM.similarity_summary(keyword_shares(spark, sf_dir)))
+
+
+@register("similarity_square_triangle", O.with_(O.SHARES, O.SIM_POST) + """
+SELECT Drug, """ + ", ".join(
+    f"round(max(CASE WHEN \"Predicted Drug\" = '{k}' AND Drug >= '{k}' THEN Similarity END), 6) AS {k}"
+    for k in ["de", "en", "es", "fr"]) + " FROM mined GROUP BY Drug")
+def q_similarity_square_triangle(spark, sf_dir):
+    pairs = SIM.similarity_summary(keyword_shares(spark, sf_dir))
+    return stable(SIM.similarity_square(pairs, triangle=True, labels=sorted(KEYWORDS)))

@@ -152,3 +152,29 @@ def zscore_sql(x: str) -> str:
 
 ORG_HASH = ("md5(concat_ws('|', CAST(ImageNumber AS VARCHAR), Date, Drug, Cell, Replicate, "
             "printf('%.3f', \"Conc /uM\"), '0'))")
+
+# per-document share of each language's keyword among all keyword hits
+KEYWORDS = {"de": " der ", "en": " the ", "es": " el ", "fr": " le "}
+
+
+def kw_count(word: str) -> str:
+    return f"((length(text) - length(replace(text, '{word}', ''))) / {len(word)})"
+
+
+SHARES = "shares0 AS (\n  SELECT doc_id, lang AS Drug, " + ", ".join(
+    f"{kw_count(w)} AS c_{k}" for k, w in KEYWORDS.items()) + "\n  FROM documents\n),\n" + \
+    "shares AS (SELECT *, " + " + ".join(f"c_{k}" for k in KEYWORDS) + " AS tot FROM shares0),\n" + \
+    "sim AS (\n  SELECT doc_id, Drug, \"Predicted Drug\", CAST(c AS DOUBLE) / nullif(tot, 0) AS Similarity\n" + \
+    "  FROM (UNPIVOT shares ON " + ", ".join(f"c_{k} AS '{k}'" for k in KEYWORDS) + \
+    " INTO NAME \"Predicted Drug\" VALUE c)\n)"
+
+SIM_POST = """pairs AS (
+  SELECT "Predicted Drug", Drug, avg(Similarity) AS Similarity FROM sim
+  WHERE Drug <> "Predicted Drug" GROUP BY "Predicted Drug", Drug
+),
+canon AS (
+  SELECT *, least(Drug, "Predicted Drug") AS _a, greatest(Drug, "Predicted Drug") AS _b FROM pairs
+),
+mined AS (
+  SELECT "Predicted Drug", Drug, min(Similarity) OVER (PARTITION BY _a, _b) AS Similarity FROM canon
+)"""
