@@ -617,3 +617,83 @@ SELECT Drug, """ + ", ".join(
 def q_similarity_square_triangle(spark, sf_dir):
     pairs = SIM.similarity_summary(keyword_shares(spark, sf_dir))
     return stable(SIM.similarity_square(pairs, triangle=True, labels=sorted(KEYWORDS)))
+
+
+# --------------------------------------------------------------------------
+# Plot-data tables (D1, D3, D4, D5) on events: value by event_type
+# --------------------------------------------------------------------------
+from morphospark.operators import plotdata as PD  # noqa: E402
+
+BOOT_REPLICATES = 1000
+
+
+def events_x(spark, sf_dir):
+    e = D.table(spark, sf_dir, "events")
+    return e.select("event_id", "event_type", "value", F.dayofmonth("ts").cast("double").alias("day"))
+
+
+_U = ("(('0x' || substr(md5(concat_ws('|', CAST(event_id AS VARCHAR), CAST(_rep AS VARCHAR), 'boot0')), 1, 12))"
+      "::BIGINT / 281474976710656.0)")
+
+
+@register("bootstrap_mean_ci", O.with_(O.EVENTS_X) + f""",
+reps AS (SELECT event_type, value, event_id, unnest(range(0, {BOOT_REPLICATES})) AS _rep FROM events_x WHERE value IS NOT NULL),
+w AS (SELECT event_type, _rep, value, {O.poisson_weight_sql(_U, PD.poisson1_thresholds())} AS _w FROM reps),
+m AS (SELECT event_type, _rep, sum(_w * value) / nullif(sum(_w), 0) AS _m FROM w GROUP BY ALL),
+ci AS (SELECT event_type, quantile_cont(_m, 0.025) AS ci_low, quantile_cont(_m, 0.975) AS ci_high FROM m GROUP BY ALL),
+base AS (SELECT event_type, avg(value) AS mean, count(value) AS n FROM events_x GROUP BY ALL)
+SELECT base.event_type, round(mean, 6) AS mean, n, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high
+FROM base LEFT JOIN ci USING (event_type)""")
+def q_bootstrap_mean_ci(spark, sf_dir):
+    return stable(PD.bootstrap_mean_ci(events_x(spark, sf_dir), "event_type", "value", ["event_id"],
+                                       replicates=BOOT_REPLICATES, seed=0))
+
+
+@register("kde_violin_grid", O.with_(O.EVENTS_X) + """,
+st AS (SELECT event_type, count(value) AS _n, stddev_samp(value) AS _sd, min(value) AS _lo, max(value) AS _hi
+       FROM events_x GROUP BY ALL),
+st2 AS (SELECT *, _sd * pow(CAST(_n AS DOUBLE), -0.2) AS _h FROM st),
+st3 AS (SELECT *, _lo - 2.0 * _h AS _g0, (_hi - _lo + 2 * 2.0 * _h) / 99 AS _step FROM st2 WHERE _h > 0),
+g AS (SELECT event_type, unnest(range(0, 100)) AS i FROM st3),
+j AS (SELECT e.event_type, g.i, e.value, s._g0, s._step, s._n, s._h FROM events_x e JOIN st3 s USING (event_type)
+      JOIN g USING (event_type) WHERE e.value IS NOT NULL)
+SELECT event_type, CAST(i AS INTEGER) AS i, round(_g0 + i * _step, 6) AS x,
+       round(sum(exp(-((_g0 + i * _step - value) * (_g0 + i * _step - value)) / (2 * _h * _h))) / (any_value(_n) * any_value(_h) * sqrt(2 * pi())), 6) AS density
+FROM j GROUP BY event_type, i, _g0, _step""")
+def q_kde_violin_grid(spark, sf_dir):
+    return stable(PD.kde_grid(events_x(spark, sf_dir), "event_type", "value", points=100))
+
+
+_LV_P = sorted({0.5 ** (i + 1) for i in range(1, 7)} | {1 - 0.5 ** (i + 1) for i in range(1, 7)})
+
+
+@register("boxen_letter_values", O.with_(O.EVENTS_X) + """,
+n AS (SELECT event_type, count(value) AS n FROM events_x GROUP BY ALL),
+qv AS (SELECT event_type, CAST(unnest([""" + ", ".join(repr(p) for p in _LV_P) + """]) AS DOUBLE) AS p,
+              unnest(quantile_cont(value, [""" + ", ".join(repr(p) for p in _LV_P) + """])) AS value
+       FROM events_x WHERE value IS NOT NULL GROUP BY event_type)
+SELECT qv.event_type, CAST(round(-log2(least(p, 1 - p))) AS INTEGER) - 1 AS depth,
+       CASE WHEN p < 0.5 THEN 'lower' ELSE 'upper' END AS side, round(p, 6) AS p, round(value, 6) AS value, n
+FROM qv JOIN n USING (event_type)
+WHERE CAST(round(-log2(least(p, 1 - p))) AS INTEGER) - 1 <= greatest(1, CAST(floor(log2(n)) AS INTEGER) - 3)""")
+def q_boxen_letter_values(spark, sf_dir):
+    return stable(PD.letter_values(events_x(spark, sf_dir), "event_type", "value"))
+
+
+@register("binned_estimates", O.with_(O.EVENTS_X) + """,
+c AS (SELECT event_type, unnest(range(0, 9)) AS bin,
+             unnest(quantile_cont(day, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS x_bin
+      FROM events_x GROUP BY event_type),
+d AS (SELECT e.event_id, e.event_type, e.value, c.bin, c.x_bin,
+             row_number() OVER (PARTITION BY e.event_id ORDER BY abs(e.day - c.x_bin), c.bin) AS rn
+      FROM events_x e JOIN c USING (event_type))
+SELECT event_type, CAST(bin AS INTEGER) AS bin, round(x_bin, 6) AS x_bin, round(median(value), 6) AS estimate
+FROM d WHERE rn = 1 GROUP BY event_type, bin, x_bin""")
+def q_binned_estimates(spark, sf_dir):
+    return stable(PD.binned_estimates(events_x(spark, sf_dir), "event_type", "day", "value", bins=9))
+
+
+@register("facet_lines", O.with_(O.EVENTS_X, O.line_ctes("events_x", "event_type", "day", "value")) + """
+SELECT event_type, n, round(m, 6) AS m, round(c, 6) AS c, round(R, 6) AS R, round(stderr, 6) AS stderr FROM fit""")
+def q_facet_lines(spark, sf_dir):
+    return stable(PD.facet_lines(events_x(spark, sf_dir), "event_type", "day", "value"))

@@ -178,3 +178,9 @@ canon AS (
 mined AS (
   SELECT "Predicted Drug", Drug, min(Similarity) OVER (PARTITION BY _a, _b) AS Similarity FROM canon
 )"""
+
+EVENTS_X = "events_x AS (SELECT event_id, event_type, value, CAST(dayofmonth(ts) AS DOUBLE) AS day FROM events)"
+
+
+def poisson_weight_sql(u: str, thresholds) -> str:
+    return "(" + " + ".join(f"CASE WHEN {u} >= {t!r} THEN 1 ELSE 0 END" for t in thresholds) + ")"
