@@ -697,3 +697,105 @@ def q_binned_estimates(spark, sf_dir):
 SELECT event_type, n, round(m, 6) AS m, round(c, 6) AS c, round(R, 6) AS R, round(stderr, 6) AS stderr FROM fit""")
 def q_facet_lines(spark, sf_dir):
     return stable(PD.facet_lines(events_x(spark, sf_dir), "event_type", "day", "value"))
+
+
+# --------------------------------------------------------------------------
+# Reference-profile distances/correlations, KS, fingerprints
+# --------------------------------------------------------------------------
+from morphospark.operators import distance as DIST  # noqa: E402
+
+_CTRL_REF = """ref AS (SELECT Cell, """ + ", ".join(f"median({c}) AS r_{c}" for c in O.FEATURES) + """
+  FROM organoids WHERE Drug = 'Control' GROUP BY Cell)"""
+
+
+@register("distance_to_control_profile", _ORG + "," + _CTRL_REF + """
+SELECT """ + ", ".join(f"o.{k}" if k != '"Conc /uM"' else 'o."Conc /uM"' for k in O.ORG_KEYS_SQL.split(", ")) + """,
+  round(sqrt(""" + " + ".join(f"(o.{c} - r.r_{c}) * (o.{c} - r.r_{c})" for c in O.FEATURES) + """), 6) AS distance
+FROM organoids o JOIN ref r ON o.Cell = r.Cell""")
+def q_distance_to_control_profile(spark, sf_dir):
+    fs = organoids(spark, sf_dir)
+    ref = DIST.reference_profiles(fs, ["Cell"], F.col("Drug") == "Control")
+    return stable(DIST.distance_to_reference(fs, ref, ["Cell"]))
+
+
+@register("dose_line_to_lowest_dose", _ORG + """,
+low AS (SELECT Drug, Cell, min("Conc /uM") AS d0 FROM organoids WHERE Drug <> 'Control' GROUP BY ALL),
+ref AS (SELECT o.Drug, o.Cell, """ + ", ".join(f"median(o.{c}) AS r_{c}" for c in O.FEATURES) + """
+  FROM organoids o JOIN low l ON o.Drug = l.Drug AND o.Cell = l.Cell AND o."Conc /uM" = l.d0 GROUP BY ALL),
+dd AS (SELECT o.Drug, o.Cell, o."Conc /uM", o.ImageNumber, sqrt(""" + " + ".join(
+    f"(o.{c} - r.r_{c}) * (o.{c} - r.r_{c})" for c in O.FEATURES) + """) AS distance
+  FROM organoids o JOIN ref r ON o.Drug = r.Drug AND o.Cell = r.Cell),
+per_image AS (SELECT Drug, Cell, "Conc /uM", ImageNumber, avg(distance) AS distance FROM dd GROUP BY ALL),
+""" + O.line_ctes("per_image", "Drug, Cell", '"Conc /uM"', "distance") + """
+SELECT Drug, Cell, n, round(m, 6) AS m, round(c, 6) AS c, round(R, 6) AS R, round(stderr, 6) AS stderr FROM fit""")
+def q_dose_line_to_lowest_dose(spark, sf_dir):
+    """A25/A26 re-aimed: distance to the same drug's lowest-dose median
+    profile, mean per (drug, cell, dose, image), then the line per drug."""
+    fs = organoids(spark, sf_dir)
+    treated = fs.df.filter(F.col("Drug") != "Control")
+    low = treated.groupBy("Drug", "Cell").agg(F.min("`Conc /uM`").alias("_d0"))
+    lowest = treated.join(sized_broadcast_(low), ["Drug", "Cell"]).filter(F.col("`Conc /uM`") == F.col("_d0")).drop("_d0")
+    ref = DIST.reference_profiles(FeatureSet(lowest, fs.keys, fs.features), ["Drug", "Cell"])
+    d = DIST.distance_to_reference(FeatureSet(treated, fs.keys, fs.features), ref, ["Drug", "Cell"])
+    per_image = d.groupBy("Drug", "Cell", "`Conc /uM`", "ImageNumber").agg(F.avg("distance").alias("distance"))
+    return stable(DS.line_fit(per_image, ["Drug", "Cell"], "Conc /uM", "distance"))
+
+
+def sized_broadcast_(df):
+    from morphospark.operators.joins import sized_broadcast
+
+    return sized_broadcast(df)
+
+
+@register("correlation_to_control_profile", _ORG + "," + _CTRL_REF + """,
+t AS """ + O.tall("organoids", O.ORG_KEYS_SQL, name="feature") + """,
+rt AS (UNPIVOT ref ON """ + ", ".join(f"r_{c} AS '{c}'" for c in O.FEATURES) + """ INTO NAME feature VALUE _r)
+SELECT t.Date, t.Drug, t.Cell, t.Replicate, t."Conc /uM", t.ImageNumber,
+       round(covar_pop(_v, _r) / nullif(stddev_pop(_v) * stddev_pop(_r), 0), 6) AS correlation
+FROM t JOIN rt ON t.Cell = rt.Cell AND t.feature = rt.feature
+GROUP BY t.Date, t.Drug, t.Cell, t.Replicate, t."Conc /uM", t.ImageNumber""")
+def q_correlation_to_control_profile(spark, sf_dir):
+    fs = organoids(spark, sf_dir)
+    ref = DIST.reference_profiles(fs, ["Cell"], F.col("Drug") == "Control")
+    return stable(DIST.correlation_to_reference(fs, ref, ["Cell"]))
+
+
+@register("embedding_centroid_distances", """
+WITH e AS (SELECT vec_id, CAST(label AS VARCHAR) AS Drug, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+el AS (SELECT vec_id, Drug, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM e),
+c AS (SELECT Drug AS centroid_label, i, avg(x) AS cx FROM el GROUP BY ALL)
+SELECT el.vec_id, el.Drug, c.centroid_label, round(sqrt(sum((x - cx) * (x - cx))), 6) AS distance
+FROM el JOIN c ON el.i = c.i GROUP BY el.vec_id, el.Drug, c.centroid_label""")
+def q_embedding_centroid_distances(spark, sf_dir):
+    prof = D.embeddings_profiles(spark, sf_dir)
+    return stable(DIST.centroid_distances(prof, "vec_id", "Drug", "features"))
+
+
+@register("ks_control_vs_top_dose", _CELLS + """,
+s AS (SELECT *, CASE WHEN Drug = 'Control' THEN 'a' WHEN "Conc /uM" = 0.1 THEN 'b' END AS _s FROM cells),
+t AS """ + O.tall("(SELECT * FROM s WHERE _s IS NOT NULL)", "_s", name="feature") + """,
+c AS (SELECT feature, _v, _s,
+        count(*) FILTER (WHERE _s = 'a') OVER w AS ca, count(*) FILTER (WHERE _s = 'b') OVER w AS cb
+      FROM t WINDOW w AS (PARTITION BY feature ORDER BY _v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+n AS (SELECT feature, count(*) FILTER (WHERE _s = 'a') AS n_a, count(*) FILTER (WHERE _s = 'b') AS n_b FROM t GROUP BY feature)
+SELECT feature, round(max(abs(ca / n_a - cb / n_b)), 6) AS ks_statistic, any_value(n_a) AS n_a, any_value(n_b) AS n_b
+FROM c JOIN n USING (feature) GROUP BY feature""")
+def q_ks_control_vs_top_dose(spark, sf_dir):
+    fs = cells(spark, sf_dir)
+    return stable(DIST.ks_two_sample(fs, F.col("Drug") == "Control", F.col("`Conc /uM`") == 0.1))
+
+
+@register("fingerprint_medians", _ORG + ",\nfp AS (SELECT Drug, " + ", ".join(f"median({c}) AS {c}" for c in O.FEATURES)
+          + " FROM organoids GROUP BY Drug)\nSELECT Drug, feature, round(median, 6) AS median FROM (UNPIVOT fp ON "
+          + ", ".join(O.FEATURES) + " INTO NAME feature VALUE median)")
+def q_fingerprint_medians(spark, sf_dir):
+    tall, _ = DIST.fingerprints(organoids(spark, sf_dir), "Drug")
+    return stable(tall)
+
+
+@register("fingerprint_bounds", _ORG + ",\nt AS " + O.tall("organoids", "Drug", name="feature") + """
+SELECT round(avg(_v), 6) AS mean, round(stddev_pop(_v), 6) AS std, round(avg(_v) - 3 * stddev_pop(_v), 6) AS lower,
+       round(avg(_v) + 3 * stddev_pop(_v), 6) AS upper FROM t""")
+def q_fingerprint_bounds(spark, sf_dir):
+    _, bounds = DIST.fingerprints(organoids(spark, sf_dir), "Drug")
+    return stable(bounds)
