@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from morphospark.featureset import FeatureSet, q
 from morphospark.operators.joins import sized_broadcast
 from morphospark.operators.ranking import global_rank
-from morphospark.operators.skew import split_hot
+from morphospark.operators.skew import HOT_ROWS_CONF, hot_threshold, split_hot
 
 
 def _c(name) -> Column:
@@ -28,8 +28,24 @@ def _c(name) -> Column:
 
 
 def _median_builtin(df: DataFrame, keys, features) -> DataFrame:
-    return df.groupBy(*[q(k) for k in keys]).agg(
-        *[F.median(F.col(q(c)).cast("double")).alias(c) for c in features])
+    """Exact medians of bounded groups: sort each group's values once
+    (array_sort(collect_list)) and interpolate the two middle ones exactly as
+    ``percentile``/``quantile_cont`` do.  Measured faster than the built-in
+    ``median`` (one value map per group and feature) on many small groups."""
+    g = df.groupBy(*[q(k) for k in keys]).agg(
+        *[F.array_sort(F.collect_list(F.col(q(c)).cast("double"))).alias(c) for c in features])
+
+    def mid(a):
+        n = F.size(a)
+        lo = F.element_at(a, F.floor((n - 1) / 2).cast("int") + 1)
+        hi = F.element_at(a, F.floor(n / 2).cast("int") + 1)
+        return F.when(n > 0, lo + (hi - lo) * 0.5)
+
+    return g.select(*[q(k) for k in keys], *[mid(F.col(q(c))).alias(c) for c in features])
+
+
+# Values of one group a single task may hold on the ordinary path.
+MAX_GROUP_VALUES = 20_000_000
 
 
 def _median_by_rank(df: DataFrame, keys, features) -> DataFrame:
@@ -73,6 +89,9 @@ def group_median(df: DataFrame, keys, features, method: str = "exact",
               for c in features])
     if method == "rank":
         return _median_by_rank(df, keys, features)
+    if threshold is None:
+        threshold = hot_threshold(df, None) if df.sparkSession.conf.get(HOT_ROWS_CONF, None) \
+            else max(10_000, MAX_GROUP_VALUES // max(1, len(features)))
     normal, hot, _mode = split_hot(df, keys, threshold)
     parts = []
     if normal is not None:

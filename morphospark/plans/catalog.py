@@ -56,10 +56,7 @@ def cells(spark: SparkSession, sf_dir: str) -> FeatureSet:
 
 
 def organoids(spark: SparkSession, sf_dir: str) -> FeatureSet:
-    def build():
-        fs = median_per_organoid(cells(spark, sf_dir))
-        return fs.with_df(fs.df.checkpoint(eager=True))
-    return _memo(spark, sf_dir, "organoids", build)
+    return _memo(spark, sf_dir, "organoids", lambda: median_per_organoid(cells(spark, sf_dir)))
 
 
 # --------------------------------------------------------------------------
@@ -799,3 +796,49 @@ SELECT round(avg(_v), 6) AS mean, round(stddev_pop(_v), 6) AS std, round(avg(_v)
 def q_fingerprint_bounds(spark, sf_dir):
     _, bounds = DIST.fingerprints(organoids(spark, sf_dir), "Drug")
     return stable(bounds)
+
+
+# --------------------------------------------------------------------------
+# Extra bench stages (fn(spark, sf_dir, cells, organoids), timed runs)
+# --------------------------------------------------------------------------
+def _noop(df):
+    df.write.format("noop").mode("overwrite").save()
+
+
+def _bench_isolation(spark, sf_dir, cells_fs, orgs):
+    model = OUT.fit_isolation_forest(orgs, n_trees=100, max_samples=256, seed=0)
+    _noop(OUT.score_isolation_forest(orgs, model))
+
+
+def _bench_classification(spark, sf_dir, cells_fs, orgs):
+    from morphospark.plans.classification import classify_one, populations
+
+    std = SC.standard_scale(orgs)
+    fs, order = populations(std, None, "ISO49")["Median per Organoid unsorted"]
+    rep, _ = classify_one(fs, order, "Drug", seed=0, cv=0, num_trees=RF_TREES, max_depth=RF_DEPTH)
+    rep.collect()
+
+
+def _bench_similarity(spark, sf_dir, cells_fs, orgs):
+    std = SC.standard_scale(orgs)
+    sub = FeatureSet(std.df.filter(F.col("Cell") == "ISO49"), std.keys, std.features)
+    SIM.similarity_summary(SIM.pairwise_similarity(sub, "Drug", seed=0, num_trees=RF_TREES,
+                                                   max_depth=RF_DEPTH)).collect()
+
+
+def _bench_ks(spark, sf_dir, cells_fs, orgs):
+    DIST.ks_two_sample(cells_fs, F.col("Drug") == "Control", F.col("`Conc /uM`") == 0.1).collect()
+
+
+def _bench_distance(spark, sf_dir, cells_fs, orgs):
+    ref = DIST.reference_profiles(orgs, ["Cell"], F.col("Drug") == "Control")
+    _noop(DIST.distance_to_reference(orgs, ref, ["Cell"]))
+
+
+BENCH_EXTRA = {
+    "isolation_forest_fit_score": (_bench_isolation, 3),
+    "distance_to_control_profile": (_bench_distance, 3),
+    "ks_control_vs_top_dose": (_bench_ks, 3),
+    "classification_holdout_drug": (_bench_classification, 1),
+    "pairwise_similarity": (_bench_similarity, 1),
+}

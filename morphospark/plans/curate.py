@@ -51,11 +51,15 @@ def curate_objects(objects: DataFrame, images: DataFrame | None = None, drop_lis
 
 
 def median_per_organoid(cells: FeatureSet, method: str = "exact",
-                        threshold: int | None = None) -> FeatureSet:
+                        threshold: int | None = None, stage: bool = True) -> FeatureSet:
     """A2 per (Date, Drug, Cell, Replicate, dose, ImageNumber); all-null
-    feature columns of the result are dropped as the reference's dropna."""
+    feature columns of the result are dropped as the reference's dropna.
+    With ``stage`` the medians are checkpointed first, so the null-count
+    action and the consumers read them instead of recomputing them."""
     med = group_median(cells.df, ORGANOID_KEYS, cells.features, method=method,
                        threshold=threshold)
+    if stage:
+        med = med.checkpoint(eager=True)
     return drop_null_features(FeatureSet(med, ORGANOID_KEYS, cells.features))
 
 
