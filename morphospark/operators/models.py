@@ -321,3 +321,57 @@ def permutation_importance(clf: Classifier, fs: FeatureSet, label: str, id_cols,
         permuted = by_id.join(donor, "_ri").drop(c).withColumnRenamed("_perm", c)
         rows.append((c, base - clf.score(FeatureSet(permuted, fs.keys, fs.features))))
     return fs.df.sparkSession.createDataFrame(rows, "feature string, importance double")
+
+
+# ---------------------------------------------------------------- MM18
+def _unit(keys, salt):
+    h = hash_order_key(keys, salt)
+    return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(16 ** 12)
+
+
+def ransac_inliers(fs: FeatureSet, target: str, id_cols, candidates: int = 50, seed: int = 0,
+                   threshold: float | None = None) -> tuple[DataFrame, dict]:
+    """MM18: RANSAC linear model.  Candidate fits come from minimal subsets
+    (p+1 rows chosen by hash rank per candidate); one pass over the data
+    counts every candidate's inliers (|residual| <= threshold, default the
+    median absolute deviation of the target, scikit-learn's rule); the best
+    candidate's inliers are refitted by least squares.  Returns (inlier rows,
+    coefficients)."""
+    import numpy as np
+
+    from morphospark.operators.quantiles import column_quantiles
+
+    p = len(fs.features)
+    y = F.col(q(target)).cast("double")
+    if threshold is None:
+        med = column_quantiles(fs.df, [target], [0.5])[target][0.5]
+        dev = fs.df.select(F.abs(y - F.lit(med)).alias("_d"))
+        threshold = column_quantiles(dev, ["_d"], [0.5])["_d"][0.5]
+    # minimal subsets: the p+1 rows with the smallest hash per candidate, taken
+    # from a hash pre-sample whose size depends on candidates * (p+1), not on n
+    n = fs.df.count()
+    frac = min(1.0, 20.0 * candidates * (p + 1) / max(n, 1))
+    pre = fs.df.filter(_unit(list(id_cols), f"ransac-pre{seed}") < F.lit(frac))
+    per = pre.select(*[q(c) for c in id_cols], *[q(c) for c in fs.features], y.alias("_y")) \
+        .withColumn("_cand", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))) \
+        .withColumn("_h", hash_order_key(list(id_cols) + [F.col("_cand")], f"ransac{seed}"))
+    from pyspark.sql import Window
+
+    picked = per.withColumn("_r", F.row_number().over(Window.partitionBy("_cand").orderBy("_h"))) \
+        .filter(F.col("_r") <= p + 1).toPandas()  # candidates x (p+1) rows
+    coefs = []
+    for _, g in picked.groupby("_cand"):
+        X = np.column_stack([np.ones(len(g))] + [g[c].to_numpy(float) for c in fs.features])
+        beta, *_ = np.linalg.lstsq(X, g["_y"].to_numpy(float), rcond=None)
+        coefs.append(beta.tolist())
+    pred = [F.lit(b[0]) + sum((F.lit(b[i + 1]) * F.col(q(c)) for i, c in enumerate(fs.features)), F.lit(0.0))
+            for b in coefs]
+    counts = fs.df.agg(*[F.sum((F.abs(y - pr) <= threshold).cast("long")).alias(f"c{k}")
+                         for k, pr in enumerate(pred)]).first()
+    best = max(range(len(coefs)), key=lambda k: (counts[f"c{k}"], -k))
+    inliers = fs.df.filter(F.abs(y - pred[best]) <= threshold)
+    df = assemble(FeatureSet(inliers, fs.keys, fs.features)).withColumn("_y", y)
+    m = LinearRegression(featuresCol=FEATURES_VEC, labelCol="_y", regParam=0.0, solver="normal").fit(df)
+    coef = {"intercept": m.intercept, **dict(zip(fs.features, m.coefficients.toArray().tolist())),
+            "inliers": counts[f"c{best}"], "threshold": threshold}
+    return inliers, coef

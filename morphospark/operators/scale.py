@@ -231,3 +231,15 @@ SCALERS = {
 def scale(fs: FeatureSet, scaler: str = "yeo_johnson") -> FeatureSet:
     """Swappable preprocessor (the reference's ``preprocessor`` lambda)."""
     return SCALERS[scaler](fs)
+
+
+def mask_beyond_sigma(fs: FeatureSet, sigma: float) -> FeatureSet:
+    """P19/MM20 first half: blank values with |z| > sigma (population std)."""
+    mom = column_moments(fs.df, fs.features)
+    cols = []
+    for c in fs.features:
+        m, s = mom[c]
+        x = F.col(q(c))
+        z = (x - F.lit(m)) / F.lit(s) if s else (x - F.lit(m))
+        cols.append(F.when(F.abs(z) > sigma, F.lit(None).cast("double")).otherwise(x).alias(c))
+    return FeatureSet(fs.df.select(*[q(k) for k in fs.keys], *cols), fs.keys, fs.features)

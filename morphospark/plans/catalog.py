@@ -842,3 +842,68 @@ BENCH_EXTRA = {
     "classification_holdout_drug": (_bench_classification, 1),
     "pairwise_similarity": (_bench_similarity, 1),
 }
+
+
+# --------------------------------------------------------------------------
+# Small operators: W4 hash split, P19 mask, P2 column regex, P17/J11
+# --------------------------------------------------------------------------
+@register("random_split_flags", _ORG + ",\nh AS (SELECT " + O.ORG_KEYS_SQL + ", ('0x' || substr(" + O.ORG_HASH.replace("'0'", "'7'")
+          + ", 1, 8))::BIGINT / 4294967296.0 AS u FROM organoids)\nSELECT " + O.ORG_KEYS_SQL + ", u >= 0.25 AS is_train FROM h")
+def q_random_split_flags(spark, sf_dir):
+    df = organoids(spark, sf_dir).df.select(*[q(k) for k in ORGANOID_KEYS])
+    keys = ["ImageNumber", "Date", "Drug", "Cell", "Replicate", F.format_string("%.3f", F.col("`Conc /uM`"))]
+    return RK.random_split_flag(df, keys, test_fraction=0.25, seed=7)
+
+
+@register("mask_outside_sigma", _ORG + ",\nz AS (SELECT " + O.ORG_KEYS_SQL + ", " + ", ".join(
+    f"{c}, {O.zscore_sql(c)} AS z_{c}" for c in O.FEATURES) + " FROM organoids)\nSELECT " + O.ORG_KEYS_SQL + ", "
+    + ", ".join(f"round(CASE WHEN abs(z_{c}) > 2.0 THEN NULL ELSE {c} END, 6) AS {c}" for c in O.FEATURES) + " FROM z")
+def q_mask_outside_sigma(spark, sf_dir):
+    """P19 (pandas ``mask``) as used by the sigma clip: values beyond 2 std -> null."""
+    fs = organoids(spark, sf_dir)
+    return stable(SC.mask_beyond_sigma(fs, 2.0).select())
+
+
+@register("drop_columns_matching", _ORG + "SELECT " + O.ORG_KEYS_SQL + ", "
+          + ", ".join(f"round({c}, 6) AS {c}" for c in O.FEATURES if "price" not in c) + " FROM organoids")
+def q_drop_columns_matching(spark, sf_dir):
+    from morphospark.operators.columns import filter_columns_regex
+
+    return stable(filter_columns_regex(organoids(spark, sf_dir).select(), r"^((?!price).)*$"))
+
+
+@register("distance_table_min_count", O.with_(*O.ORG_CHAIN, O.DIST) + """,
+keep AS (SELECT Drug, Cell FROM dist GROUP BY Drug, Cell HAVING count("Euclidean distance") > 2000)
+SELECT """ + O.ORG_KEYS_SQL + ', round("Euclidean distance", 6) AS "Euclidean distance" FROM dist SEMI JOIN keep USING (Drug, Cell)')
+def q_distance_table_min_count(spark, sf_dir):
+    return stable(distance_table(organoids(spark, sf_dir), min_group_count=2000))
+
+
+@register("huber_dose_weights")
+def q_huber_dose_weights(spark, sf_dir):
+    """MM17: Huber regression of log10 dose on the scaled features (treated rows)."""
+    fs = scaled_organoids(spark, sf_dir)
+    treated = FeatureSet(fs.df.filter(F.col("`Conc /uM`") > 0), fs.keys, fs.features)
+    w = M.huber_weights(treated, F.log10(F.col("`Conc /uM`")))
+    return spark.createDataFrame(sorted(w.items()), "feature string, weight double")
+
+
+@register("control_norm_weights")
+def q_control_norm_weights(spark, sf_dir):
+    """MM19: control rows regressed (no intercept) onto their median norm."""
+    fs = scaled_organoids(spark, sf_dir)
+    ctrl = fs.df.filter(F.col("Drug") == "Control")
+    med = A.group_median(ctrl.withColumn("_all", F.lit(1)).withColumn("_norm", l2_norm(fs.features)),
+                         ["_all"], ["_norm"]).first()["_norm"]
+    w = M.no_intercept_weights(FeatureSet(ctrl, fs.keys, fs.features), F.lit(med))
+    return spark.createDataFrame(sorted(w.items()), "feature string, weight double")
+
+
+@register("ransac_inliers")
+def q_ransac_inliers(spark, sf_dir):
+    """MM18: RANSAC of log10 dose on the scaled features of treated rows."""
+    fs = scaled_organoids(spark, sf_dir)
+    treated = fs.df.filter(F.col("`Conc /uM`") > 0).withColumn("_logdose", F.log10(F.col("`Conc /uM`")))
+    inl, _coef = M.ransac_inliers(FeatureSet(treated, fs.keys, fs.features), "_logdose",
+                                  ["ImageNumber", "Date", "Drug", "Replicate"], candidates=50, seed=0)
+    return inl.select(*[q(k) for k in ORGANOID_KEYS])
