@@ -19,6 +19,7 @@ from morphospark.functions.numeric import sum_of_squares
 from morphospark.operators.aggregate import group_median
 from morphospark.operators.joins import sized_broadcast
 from morphospark.operators.ranking import global_rank
+from morphospark.session import stage
 
 
 def reference_profiles(fs: FeatureSet, match_keys, where: Column | None = None,
@@ -77,7 +78,7 @@ def ks_two_sample(fs: FeatureSet, in_a: Column, in_b: Column) -> DataFrame:
 
     base = fs.df.withColumn("_s", F.when(in_a, F.lit("a")).when(in_b, F.lit("b"))).filter(F.col("_s").isNotNull())
     tall = tall_features(base, ["_s"] + list(fs.keys), fs.features, "feature", "_v")
-    tall = tall.withColumn("_id", F.monotonically_increasing_id()).checkpoint(eager=True)
+    tall = stage(tall.withColumn("_id", F.monotonically_increasing_id()), "ks")
     all_r = global_rank(tall, [F.col("feature"), F.col("_v"), F.col("_s"), F.col("_id")], "_ra")
     own_r = global_rank(all_r, [F.col("_s"), F.col("feature"), F.col("_v"), F.col("_id")], "_ro")
     starts = own_r.groupBy("feature").agg(F.min("_ra").alias("_fa"))

@@ -38,19 +38,20 @@ def suffix_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
                   and (keep_right_keys or c not in right_on)]
     overlap = (set(left.columns) - merged) & set(right_keep)
     ls, rs = suffixes
-    l2 = left.select(*[F.col(q(c)).alias(f"_lk{on.index(c)}") for c in on],
-                     *[F.col(q(c)).alias(c + ls if c in overlap else c) for c in left.columns])
+    # left columns keep their names (keys included) so the join's hash
+    # partitioning on them stays visible to later aggregations
+    l2 = left.select(*[F.col(q(c)).alias(c + ls if c in overlap else c) for c in left.columns])
+    lnames = [lk + ls if lk in overlap else lk for lk in on]
     r2 = right.select(*[F.col(q(rk)).alias(f"_rk{i}") for i, rk in enumerate(right_on)],
                       *[F.col(q(c)).alias(c + rs if c in overlap else c) for c in right_keep])
     if broadcast_right:
         r2 = sized_broadcast(r2, DEFAULT_BROADCAST_ROWS if broadcast_right is True else int(broadcast_right))
     cond = None
     for i in range(len(on)):
-        c = l2[f"_lk{i}"] == r2[f"_rk{i}"]
+        c = l2[q(lnames[i])] == r2[f"_rk{i}"]
         cond = c if cond is None else cond & c
     out = l2.join(r2, cond, how)
-    return out.drop(*[f"_lk{i}" for i in range(len(on))], *[f"_rk{i}" for i in range(len(on))])
-
+    return out.drop(*[f"_rk{i}" for i in range(len(on))])
 
 def semi_join(left: DataFrame, right: DataFrame, on, anti: bool = False) -> DataFrame:
     """Keep (or drop) left rows with a match."""

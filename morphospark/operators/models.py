@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from morphospark.featureset import FeatureSet, q
 from morphospark.operators.ranking import hash_order_key, rank_in_group
+from morphospark.session import stage
 
 FEATURES_VEC = "_features"
 LABEL_IDX = "_label"
@@ -147,7 +148,7 @@ def stratified_folds(df: DataFrame, label: str, order, k: int = 5, out: str = "f
 
 def cross_val_accuracy(fs: FeatureSet, label: str, order, k: int = 5, seed: int = 0, **kw) -> dict:
     """MM4: k fits; mean and population std of fold accuracies."""
-    folded = stratified_folds(fs.df, label, order, k).checkpoint(eager=True)
+    folded = stage(stratified_folds(fs.df, label, order, k), "folds")
     scores = []
     for f in range(k):
         train = FeatureSet(folded.filter(F.col("fold") != f), fs.keys, fs.features)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from morphospark.featureset import q
 from morphospark.operators.skew import null_safe_cond, split_hot
-from morphospark.session import ensure_checkpoint_dir, shuffle_partitions
+from morphospark.session import ensure_checkpoint_dir, shuffle_partitions, stage
 
 
 def _col(c) -> Column:
@@ -46,7 +46,8 @@ def global_rank(df: DataFrame, order, rank_col: str = "_grank",
             F.monotonically_increasing_id()
             - F.shiftleft(F.col("_pid").cast("long"), 33),
         )
-    ).checkpoint(eager=True)
+    )
+    tagged = stage(tagged, "rank")
     counts = dict(tagged.groupBy("_pid").count().collect())
     sizes = [int(counts.get(i, 0)) for i in range(n)]
     offsets = [0] + list(accumulate(sizes))[:-1]
@@ -58,7 +59,7 @@ def global_rank(df: DataFrame, order, rank_col: str = "_grank",
 
 
 def rank_in_group(df: DataFrame, keys, order, out: str = "_rank",
-                  threshold: int | None = None) -> DataFrame:
+                  threshold: int | None = None, detect=None) -> DataFrame:
     """row_number() within each group of ``keys`` by ``order`` (1-based, long).
 
     Ordinary groups use a window; hot groups are numbered by ``global_rank``
@@ -66,7 +67,9 @@ def rank_in_group(df: DataFrame, keys, order, out: str = "_rank",
     ``order`` must be a total order within each group for reproducible output.
     """
     keys = list(keys)
-    normal, hot, mode = split_hot(df, keys, threshold)
+    normal, hot, mode = split_hot(df, keys, threshold, detect)
+    if detect is not None and mode == "some":
+        mode = "all"  # coarse routing: the group-start table is not bounded by the hot list
     parts = []
     if normal is not None:
         w = Window.partitionBy(*[_col(k) for k in keys]).orderBy(*[_col(c) for c in order])

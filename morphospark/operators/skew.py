@@ -38,13 +38,28 @@ def null_safe_cond(left: DataFrame, right: DataFrame, keys, right_names=None):
     )
 
 
-def find_hot_groups(df: DataFrame, keys, threshold: int | None = None):
-    """Return ("none"|"some"|"all", hot_keys_df_or_None)."""
+# expected sampled rows of a group exactly at the threshold
+DETECT_SAMPLE_ROWS = 400
+
+
+def find_hot_groups(df: DataFrame, keys, threshold: int | None = None, seed: int = 17):
+    """Return ("none"|"some"|"all", hot_keys_df_or_None).
+
+    Detection only routes rows - a group missed here is still computed
+    exactly on the ordinary path, a false alarm exactly on the range path -
+    so it counts a Bernoulli sample whose rate gives a threshold-sized group
+    about DETECT_SAMPLE_ROWS sampled rows (rate 1 for small thresholds, as in
+    tests).  Groups with at least half that many sampled rows are hot; the
+    counting shuffle carries a sample of the groups, not all of them.
+    """
     keys = list(keys)
     threshold = hot_threshold(df, threshold)
-    counts = df.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    rate = min(1.0, DETECT_SAMPLE_ROWS / max(threshold, 1))
+    src = df if rate >= 1.0 else df.sample(withReplacement=False, fraction=rate, seed=seed)
+    cut = threshold if rate >= 1.0 else DETECT_SAMPLE_ROWS // 2
+    counts = src.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
     rows = (
-        counts.filter(F.col("_n") > threshold).select(*[q(k) for k in keys])
+        counts.filter(F.col("_n") > cut).select(*[q(k) for k in keys])
         .limit(MAX_HOT_GROUPS + 1).collect()
     )
     if not rows:
@@ -56,22 +71,31 @@ def find_hot_groups(df: DataFrame, keys, threshold: int | None = None):
     return "some", hot
 
 
-def split_hot(df: DataFrame, keys, threshold: int | None = None):
+def split_hot(df: DataFrame, keys, threshold: int | None = None, detect=None):
     """Split rows into (normal, hot, mode).
 
     ``hot`` holds the rows of groups above the threshold (or every row when
     there are too many hot groups to list); ``normal`` the rest.  The hot key
     list is broadcast only when its length is bounded by MAX_HOT_GROUPS.
+
+    ``detect=(source_df, coarse_keys)`` finds hot groups on a cheaper source
+    (e.g. one pruned column of the raw scan) by a subset of the keys; every
+    group inside a hot coarse group is routed to the hot path, which is
+    conservative and exact.
     """
     keys = list(keys)
-    mode, hot_keys = find_hot_groups(df, keys, threshold)
+    if detect is not None:
+        src, coarse = detect[0], list(detect[1])
+    else:
+        src, coarse = df, keys
+    mode, hot_keys = find_hot_groups(src, coarse, threshold)
     if mode == "none":
         return df, None, mode
     if mode == "all":
         return None, df, mode
-    renamed = hot_keys.toDF(*[f"_hot{i}" for i in range(len(keys))])
+    renamed = hot_keys.toDF(*[f"_hot{i}" for i in range(len(coarse))])
     b = F.broadcast(renamed)
-    cond = null_safe_cond(df, b, keys, renamed.columns)
+    cond = null_safe_cond(df, b, coarse, renamed.columns)
     normal = df.join(b, cond, "left_anti")
     hot = df.join(b, cond, "left_semi")
     return normal, hot, mode

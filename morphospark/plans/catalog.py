@@ -107,7 +107,13 @@ def q_curate_objects(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_dose_response_ec50(spark, sf_dir)
+    """E3 from the files in one pass over the objects (fused curation + median)."""
+    from morphospark.plans.curate import curate_with_medians
+
+    _cells, medians = curate_with_medians(D.objects(spark, sf_dir), D.images(spark, sf_dir),
+                                          drop_list=D.DROP_LIST, image_keys=D.image_keys(spark, sf_dir))
+    out = dose_response(medians)
+    return stable(out.select("Drug", "Cell", *[q(c) for c in _LINE_COLS]))
 
 
 # --------------------------------------------------------------------------

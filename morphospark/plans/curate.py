@@ -19,6 +19,7 @@ from morphospark.operators.aggregate import group_median
 from morphospark.operators.columns import cast_features, drop_listed, drop_null_features, keep_numeric
 from morphospark.operators.joins import suffix_join
 from morphospark.operators.rows import drop_null_keys, exclude_pairs
+from morphospark.session import stage
 
 DEFAULT_EXCLUSIONS = (("5FU", "ISO34"),)
 
@@ -36,7 +37,7 @@ def annotate(objects: DataFrame, images: DataFrame | None = None,
 
 
 def curate_objects(objects: DataFrame, images: DataFrame | None = None, drop_list=(),
-                   stage: bool = True, **kw) -> FeatureSet:
+                   materialize: bool = True, **kw) -> FeatureSet:
     """Per-object FeatureSet keyed by the 7 index keys.
 
     With ``stage`` the joined numeric table is checkpointed (reliable
@@ -45,24 +46,52 @@ def curate_objects(objects: DataFrame, images: DataFrame | None = None, drop_lis
     """
     df = drop_listed(annotate(objects, images, **kw), drop_list)
     fs = cast_features(keep_numeric(df, INDEX_KEYS))
-    if stage:
-        fs = fs.with_df(fs.df.checkpoint(eager=True))
+    if materialize:
+        fs = fs.with_df(stage(fs.df, "cells"))
     return drop_null_features(fs)
 
 
 def median_per_organoid(cells: FeatureSet, method: str = "exact",
-                        threshold: int | None = None, stage: bool = True) -> FeatureSet:
+                        threshold: int | None = None, materialize: bool = True) -> FeatureSet:
     """A2 per (Date, Drug, Cell, Replicate, dose, ImageNumber); all-null
     feature columns of the result are dropped as the reference's dropna.
     With ``stage`` the medians are checkpointed first, so the null-count
     action and the consumers read them instead of recomputing them."""
     med = group_median(cells.df, ORGANOID_KEYS, cells.features, method=method,
                        threshold=threshold)
-    if stage:
-        med = med.checkpoint(eager=True)
+    if materialize:
+        med = stage(med, "organoids")
     return drop_null_features(FeatureSet(med, ORGANOID_KEYS, cells.features))
 
 
+def curate_with_medians(objects: DataFrame, images: DataFrame | None = None, drop_list=(),
+                        method: str = "exact", threshold: int | None = None,
+                        image_keys: DataFrame | None = None, **kw) -> tuple[FeatureSet, FeatureSet]:
+    """E1 in one pass over the objects: (cells, medians).
+
+    The per-organoid median aggregation also counts rows and non-null
+    values per group, so P5 (drop features with any null in the per-object
+    table) is answered from the staged median table - no separate action
+    over the objects, and the aggregation keeps the image join's hash
+    partitioning on ImageNumber (no extra shuffle).  ``cells`` stays lazy.
+    """
+    df = drop_listed(annotate(objects, images, **kw), drop_list)
+    fs = cast_features(keep_numeric(df, INDEX_KEYS))
+    feats = list(fs.features)
+    # hot-group detection on ImageNumber alone (a hot organoid group implies a
+    # hot image), from a one-column scan when the caller provides one
+    detect = (image_keys if image_keys is not None else objects.select("ImageNumber"), ["ImageNumber"])
+    med = stage(group_median(fs.df, ORGANOID_KEYS, feats, method=method, threshold=threshold,
+                             with_counts=True, detect=detect), "organoids")
+    nulls = med.agg(*[F.sum(F.col("_rows") - F.col(f"_nonnull{i}")).alias(f"n{i}")
+                      for i in range(len(feats))]).first()
+    keep = tuple(c for i, c in enumerate(feats) if not (nulls[f"n{i}"] or 0))
+    cells = FeatureSet(fs.df.select(*[q(k) for k in INDEX_KEYS], *[q(c) for c in keep]), INDEX_KEYS, keep)
+    medians = FeatureSet(med.select(*[q(k) for k in ORGANOID_KEYS], *[q(c) for c in keep]),
+                         ORGANOID_KEYS, keep)
+    return cells, medians
+
+
 def organoid_summary(fs: FeatureSet, name: str) -> DataFrame:
     """A3: per (Drug, Cell, dose) non-null counts, first column renamed."""
     from morphospark.operators.aggregate import count_non_null

@@ -62,3 +62,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return max(1, int(value))
     except ValueError:  # "auto" on some platforms
         return max(1, spark.sparkContext.defaultParallelism)
+
+
+def stage(df, name: str = "stage"):
+    """Materialise ``df`` as Parquet in the shared checkpoint folder and read it back.
+
+    One write job (a reliable ``Dataset.checkpoint`` computes its plan twice
+    unless persisted, and stores serialized rows); the re-read is a columnar
+    scan with pruning and pushdown, and lineage is cut, so losing an executor
+    later cannot force recomputation of the upstream plan.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -57,19 +57,25 @@ def objects(spark: SparkSession, sf_dir: str, threshold: int | None = None) -> D
     """Per-object table: keys, Metadata_FileLocation, identifiers, features."""
     li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    # part first: the per-order ranking then leaves the rows hash-partitioned
+    # by l_orderkey (= ImageNumber) for the image join and the organoid median
+    keys_only = li.select("l_orderkey")  # group sizes do not change under the n:1 join
+    li = li.join(part, li.l_partkey == part.p_partkey, "left").drop("p_partkey")
     ranked = rank_in_group(li, ["l_orderkey"], list(OBJECT_ORDER), out="ObjectNumber",
-                           threshold=threshold)
-    return (
-        ranked.join(part, ranked.l_partkey == part.p_partkey, "left")
-        .select(
-            F.col("l_orderkey").alias("ImageNumber"), "ObjectNumber",
-            file_location().alias("Metadata_FileLocation"),
-            "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_tax",
-            "p_size", "p_retailprice",
-        )
+                           threshold=threshold, detect=(keys_only, ["l_orderkey"]))
+    return ranked.select(
+        F.col("l_orderkey").alias("ImageNumber"), "ObjectNumber",
+        file_location().alias("Metadata_FileLocation"),
+        "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_tax",
+        "p_size", "p_retailprice",
     )
 
 
+def image_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ImageNumber of every object, straight from the scan (hot-image detection)."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ImageNumber"))
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("ImageNumber"), "o_custkey", "o_orderstatus",
