@@ -17,6 +17,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IndexToString, PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,13 +61,19 @@ class Classifier:
 
     def __init__(self, fs: FeatureSet, label: str, estimator: str = "random_forest", seed: int = 0, **kw):
         self.features, self.label = list(fs.features), label
-        train = fs.df.withColumn("_label_str", F.col(q(label)).cast("string"))
-        self.indexer = StringIndexer(inputCol="_label_str", outputCol=LABEL_IDX,
-                                     stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
-        self.classes = list(self.indexer.labels)
-        est = make_estimator(estimator, seed, **kw)
-        vec = VectorAssembler(inputCols=self.features, outputCol=FEATURES_VEC, handleInvalid="keep")
-        self.model = Pipeline(stages=[vec, self.indexer, est]).fit(train)
+        # the estimator reads its input several times (metadata, split sampling,
+        # binning) and the indexer once more: keep the training rows for the fit
+        train = fs.df.select(*[q(c) for c in self.features], F.col(q(label)).cast("string").alias("_label_str")) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self.indexer = StringIndexer(inputCol="_label_str", outputCol=LABEL_IDX,
+                                         stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
+            self.classes = list(self.indexer.labels)
+            est = make_estimator(estimator, seed, **kw)
+            vec = VectorAssembler(inputCols=self.features, outputCol=FEATURES_VEC, handleInvalid="keep")
+            self.model = Pipeline(stages=[vec, self.indexer, est]).fit(train)
+        finally:
+            train.unpersist()
 
     def transform(self, fs_or_df) -> DataFrame:
         df = fs_or_df.df if isinstance(fs_or_df, FeatureSet) else fs_or_df
