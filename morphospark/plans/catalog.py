@@ -913,3 +913,61 @@ def q_ransac_inliers(spark, sf_dir):
     inl, _coef = M.ransac_inliers(FeatureSet(treated, fs.keys, fs.features), "_logdose",
                                   ["ImageNumber", "Date", "Drug", "Replicate"], candidates=50, seed=0)
     return inl.select(*[q(k) for k in ORGANOID_KEYS])
+
+
+# --------------------------------------------------------------------------
+# E2 preparation, selection, clustering extras
+# --------------------------------------------------------------------------
+@register("prepared_profiles")
+def q_prepared_profiles(spark, sf_dir):
+    """MM6 then MM7 on the organoid medians (the reference's E2 order)."""
+    from morphospark.plans.classification import prepare_profiles
+
+    return stable(prepare_profiles(organoids(spark, sf_dir), seed=0).select())
+
+
+@register("selected_components")
+def q_selected_components(spark, sf_dir):
+    """MM11: PCA -> forest on Drug -> components with importance >= mean."""
+    fs = scaled_organoids(spark, sf_dir)
+    sel, imp = M.select_from_model(fs, "Drug", seed=0, with_pca=True, num_trees=RF_TREES, max_depth=RF_DEPTH)
+    return stable(imp.withColumn("selected", F.col("Feature").isin(list(sel.features))))
+
+
+@register("permutation_importance_drug")
+def q_permutation_importance_drug(spark, sf_dir):
+    """MM25: accuracy drop per permuted feature, forest on Drug (cell line ISO49)."""
+    fs = scaled_organoids(spark, sf_dir)
+    sub = FeatureSet(fs.df.filter(F.col("Cell") == "ISO49"), fs.keys, fs.features)
+    clf = M.Classifier(sub, "Drug", seed=0, num_trees=RF_TREES, max_depth=RF_DEPTH)
+    return stable(M.permutation_importance(clf, sub, "Drug", list(ORGANOID_KEYS), seed=0))
+
+
+@register("kmeans_grid_labels")
+def q_kmeans_grid_labels(spark, sf_dir):
+    """MM15: k-means (k = number of drugs) on two PCs, labels on a 500 x 500 grid."""
+    pcs, _ = M.pca(scaled_organoids(spark, sf_dir), k=2)
+    k = pcs.df.select("Drug").distinct().count()
+    _, grid = M.kmeans_labels(pcs, k=k, seed=0, grid=500)
+    return grid
+
+
+@register("cluster_homogeneity")
+def q_cluster_homogeneity(spark, sf_dir):
+    """Homogeneity of k-means clusters with respect to Drug."""
+    pcs, _ = M.pca(scaled_organoids(spark, sf_dir), k=2)
+    k = pcs.df.select("Drug").distinct().count()
+    labelled, _ = M.kmeans_labels(pcs, k=k, seed=0)
+    h = M.cluster_homogeneity(labelled, "Drug", "cluster")
+    return labelled.agg(F.count(F.lit(1)).alias("n")).withColumn("homogeneity", F.lit(h))
+
+
+@register("label_code_correlation", _CELLS + """,
+codes AS (SELECT Drug, CAST(dense_rank() OVER (ORDER BY Drug) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT Drug FROM cells)),
+t AS """ + O.tall("(SELECT c.*, k.code FROM cells c JOIN codes k USING (Drug))", "code", name="Features") + """
+SELECT Features, round(covar_pop(code, _v) / nullif(stddev_pop(code) * stddev_pop(_v), 0), 6) AS Correlation
+FROM t GROUP BY Features""")
+def q_label_code_correlation(spark, sf_dir):
+    fs = cells(spark, sf_dir)
+    coded = RK.label_codes(fs.df, "Drug", out="code").withColumn("code", F.col("code").cast("double"))
+    return stable(DS.label_code_correlation(coded, fs.features, "code"))
