@@ -383,3 +383,23 @@ def ransac_inliers(fs: FeatureSet, target: str, id_cols, candidates: int = 50, s
     coef = {"intercept": m.intercept, **dict(zip(fs.features, m.coefficients.toArray().tolist())),
             "inliers": counts[f"c{best}"], "threshold": threshold}
     return inliers, coef
+
+
+# ---------------------------------------------------------------- MM14 (RFE)
+def recursive_feature_elimination(fs: FeatureSet, label: str, keep: int, step: int = 1, seed: int = 0,
+                                  **kw) -> tuple[list, DataFrame]:
+    """MM14 RFE: refit the forest and drop the ``step`` least important
+    features until ``keep`` remain.  Returns (kept features, ranking table
+    (feature, eliminated_at_round))."""
+    feats = list(fs.features)
+    ranking, rnd = [], 0
+    while len(feats) > keep:
+        clf = Classifier(FeatureSet(fs.df, fs.keys, tuple(feats)), label, seed=seed, **kw)
+        imp = sorted(((r.importance, r.Feature) for r in clf.importances().collect()))
+        drop = [f for _, f in imp[:min(step, len(feats) - keep)]]
+        ranking += [(f, rnd) for f in drop]
+        feats = [f for f in feats if f not in drop]
+        rnd += 1
+    ranking += [(f, rnd) for f in feats]
+    spark = fs.df.sparkSession
+    return feats, spark.createDataFrame(ranking, "feature string, eliminated_at_round int")

@@ -53,3 +53,18 @@ def test_prepare_profiles_and_selection(spark):
     clf = M.Classifier(fs, "y", num_trees=20, max_depth=4)
     pi = {r.feature: r.importance for r in M.permutation_importance(clf, fs, "y", ["id"]).collect()}
     assert pi["a"] > 0.2 and abs(pi["c"]) < 0.1
+
+
+def test_rfe_and_pca_variants(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "Control" if i % 3 == 0 else "D", 0.05 if i % 3 else 0.0, float(rng.normal(2 if i % 3 else -2, 1)),
+             float(rng.normal()), float(rng.normal())) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, Drug string, `Conc /uM` double, a double, b double, c double")
+    fs = FeatureSet(df, ("id", "Drug", "Conc /uM"), ("a", "b", "c"))
+    kept, ranking = M.recursive_feature_elimination(fs, "Drug", keep=1, num_trees=20, max_depth=4)
+    assert kept == ["a"] and ranking.count() == 3
+    from morphospark.plans.classification import pca_variants
+
+    out = pca_variants(None, fs, dose=0.05)
+    counts = {r.variant: r["count"] for r in out.groupBy("variant").count().collect()}
+    assert counts == {"per_organoid": 300, "per_organoid_0.05uM": 200, "per_organoid_0.05uM_control": 300}
