@@ -24,6 +24,10 @@ def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(q(c))
 
 
+RANGE_ROWS_CONF = "morphospark.rangePartitionRows"
+DEFAULT_RANGE_ROWS = 4_000_000
+
+
 def hash_order_key(keys, seed: int | str = 0) -> Column:
     """Reproducible shuffle key md5(k1|k2|...|seed); same text in DuckDB."""
     parts = [F.coalesce(_col(k).cast("string"), F.lit("")) for k in keys] + [F.lit(str(seed))]
@@ -35,7 +39,12 @@ def global_rank(df: DataFrame, order, rank_col: str = "_grank",
     """Add a 1-based position in the total order ``order`` (a list of columns)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or shuffle_partitions(spark)
+    if num_partitions is None:
+        # range partitions sized from the rows (one count; a fixed number
+        # would give 100 TB inputs a few enormous sort tasks)
+        per = int(spark.conf.get(RANGE_ROWS_CONF, str(DEFAULT_RANGE_ROWS)))
+        num_partitions = max(shuffle_partitions(spark), -(-df.count() // per))
+    n = num_partitions
     order = [_col(c) for c in order]
     tagged = (
         df.repartitionByRange(n, *order)
