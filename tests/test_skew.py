@@ -80,3 +80,42 @@ def test_row_of_group_max_tie(spark):
     out = {r.ImageNumber: r.ObjectNumber for r in
            row_of_group_max(df, "ImageNumber", "AreaShape_Area", "ObjectNumber").collect()}
     assert out == {1: 1, 2: 2}
+
+
+def test_sampled_detection_finds_planted_hot_group(spark):
+    from morphospark.operators.skew import find_hot_groups
+
+    big = spark.range(30000).select(F.lit("hot").alias("g"))
+    small = spark.range(3000).select((F.col("id") % 30).cast("string").alias("g"))
+    mode, hot = find_hot_groups(big.unionByName(small), ["g"], threshold=10000)  # sample rate 0.04
+    assert mode == "some" and [r.g for r in hot.collect()] == ["hot"]
+
+
+def test_flagship_equal_under_forced_hot_paths(spark):
+    from morphospark.plans.curate import curate_with_medians
+    from morphospark.plans.dose_response import dose_response
+    from morphospark.sources import driver_tables as D
+
+    sf = "/root/testdata/sf0.001"
+
+    def run(threshold):
+        _, med = curate_with_medians(D.objects(spark, sf, threshold=threshold), D.images(spark, sf),
+                                     drop_list=D.DROP_LIST, threshold=threshold,
+                                     image_keys=D.image_keys(spark, sf))
+        rows = med.select().collect()
+        line = dose_response(med).select("Drug", "Cell", "n", "m", "c", "R").collect()
+        return rows, line
+
+    med_a, line_a = run(10**9)
+    med_b, line_b = run(3)  # every image with more than 3 objects takes the rank paths
+    key = lambda r: tuple(str(v) for v in r)
+    assert len(med_a) == len(med_b)
+    for a, b in zip(sorted(med_a, key=key), sorted(med_b, key=key)):
+        assert a[:6] == b[:6]
+        assert all(abs(x - y) < 1e-9 for x, y in zip(a[6:], b[6:]))
+    la = {(r.Drug, r.Cell): r for r in line_a}
+    for r in line_b:
+        o = la[(r.Drug, r.Cell)]
+        assert r.n == o.n and (r.m is None) == (o.m is None)
+        if r.m is not None:
+            assert abs(r.m - o.m) < 1e-6 * max(1, abs(o.m)) and abs(r.R - o.R) < 1e-9
