@@ -68,3 +68,25 @@ def test_rfe_and_pca_variants(spark):
     out = pca_variants(None, fs, dose=0.05)
     counts = {r.variant: r["count"] for r in out.groupBy("variant").count().collect()}
     assert counts == {"per_organoid": 300, "per_organoid_0.05uM": 200, "per_organoid_0.05uM_control": 300}
+
+
+def test_job_on_csv_exports(spark):
+    import json
+    import os
+    import tempfile
+
+    from morphospark.plans import catalog as C
+    from morphospark.plans.jobs import run
+
+    d = tempfile.mkdtemp(prefix="ms-job-")
+    D.objects(spark, SF).coalesce(1).write.option("header", True).csv(f"{d}/objects")
+    D.images(spark, SF).drop("o_orderstatus", "o_orderpriority", "o_orderdate").coalesce(1) \
+        .write.option("header", True).csv(f"{d}/images")
+    with open(f"{d}/drop.json", "w") as fh:
+        json.dump(list(D.DROP_LIST) + list(D.DROP_LIST), fh)
+    info = run(spark, f"{d}/objects", f"{d}/images", f"{d}/drop.json", f"{d}/out", with_pvalue=False)
+    assert info["features"] == ["l_quantity", "l_extendedprice", "l_tax", "p_size", "p_retailprice", "o_totalprice"]
+    got = {(r.Drug, r.Cell): r.n for r in spark.read.parquet(f"{d}/out/ec50").collect()}
+    want = {(r.Drug, r.Cell): r.n for r in C.flagship(spark, SF).collect()}
+    assert got == want
+    assert os.path.isdir(f"{d}/out/euclid")
