@@ -47,14 +47,11 @@ def path_parts(path: Column) -> Column:
     """F1 in one regex evaluation: array(Date, Cell, Drug, Concentration,
     Position) of the first match (re.search semantics), or a 1-element
     array (the path itself) when the pattern does not match."""
-    whole = "^.*?(?:" + PATTERN_NOFLAGS + ").*$"
+    whole = "^.*?(?:" + PATH_PATTERN + ").*$"
     repl = _SEP.join(f"${i}" for i in range(1, 6))
     return F.split(F.regexp_replace(path, whole, repl), _SEP)
 
 
-PATTERN_NOFLAGS = PATH_PATTERN
-
-
 def add_path_metadata(df: DataFrame, path_col: str = "Metadata_FileLocation",
                       zero_is_control: bool = True, strict: bool = True) -> DataFrame:
     """Add Date, Drug, Cell, Replicate, `Conc /uM` from the path column.

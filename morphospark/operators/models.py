@@ -107,14 +107,12 @@ class Classifier:
         return out.agg(F.avg((F.col("predicted") == F.col("_label_str")).cast("double"))).first()[0]
 
     def importances(self) -> DataFrame:
-        est = self.model.stages[-1]
-        vals = est.featureImportances.toArray().tolist()
-        spark = self.model.stages[0].__class__  # noqa: F841 (keep imports light)
+        """Feature importances (model-sized table)."""
         from pyspark.sql import SparkSession
 
-        s = SparkSession.getActiveSession()
-        return s.createDataFrame([(f, float(v)) for f, v in zip(self.features, vals)],
-                                 "Feature string, importance double")
+        vals = self.model.stages[-1].featureImportances.toArray().tolist()
+        return SparkSession.getActiveSession().createDataFrame(
+            [(f, float(v)) for f, v in zip(self.features, vals)], "Feature string, importance double")
 
 
 # ---------------------------------------------------------------- MM4

@@ -147,10 +147,16 @@ def random_split_flag(df: DataFrame, keys, test_fraction: float = 0.25, seed=0,
 
 
 def label_codes(df: DataFrame, label: str, out: str = "label_code") -> DataFrame:
-    """Dense 0-based codes in sorted label order (labels are few)."""
-    codes = df.select(q(label)).distinct()
-    w = Window.orderBy(F.col(q(label)).asc_nulls_last())
-    codes = codes.withColumn(out, (F.dense_rank().over(w) - 1).cast("long"))
+    """Dense 0-based codes in sorted label order.  Labels are few: the
+    sorted list comes back from one distinct aggregate and joins as a
+    broadcast table of that (bounded) size."""
+    labels = sorted(r[0] for r in df.select(q(label)).distinct().collect() if r[0] is not None)
+    dtype = df.schema[label].dataType
+    from pyspark.sql import types as T
+
+    codes = df.sparkSession.createDataFrame(
+        [(v, i) for i, v in enumerate(labels)],
+        T.StructType([T.StructField(label, dtype), T.StructField(out, T.LongType())]))
     return df.join(F.broadcast(codes), on=label, how="left")
 
 

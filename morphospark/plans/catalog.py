@@ -126,7 +126,7 @@ from morphospark.operators import dose as DS  # noqa: E402
 from morphospark.operators import ranking as RK  # noqa: E402
 from morphospark.operators import report as RP  # noqa: E402
 from morphospark.operators import scale as SC  # noqa: E402
-from morphospark.operators.joins import suffix_join  # noqa: E402
+from morphospark.operators.joins import sized_broadcast, suffix_join  # noqa: E402
 from morphospark.operators.rows import cross_section  # noqa: E402
 
 _ORG = O.with_(*O.ORG_CHAIN)
@@ -737,19 +737,13 @@ def q_dose_line_to_lowest_dose(spark, sf_dir):
     fs = organoids(spark, sf_dir)
     treated = fs.df.filter(F.col("Drug") != "Control")
     low = treated.groupBy("Drug", "Cell").agg(F.min("`Conc /uM`").alias("_d0"))
-    lowest = treated.join(sized_broadcast_(low), ["Drug", "Cell"]).filter(F.col("`Conc /uM`") == F.col("_d0")).drop("_d0")
+    lowest = treated.join(sized_broadcast(low), ["Drug", "Cell"]).filter(F.col("`Conc /uM`") == F.col("_d0")).drop("_d0")
     ref = DIST.reference_profiles(FeatureSet(lowest, fs.keys, fs.features), ["Drug", "Cell"])
     d = DIST.distance_to_reference(FeatureSet(treated, fs.keys, fs.features), ref, ["Drug", "Cell"])
     per_image = d.groupBy("Drug", "Cell", "`Conc /uM`", "ImageNumber").agg(F.avg("distance").alias("distance"))
     return stable(DS.line_fit(per_image, ["Drug", "Cell"], "Conc /uM", "distance"))
 
 
-def sized_broadcast_(df):
-    from morphospark.operators.joins import sized_broadcast
-
-    return sized_broadcast(df)
-
-
 @register("correlation_to_control_profile", _ORG + "," + _CTRL_REF + """,
 t AS """ + O.tall("organoids", O.ORG_KEYS_SQL, name="feature") + """,
 rt AS (UNPIVOT ref ON """ + ", ".join(f"r_{c} AS '{c}'" for c in O.FEATURES) + """ INTO NAME feature VALUE _r)
