@@ -106,3 +106,14 @@ def fingerprints(fs: FeatureSet, label: str, k: float = 3.0):
     m, s = F.avg("_v"), F.stddev_pop("_v")
     bounds = allv.agg(m.alias("mean"), s.alias("std"), (m - k * s).alias("lower"), (m + k * s).alias("upper"))
     return tall, bounds
+
+
+def max_correlation_over_doses(fs: FeatureSet, ref: DataFrame, match_keys, drug: str = "Drug",
+                               dose: str = "Conc /uM") -> DataFrame:
+    """A24 re-aimed: the dose-independent similarity of a drug to a reference
+    profile - per (drug, match keys, dose) the exact median profile, its
+    Pearson r with the reference profile, and the maximum over doses."""
+    keys = list(dict.fromkeys([drug] + list(match_keys) + [dose]))
+    prof = group_median(fs.df, keys, list(fs.features))
+    r = correlation_to_reference(FeatureSet(prof, tuple(keys), fs.features), ref, match_keys, "r")
+    return r.groupBy(q(drug), *[q(k) for k in match_keys]).agg(F.max("r").alias("max_correlation"))

@@ -965,3 +965,17 @@ def q_label_code_correlation(spark, sf_dir):
     fs = cells(spark, sf_dir)
     coded = RK.label_codes(fs.df, "Drug", out="code").withColumn("code", F.col("code").cast("double"))
     return stable(DS.label_code_correlation(coded, fs.features, "code"))
+
+
+@register("max_correlation_over_doses", _ORG + "," + _CTRL_REF + """,
+prof AS (SELECT Drug, Cell, "Conc /uM", """ + ", ".join(f"median({c}) AS {c}" for c in O.FEATURES) + """
+  FROM organoids GROUP BY Drug, Cell, "Conc /uM"),
+t AS """ + O.tall("prof", 'Drug, Cell, "Conc /uM"', name="feature") + """,
+rt AS (UNPIVOT ref ON """ + ", ".join(f"r_{c} AS '{c}'" for c in O.FEATURES) + """ INTO NAME feature VALUE _r),
+r AS (SELECT t.Drug, t.Cell, t."Conc /uM", covar_pop(_v, _r) / nullif(stddev_pop(_v) * stddev_pop(_r), 0) AS r
+      FROM t JOIN rt ON t.Cell = rt.Cell AND t.feature = rt.feature GROUP BY t.Drug, t.Cell, t."Conc /uM")
+SELECT Drug, Cell, round(max(r), 6) AS max_correlation FROM r GROUP BY Drug, Cell""")
+def q_max_correlation_over_doses(spark, sf_dir):
+    fs = organoids(spark, sf_dir)
+    ref = DIST.reference_profiles(fs, ["Cell"], F.col("Drug") == "Control")
+    return stable(DIST.max_correlation_over_doses(fs, ref, ["Cell"]))
