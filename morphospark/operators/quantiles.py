@@ -51,7 +51,7 @@ def quantiles_by_rank(df: DataFrame, keys, features, probs) -> DataFrame:
     names = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("_f") + 1)
     return out.select(
         *[q(k) for k in keys], names.alias("feature"), F.col("_p").alias("p"),
-        (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_w")).alias("value"))
+        (F.col("_vlo") * (1.0 - F.col("_w")) + F.col("_vhi") * F.col("_w")).alias("value"))
 
 
 def column_quantiles(df: DataFrame, features, probs) -> dict:

@@ -24,9 +24,12 @@ _MEMO: dict = {}
 
 
 def stable(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column (comparison across engines)."""
+    """Round every floating column to ``digits`` places for comparison across
+    engines, as round(x * 10^d) / 10^d on the double - the arithmetic DuckDB's
+    round(x, d) performs - so exact half-way values round alike on both sides."""
+    scale = float(10 ** digits)
     return df.select(*[
-        F.round(F.col(q(f.name)), digits).alias(f.name)
+        (F.round(F.col(q(f.name)).cast("double") * scale, 0) / scale).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(q(f.name))
         for f in df.schema.fields])
 
