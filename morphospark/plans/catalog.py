@@ -673,14 +673,22 @@ def q_kde_violin_grid(spark, sf_dir):
 _LV_P = sorted({0.5 ** (i + 1) for i in range(1, 7)} | {1 - 0.5 ** (i + 1) for i in range(1, 7)})
 
 
+# The oracle spells out the order statistics and the interpolation
+# lo * (1 - d) + hi * d (Spark's percentile arithmetic): DuckDB's built-in
+# quantile_cont resolves exact binary midpoints differently by code path.
 @register("boxen_letter_values", O.with_(O.EVENTS_X) + """,
-n AS (SELECT event_type, count(value) AS n FROM events_x GROUP BY ALL),
-qv AS (SELECT event_type, CAST(unnest([""" + ", ".join(repr(p) for p in _LV_P) + """]) AS DOUBLE) AS p,
-              unnest(quantile_cont(value, [""" + ", ".join(repr(p) for p in _LV_P) + """])) AS value
-       FROM events_x WHERE value IS NOT NULL GROUP BY event_type)
-SELECT qv.event_type, CAST(round(-log2(least(p, 1 - p))) AS INTEGER) - 1 AS depth,
+n AS (SELECT event_type, count(value) AS n FROM events_x WHERE value IS NOT NULL GROUP BY ALL),
+r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i
+      FROM events_x WHERE value IS NOT NULL),
+ps AS (SELECT CAST(unnest([""" + ", ".join(repr(p) for p in _LV_P) + """]) AS DOUBLE) AS p),
+pos AS (SELECT n.event_type, ps.p, n.n, ps.p * (n.n - 1) AS h FROM n, ps),
+pos2 AS (SELECT *, floor(h) AS lo_i, ceil(h) AS hi_i, h - floor(h) AS w FROM pos),
+qv AS (SELECT pos2.event_type, pos2.p, pos2.n, rl.value * (1 - w) + rh.value * w AS value
+       FROM pos2 JOIN r rl ON rl.event_type = pos2.event_type AND rl.i = pos2.lo_i
+                 JOIN r rh ON rh.event_type = pos2.event_type AND rh.i = pos2.hi_i)
+SELECT event_type, CAST(round(-log2(least(p, 1 - p))) AS INTEGER) - 1 AS depth,
        CASE WHEN p < 0.5 THEN 'lower' ELSE 'upper' END AS side, round(p, 6) AS p, round(value, 6) AS value, n
-FROM qv JOIN n USING (event_type)
+FROM qv
 WHERE CAST(round(-log2(least(p, 1 - p))) AS INTEGER) - 1 <= greatest(1, CAST(floor(log2(n)) AS INTEGER) - 3)""")
 def q_boxen_letter_values(spark, sf_dir):
     return stable(PD.letter_values(events_x(spark, sf_dir), "event_type", "value"))
