@@ -1,3 +1,4 @@
+import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -30,3 +31,19 @@ def test_stream_equals_batch(spark):
     assert counts == batch
     q1.stop()
     q2.stop()
+
+
+def test_start_curation_available_now(spark):
+    from morphospark.streaming.curate_stream import start_curation
+
+    src = tempfile.mkdtemp(prefix="ms-stream-src-")
+    sink = tempfile.mkdtemp(prefix="ms-stream-sink-") + "/out"
+    objs = D.objects(spark, SF)
+    objs.repartition(2).write.mode("overwrite").parquet(src)
+    q = start_curation(spark, src, objs.schema, sink, images=D.images(spark, SF),
+                       drop_list=D.DROP_LIST, name="ms_job_" + os.path.basename(src).replace("-", "_"))
+    q.awaitTermination(300)
+    out = spark.read.parquet(sink)
+    want = annotate(spark.read.parquet(src), D.images(spark, SF)).drop(*D.DROP_LIST)
+    assert out.count() == want.count() > 0
+    assert set(out.columns) == set(want.columns)
