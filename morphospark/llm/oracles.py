@@ -10,7 +10,7 @@ _NAV = quality.NAVIGATION.replace("*+", "*")
 
 OP1 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
              string_split(t, chr(10)) AS lines FROM d),
 win AS (SELECT doc_id, i, words[i:i + 4] AS g
         FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
@@ -28,10 +28,10 @@ lc AS (SELECT doc_id, count(*) FILTER (rule = 'punctuation') AS p, count(*) FILT
               count(*) FILTER (rule = 'boilerplate') AS b,
               coalesce(sum(length(line)) FILTER (rule <> ''), 0) AS lost FROM jd GROUP BY doc_id),
 s AS (SELECT w.doc_id, len(words) AS n_words,
-             coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+             coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-             len(list_filter(lines, x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
-               - len(list_distinct(list_filter(lines, x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+             len(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+               - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
              coalesce(cov.n, 0) AS n_repeat_words, length(t) AS n_chars,
              coalesce(lc.p, 0) AS p, coalesce(lc.n, 0) AS nav, coalesce(lc.b, 0) AS b,
              coalesce(lc.lost, 0)::BIGINT AS lost_chars
@@ -49,7 +49,7 @@ OP5 = rf"""
 WITH p AS (SELECT page_id, url,
                   rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.') AS host,
                   list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'),
-                              x -> x <> '') AS parts,
+                              lambda x: x <> '') AS parts,
                   DATE '2024-01-01' + ({_NUMBER.format("'day' || page_id::VARCHAR")} % 365)::INT AS fetch_day
            FROM pages),
 pat AS (SELECT DISTINCT host AS pattern, 4 AS every FROM p WHERE host <> ''
