@@ -46,8 +46,9 @@ class Workspace:
     """Staged Parquet tables of one operator run in the shared checkpoint folder.
 
     A staged table cuts the lineage: a lost executor costs the tasks in
-    flight, never the upstream plan.  ``drop`` removes a table as soon as no
-    later step reads it; what the returned DataFrame reads stays.
+    flight, never the upstream plan.  ``drop`` removes tables as soon as no
+    later step reads them, and lets Spark clear the shuffles behind them; what
+    the returned DataFrame reads stays.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -65,3 +66,5 @@ class Workspace:
         for label in labels:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{label}")
             path.getFileSystem(conf).delete(path, True)
+        # Spark deletes the shuffle files of finished jobs when the driver's JVM collects their plans.
+        jvm.System.gc()
