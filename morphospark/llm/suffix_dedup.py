@@ -370,17 +370,18 @@ def removed_ranges(texts: DataFrame, ws: Workspace, batches: int = BATCHES,
     """k1, k2, lo, hi: byte ranges of the distinct texts (k1, k2, text, copies) that stand elsewhere too."""
     anchors = ws.stage(_anchors(texts), "anchors")
     each = anchors.select("k1", "k2", F.explode("hs").alias("h"))
-    often = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # Staged, so that the join has a shuffle of its own on both sides and Spark can split a frequent anchor.
+    often = ws.stage(each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     wanted = each.join(often, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("hs"))
     wanted = ws.stage(wanted, "wanted")
-    ws.drop("anchors")
+    ws.drop("anchors", "often")
     placed = ws.stage(_placed(texts.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select(
         "k1", "k2", "text", "copies", "hs")), "placed")
     ws.drop("wanted")
     own = placed.groupBy("h", "a", "s1", "s2", "size").agg(
         F.sum("copies").alias("n"), F.min("body").alias("body"), F.min(F.pmod("k1", F.lit(batches))).alias("batch"))
     own = ws.stage(own, "own")
-    several = own.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
+    several = ws.stage(own.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "several")
     ready, counted = _grouped(own.join(several, "h").select("h", "s1", "s2", "a", "size", "body", "batch"), ws,
                               part_bytes)
     groups = ready[0]
@@ -402,7 +403,7 @@ def removed_ranges(texts: DataFrame, ws: Workspace, batches: int = BATCHES,
         "k1", "k2", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     ranges = ws.stage(ranges, "ranges")
     index.close()
-    ws.drop("placed", "own", "groups")
+    ws.drop("placed", "own", "groups", "several")
     return ranges
 
 
