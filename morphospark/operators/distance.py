@@ -34,7 +34,7 @@ def reference_profiles(fs: FeatureSet, match_keys, where: Column | None = None,
 def distance_to_reference(fs: FeatureSet, ref: DataFrame, match_keys, out: str = "distance") -> DataFrame:
     """J9/A25/A26 re-aimed: Euclidean distance of each row to its reference profile."""
     r = ref.select(*[q(k) for k in match_keys], *[F.col(q(c)).alias(f"_ref_{c}") for c in fs.features])
-    j = fs.df.join(sized_broadcast(r), list(match_keys), "inner")
+    j = fs.df.join(sized_broadcast(r), list(match_keys), "left")  # without a reference profile: null
     diffs = [F.col(q(c)) - F.col(q(f"_ref_{c}")) for c in fs.features]
     return j.select(*[q(k) for k in fs.keys], F.sqrt(sum_of_squares(diffs)).alias(out))
 
@@ -47,7 +47,7 @@ def correlation_to_reference(fs: FeatureSet, ref: DataFrame, match_keys, out: st
     keys = list(fs.keys)
     tall = tall_features(fs.df, keys, fs.features, "_feat", "_v")
     rtall = tall_features(ref, list(match_keys), fs.features, "_feat", "_r")
-    j = tall.join(sized_broadcast(rtall), list(match_keys) + ["_feat"], "inner")
+    j = tall.join(sized_broadcast(rtall), list(match_keys) + ["_feat"], "left")
     return j.groupBy(*[q(k) for k in keys]).agg(pearson_r(F.col("_v"), F.col("_r")).alias(out))
 
 

@@ -251,9 +251,12 @@ def mutual_information_binned(fs: FeatureSet, label: str, bins: int = 10) -> Dat
     tall = tall_features(fs.df, [label], fs.features, "feature", "_v")
     ranked = rank_in_group(tall, ["feature"], [F.col("_v"), F.col(q(label))], out="_r")
     n = tall.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
-    b = ranked.join(F.broadcast(n), "feature").withColumn(
-        "_bin", F.floor((F.col("_r") - 1) * bins / F.col("_n")))
-    joint = b.groupBy("feature", "_bin", q(label)).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    # Equal values share the bin of the first of them: a bin is a range of values, whatever the labels.
+    own = ranked.groupBy("feature", "_v", q(label)).agg(F.count(F.lit(1)).alias("_c"), F.min("_r").alias("_r"))
+    first = own.groupBy("feature", "_v").agg(F.min("_r").alias("_first"))
+    b = own.join(first, ["feature", "_v"]).join(F.broadcast(n), "feature").withColumn(
+        "_bin", F.floor((F.col("_first") - 1) * bins / F.col("_n")))
+    joint = b.groupBy("feature", "_bin", q(label)).agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n"))
     pb = joint.groupBy("feature", "_bin").agg(F.sum("_c").alias("_cb"))
     py = joint.groupBy("feature", q(label)).agg(F.sum("_c").alias("_cy"))
     j = joint.join(pb, ["feature", "_bin"]).join(py, ["feature", label])

@@ -82,9 +82,14 @@ def kde_grid(df: DataFrame, group, value: str, points: int = 100, cut: float = 2
                        (F.col("_s") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
-def letter_values(df: DataFrame, group, value: str, max_depth: int = 6) -> DataFrame:
-    """lower/upper letter values per depth 1..k, k = floor(log2 n) - 3 (Tukey), >= 1."""
+def letter_values(df: DataFrame, group, value: str) -> DataFrame:
+    """lower/upper letter values per depth 1..k, k = floor(log2 n) - 3 (Tukey), >= 1.
+
+    The depths asked for are those of the largest group.
+    """
     group = [group] if isinstance(group, str) else list(group)
+    largest = df.groupBy(*[q(g) for g in group]).agg(F.count(F.col(q(value))).alias("n")).agg(F.max("n")).first()[0]
+    max_depth = max(1, int(math.floor(math.log2(max(largest or 1, 1)))) - 3)
     probs = sorted({0.5 ** (i + 1) for i in range(1, max_depth + 1)} | {1 - 0.5 ** (i + 1) for i in range(1, max_depth + 1)})
     qs = quantiles_by_rank(df, group, [value], probs)
     n = df.groupBy(*[q(g) for g in group]).agg(F.count(F.col(q(value))).alias("n"))

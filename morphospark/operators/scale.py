@@ -149,12 +149,19 @@ def _loglik(df: DataFrame, features, lam_table: dict) -> dict:
     return out
 
 
+#: Times that the scan of a feature may move on; each triples its reach.
+WIDENINGS = 12
+
+
 def fit_yeo_johnson(fs: FeatureSet, grid=(-4.0, 6.0), points: int = 17, rounds: int = 4) -> dict:
     """Maximum-likelihood lambda per feature (sklearn's objective).
 
-    Round 1 scans ``points`` lambdas on ``grid``; each further round scans
-    the bracket around the best one; a final parabola through the best
-    point and its neighbours.  Features whose variance is 0 get None.
+    Round 1 scans ``points`` lambdas on ``grid``.  While the best one of a
+    feature is at an end of its scan, the scan moves on beyond that end, twice
+    as wide each time (at most ``WIDENINGS`` times, after which the last end is
+    the result); then each round scans the bracket around the best one; a final
+    parabola through the best point and its neighbours.  Features whose
+    variance is 0 get None.
     """
     feats = list(fs.features)
     lim = fs.df.agg(*[F.min(F.col(q(c))).alias(f"lo{i}") for i, c in enumerate(feats)],
@@ -165,18 +172,28 @@ def fit_yeo_johnson(fs: FeatureSet, grid=(-4.0, 6.0), points: int = 17, rounds:
     best: dict = {c: None for c in constant}
     if not feats:
         return {c: None for c in fs.features}
-    for _ in range(rounds):
+    left = {c: rounds for c in feats}  # scans still due; widening takes none of them
+    moves = {c: 0 for c in feats}
+    while any(left.values()):
+        lam_table = {c: lams for c, lams in lam_table.items() if left[c]}
+        feats = list(lam_table)
         ll = _loglik(fs.df, feats, lam_table)
         new_table = {}
         for c in feats:
             lams = lam_table[c]
             vals = [ll.get((c, j), (lams[j], -math.inf))[1] for j in range(len(lams))]
             if all(v == -math.inf for v in vals):
-                best[c] = None
-                new_table[c] = [1.0]
+                best[c], left[c] = None, 0
                 continue
             k = int(np.argmax(vals))
             best[c] = (lams, vals, k)
+            if k in (0, len(lams) - 1) and left[c] == rounds and moves[c] < WIDENINGS:
+                moves[c] += 1
+                span = 2 * (lams[-1] - lams[0])
+                new_table[c] = list(np.linspace(lams[0] - span, lams[1], points) if k == 0
+                                    else np.linspace(lams[-2], lams[-1] + span, points))
+                continue
+            left[c] -= 1
             lo = lams[max(k - 1, 0)]
             hi = lams[min(k + 1, len(lams) - 1)]
             new_table[c] = list(np.linspace(lo, hi, points))

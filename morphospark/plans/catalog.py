@@ -516,7 +516,7 @@ def q_chi2_scores(spark, sf_dir):
 
 
 @register("mutual_info_binned", _CELLS + "," + _TALL_DRUG + """,
-r AS (SELECT feature, Drug, row_number() OVER (PARTITION BY feature ORDER BY _v, Drug) AS rn,
+r AS (SELECT feature, Drug, rank() OVER (PARTITION BY feature ORDER BY _v) AS rn,
              count(*) OVER (PARTITION BY feature) AS n FROM t),
 b AS (SELECT feature, Drug, n, floor((rn - 1) * 10 / n) AS bin FROM r),
 j AS (SELECT feature, bin, Drug, count(*) AS c, any_value(n) AS n FROM b GROUP BY ALL),
@@ -670,9 +670,6 @@ def q_kde_violin_grid(spark, sf_dir):
     return stable(PD.kde_grid(events_x(spark, sf_dir), "event_type", "value", points=100))
 
 
-_LV_P = sorted({0.5 ** (i + 1) for i in range(1, 7)} | {1 - 0.5 ** (i + 1) for i in range(1, 7)})
-
-
 # The oracle spells out the order statistics and the interpolation
 # lo * (1 - d) + hi * d (Spark's percentile arithmetic): DuckDB's built-in
 # quantile_cont resolves exact binary midpoints differently by code path.
@@ -680,8 +677,9 @@ _LV_P = sorted({0.5 ** (i + 1) for i in range(1, 7)} | {1 - 0.5 ** (i + 1) for i
 n AS (SELECT event_type, count(value) AS n FROM events_x WHERE value IS NOT NULL GROUP BY ALL),
 r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i
       FROM events_x WHERE value IS NOT NULL),
-ps AS (SELECT CAST(unnest([""" + ", ".join(repr(p) for p in _LV_P) + """]) AS DOUBLE) AS p),
-pos AS (SELECT n.event_type, ps.p, n.n, ps.p * (n.n - 1) AS h FROM n, ps),
+k AS (SELECT *, unnest(range(1, 1 + greatest(1, CAST(floor(log2(n)) AS INTEGER) - 3))) AS d FROM n),
+ps AS (SELECT event_type, n, unnest([pow(0.5::DOUBLE, d + 1), 1 - pow(0.5::DOUBLE, d + 1)]) AS p FROM k),
+pos AS (SELECT event_type, p, n, p * (n - 1) AS h FROM ps),
 pos2 AS (SELECT *, floor(h) AS lo_i, ceil(h) AS hi_i, h - floor(h) AS w FROM pos),
 qv AS (SELECT pos2.event_type, pos2.p, pos2.n, rl.value * (1 - w) + rh.value * w AS value
        FROM pos2 JOIN r rl ON rl.event_type = pos2.event_type AND rl.i = pos2.lo_i
@@ -916,7 +914,7 @@ def q_ransac_inliers(spark, sf_dir):
     fs = scaled_organoids(spark, sf_dir)
     treated = fs.df.filter(F.col("`Conc /uM`") > 0).withColumn("_logdose", F.log10(F.col("`Conc /uM`")))
     inl, _coef = M.ransac_inliers(FeatureSet(treated, fs.keys, fs.features), "_logdose",
-                                  ["ImageNumber", "Date", "Drug", "Replicate"], candidates=50, seed=0)
+                                  ["ImageNumber", "Date", "Drug", "Cell", "Replicate", "Conc /uM"], candidates=100, seed=0)
     return inl.select(*[q(k) for k in ORGANOID_KEYS])
 
 

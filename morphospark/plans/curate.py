@@ -37,9 +37,12 @@ def annotate(objects: DataFrame, images: DataFrame | None = None,
 
 
 def curate_objects(objects: DataFrame, images: DataFrame | None = None, drop_list=(),
-                   materialize: bool = True, **kw) -> FeatureSet:
+                   materialize: bool = True, drop_nulls: bool = True, **kw) -> FeatureSet:
     """Per-object FeatureSet keyed by the 7 index keys.
 
+    ``drop_nulls=False`` keeps features with a null in some object, as the
+    input of medians: those drop a feature only for a null median.
+
     With ``stage`` the joined numeric table is checkpointed (reliable
     storage) before the P5 null-count action, so the path parsing and the
     join run once; the returned plan reads the staged rows.
@@ -48,7 +51,7 @@ def curate_objects(objects: DataFrame, images: DataFrame | None = None, drop_lis
     fs = cast_features(keep_numeric(df, INDEX_KEYS))
     if materialize:
         fs = fs.with_df(stage(fs.df, "cells"))
-    return drop_null_features(fs)
+    return drop_null_features(fs) if drop_nulls else fs
 
 
 def median_per_organoid(cells: FeatureSet, method: str = "exact",
@@ -83,12 +86,14 @@ def curate_with_medians(objects: DataFrame, images: DataFrame | None = None, dro
     detect = (image_keys if image_keys is not None else objects.select("ImageNumber"), ["ImageNumber"])
     med = stage(group_median(fs.df, ORGANOID_KEYS, feats, method=method, threshold=threshold,
                              with_counts=True, detect=detect), "organoids")
-    nulls = med.agg(*[F.sum(F.col("_rows") - F.col(f"_nonnull{i}")).alias(f"n{i}")
-                      for i in range(len(feats))]).first()
+    nulls = med.agg(*[F.sum(F.col("_rows") - F.col(f"_nonnull{i}")).alias(f"n{i}") for i in range(len(feats))],
+                    *[F.count_if(F.col(q(c)).isNull()).alias(f"m{i}") for i, c in enumerate(feats)]).first()
     keep = tuple(c for i, c in enumerate(feats) if not (nulls[f"n{i}"] or 0))
     cells = FeatureSet(fs.df.select(*[q(k) for k in INDEX_KEYS], *[q(c) for c in keep]), INDEX_KEYS, keep)
-    medians = FeatureSet(med.select(*[q(k) for k in ORGANOID_KEYS], *[q(c) for c in keep]),
-                         ORGANOID_KEYS, keep)
+    # a feature with a null in some object still has its medians; only a null median drops it there
+    whole = tuple(c for i, c in enumerate(feats) if not (nulls[f"m{i}"] or 0))
+    medians = FeatureSet(med.select(*[q(k) for k in ORGANOID_KEYS], *[q(c) for c in whole]),
+                         ORGANOID_KEYS, whole)
     return cells, medians
 
 

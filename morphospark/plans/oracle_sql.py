@@ -18,16 +18,16 @@ OBJECTS = """objects AS (
          row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey,
              l.l_suppkey, l.l_quantity, l.l_extendedprice, l.l_discount, l.l_tax,
              l.l_returnflag, l.l_linestatus, l.l_shipdate) AS ObjectNumber,
-         '/data/' || strftime(l.l_shipdate, '%y%m%d') || '_plate_'
-           || CASE l.l_linestatus WHEN 'F' THEN 'ISO34' WHEN 'O' THEN 'ISO49' END || '_'
-           || CASE l.l_returnflag WHEN 'A' THEN 'Dabrafenib' WHEN 'N' THEN '5FU'
-                                  WHEN 'R' THEN 'Vemurafenib' END || '_'
-           || replace(printf('%.2f', l.l_discount), '.', '_') || 'uM/img'
-           || CASE WHEN l.l_linenumber <= 3 THEN '_Position_' || CAST(l.l_linenumber AS VARCHAR)
+         '/data/' || strftime(o.o_orderdate, '%y%m%d') || '_plate_'
+           || CASE o.o_orderstatus WHEN 'F' THEN 'ISO34' ELSE 'ISO49' END || '_'
+           || CASE WHEN left(o.o_orderpriority, 1) IN ('1', '4') THEN 'Dabrafenib'
+                   WHEN left(o.o_orderpriority, 1) IN ('2', '5') THEN '5FU' ELSE 'Vemurafenib' END || '_'
+           || replace(printf('%.2f', o.o_custkey % 11 / 100.0), '.', '_') || 'uM/img'
+           || CASE WHEN l.l_orderkey % 4 > 0 THEN '_Position_' || CAST(l.l_orderkey % 4 AS VARCHAR)
                    ELSE '' END || '.tif' AS Metadata_FileLocation,
          l.l_linenumber, l.l_partkey, l.l_quantity, l.l_extendedprice, l.l_tax,
          p.p_size, p.p_retailprice
-  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN part p ON l.l_partkey = p.p_partkey
 )"""
 
 _P = PATH_PATTERN.replace("'", "''")

@@ -21,8 +21,10 @@ from morphospark.operators.ranking import rank_in_group
 from morphospark.sources.readers import read_parquet
 
 # Fixed values of the binding (mirrored in the SQL oracle).
-DRUG_BY_RETURNFLAG = {"A": "Dabrafenib", "N": "5FU", "R": "Vemurafenib"}
-CELL_BY_LINESTATUS = {"F": "ISO34", "O": "ISO49"}
+# An image (order) has one drug, cell line, dose, date and position; its lines are the objects in it.
+DRUG_BY_PRIORITY = {"1-URGENT": "Dabrafenib", "2-HIGH": "5FU", "3-MEDIUM": "Vemurafenib",
+                    "4-NOT SPECIFIED": "Dabrafenib", "5-LOW": "5FU"}
+CELL_BY_ORDERSTATUS = {"F": "ISO34", "O": "ISO49", "P": "ISO49"}
 OBJECT_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 # Identifier columns that are not morphology; the binding's drop list.
@@ -41,14 +43,14 @@ def _case(col: str, mapping: dict):
 
 
 def file_location():
-    dose_text = F.translate(F.format_string("%.2f", F.col("l_discount")), ".", "_")
-    position = F.when(F.col("l_linenumber") <= 3,
-                      F.concat(F.lit("_Position_"), F.col("l_linenumber").cast("string"))
+    dose_text = F.translate(F.format_string("%.2f", F.col("o_custkey") % 11 / 100), ".", "_")
+    position = F.when(F.col("l_orderkey") % 4 > 0,
+                      F.concat(F.lit("_Position_"), (F.col("l_orderkey") % 4).cast("string"))
                       ).otherwise(F.lit(""))
     return F.concat(
-        F.lit("/data/"), F.date_format("l_shipdate", "yyMMdd"), F.lit("_plate_"),
-        _case("l_linestatus", CELL_BY_LINESTATUS), F.lit("_"),
-        _case("l_returnflag", DRUG_BY_RETURNFLAG), F.lit("_"),
+        F.lit("/data/"), F.date_format("o_orderdate", "yyMMdd"), F.lit("_plate_"),
+        _case("o_orderstatus", CELL_BY_ORDERSTATUS), F.lit("_"),
+        _case("o_orderpriority", DRUG_BY_PRIORITY), F.lit("_"),
         dose_text, F.lit("uM/img"), position, F.lit(".tif"),
     )
 
@@ -61,6 +63,9 @@ def objects(spark: SparkSession, sf_dir: str, threshold: int | None = None) -> D
     # by l_orderkey (= ImageNumber) for the image join and the organoid median
     keys_only = li.select("l_orderkey")  # group sizes do not change under the n:1 join
     li = li.join(part, li.l_partkey == part.p_partkey, "left").drop("p_partkey")
+    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
+                                                  "o_orderpriority")
+    li = li.join(order, li.l_orderkey == order.o_orderkey)
     ranked = rank_in_group(li, ["l_orderkey"], list(OBJECT_ORDER), out="ObjectNumber",
                            threshold=threshold, detect=(keys_only, ["l_orderkey"]))
     return ranked.select(
