@@ -21,8 +21,6 @@ fingerprint and component; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,36 +35,26 @@ RADIUS = 3
 QUARTER = 16
 TILE = 2048
 STRIP = 256
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Shingles hashed at a time.
+BLOCK = 65536
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+def fingerprint(text: str | bytes, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit fingerprint: a bit is set if it is set in over half the shingle hashes."""
     import xxhash
 
-    words = _WORD.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
+    # lower() and split() of bytes know ASCII only: A-Z, and space and tab to carriage return.
+    words = (text.encode() if isinstance(text, str) else text).lower().split()
     if not words:
         return 0
-    if not text.isascii():
-        words = [w.encode() for w in words]
-        joined = b" ".join(words)
-    else:
-        joined = " ".join(words).encode()
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-    ends = starts + lengths
-    if len(words) > shingle:
-        starts, ends = starts[:-(shingle - 1)], ends[shingle - 1:]
-    else:
-        starts, ends = starts[:1], ends[-1:]
+    width = min(shingle, len(words))
+    n = len(words) - width + 1
     digest = xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())])
-    n = len(starts)
     total = np.zeros(64, np.int64)
-    bits = np.frombuffer(raw, np.uint8).reshape(n, 8)
-    for at in range(0, n, 65536):
-        total += np.unpackbits(bits[at:at + 65536], axis=1).sum(axis=0, dtype=np.int64)
+    for at in range(0, n, BLOCK):
+        part = words[at:at + BLOCK + width - 1]
+        raw = b"".join([digest(s, SEED) for s in map(b" ".join, zip(*[part[k:] for k in range(width)]))])
+        total += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
@@ -74,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and its fingerprint as a signed long."""
     def run(batches):
         for batch in batches:
-            values = [fingerprint(x, shingle) for x in batch.column(1).to_pylist()]
+            values = [fingerprint(x, shingle) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             fp = pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], names=["doc_id", "fp"])
 
