@@ -1,15 +1,14 @@
 """Read per-object / per-image tables.
 
-CSV exports are read with an explicit schema built from the first file's
-header (no inferSchema pass over the data); pandas' missing-value tokens and
-NaN become null once, at the source (R1).
+CSV exports are read by Spark from any path it can open.  The header comes from
+Spark's reader, and every file's own header is compared with it, so a file with
+another column order stops the job instead of being read by position.  Columns
+that hold text anywhere stay text, as in pandas; missing-value tokens and NaN
+become null once, at the source (R1).
 """
 
 from __future__ import annotations
 
-import csv
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,42 +25,39 @@ STRING_COLUMNS = {"Metadata_FileLocation"}
 LONG_COLUMNS = {"ImageNumber", "ObjectNumber"}
 
 
-def header_schema(path: str, string_columns=(), long_columns=()) -> T.StructType:
-    """Schema from the header line: keys long, named text columns string,
-    everything else double (the reference casts features to float64)."""
-    first = path
-    if os.path.isdir(path):
-        files = sorted(f for f in os.listdir(path) if f.endswith(".csv"))
-        first = os.path.join(path, files[0])
-    with open(first, newline="") as fh:
-        header = next(csv.reader(fh))
+#: A number as pandas reads it.
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+
+
+def _value(name: str):
+    """The text of a field, null where it is a missing-value token."""
+    c = F.col(q(name))
+    return F.when(~c.isin(*NA_TOKENS), c)
+
+
+def column_types(raw: DataFrame, string_columns=(), long_columns=()) -> T.StructType:
+    """Keys long, named text columns string; of the others those with a value that
+    is no number are string and the rest double (one aggregate over the table)."""
     strings = STRING_COLUMNS | set(string_columns)
     longs = LONG_COLUMNS | set(long_columns)
-    fields = []
-    for name in header:
-        if name in strings:
-            t = T.StringType()
-        elif name in longs:
-            t = T.LongType()
-        else:
-            t = T.DoubleType()
-        fields.append(T.StructField(name, t, True))
-    return T.StructType(fields)
-
-
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             **schema_kw) -> DataFrame:
-    schema = schema or header_schema(path, **schema_kw)
-    string_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
-    raw = spark.read.csv(path, header=True, schema=string_schema, mode="FAILFAST")
-    cols = []
-    for f in schema.fields:
-        c = F.col(q(f.name))
-        c = F.when(c.isin(*NA_TOKENS), F.lit(None)).otherwise(c)
-        if not isinstance(f.dataType, T.StringType):
-            c = c.cast(f.dataType)
-        cols.append(c.alias(f.name))
-    return normalise_nan(raw.select(*cols))
+    unknown = [c for c in raw.columns if c not in strings | longs]
+    if unknown:
+        row = raw.agg(*[F.max(~_value(c).rlike(NUMBER)).alias(f"t{i}") for i, c in enumerate(unknown)]).first()
+        strings = strings | {c for i, c in enumerate(unknown) if row[f"t{i}"]}
+    return T.StructType([
+        T.StructField(c, T.StringType() if c in strings else T.LongType() if c in longs else T.DoubleType(), True)
+        for c in raw.columns])
+
+
+def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, **schema_kw) -> DataFrame:
+    """Rows of one or several CSV files.  A given ``schema`` saves the pass that finds the text columns."""
+    names = schema.names if schema else spark.read.csv(path, header=True).columns
+    as_text = T.StructType([T.StructField(c, T.StringType(), True) for c in names])
+    raw = spark.read.csv(path, header=True, schema=as_text, enforceSchema=False, mode="FAILFAST")
+    schema = schema or column_types(raw, **schema_kw)
+    return normalise_nan(raw.select(*[
+        (_value(f.name) if isinstance(f.dataType, T.StringType) else F.trim(_value(f.name)).cast(f.dataType))
+        .alias(f.name) for f in schema.fields]))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -82,9 +78,10 @@ def normalise_nan(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, **kw) -> DataFrame:
-    fmt = fmt or ("csv" if path.endswith(".csv") or _dir_has(path, ".csv") else "parquet")
+    fmt = fmt or ("csv" if _holds_csv(spark, path) else "parquet")
     return read_csv(spark, path, **kw) if fmt == "csv" else read_parquet(spark, path)
 
 
-def _dir_has(path: str, ext: str) -> bool:
-    return os.path.isdir(path) and any(f.endswith(ext) for f in os.listdir(path))
+def _holds_csv(spark: SparkSession, path: str) -> bool:
+    """By the file names that Spark lists; no file is read."""
+    return any(f.endswith((".csv", ".csv.gz")) for f in spark.read.text(path).inputFiles())
