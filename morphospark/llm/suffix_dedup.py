@@ -334,7 +334,8 @@ def _core() -> Column:
 
 
 def _grouped(rows: DataFrame, ws: Workspace, part_bytes: int):
-    """Stretches with a group id whose bytes fit a part, and ranges of windows settled by counting alone.
+    """Stretches with a group id whose bytes fit a part, ranges of windows settled by counting alone, and the
+    labels of the staged tables that both read.
 
     A group starts as all stretches of an anchor with all their windows; one
     that is too large is halved by window offset, and stretches are regrouped by
@@ -342,9 +343,10 @@ def _grouped(rows: DataFrame, ws: Workspace, part_bytes: int):
     """
     widest = MATCH - GRAM + 1
     rows = rows.withColumns({"p": F.lit(0), "q": F.lit(widest), "core": F.lit("")})
-    ready, counted = [], []
+    ready, counted, labels = [], [], []
     key = ["h", "p", "q", "core"]
     for turn in range(12):
+        labels += [f"turn{turn}", f"sizes{turn}"]
         rows = ws.stage(rows, f"turn{turn}")
         sizes = rows.groupBy(*key).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter("n > 1")
         sizes = ws.stage(sizes.select(*key, (F.col("bytes") > part_bytes).alias("large")), f"sizes{turn}")
@@ -362,7 +364,7 @@ def _grouped(rows: DataFrame, ws: Workspace, part_bytes: int):
         # A stretch goes on only if it has a window in the half; then it holds the bytes shared there.
         big = big.filter(f"greatest(p, {MATCH} - (size - a)) < least(q, a + 1)")
         rows = big.withColumn("core", _core())
-    return ready, counted
+    return ready, counted, labels
 
 
 def removed_ranges(texts: DataFrame, ws: Workspace, batches: int = BATCHES,
@@ -382,7 +384,7 @@ def removed_ranges(texts: DataFrame, ws: Workspace, batches: int = BATCHES,
         F.sum("copies").alias("n"), F.min("body").alias("body"), F.min(F.pmod("k1", F.lit(batches))).alias("batch"))
     own = ws.stage(own, "own")
     several = ws.stage(own.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "several")
-    ready, counted = _grouped(own.join(several, "h").select("h", "s1", "s2", "a", "size", "body", "batch"), ws,
+    ready, counted, labels = _grouped(own.join(several, "h").select("h", "s1", "s2", "a", "size", "body", "batch"), ws,
                               part_bytes)
     groups = ready[0]
     for x in ready[1:]:
@@ -392,18 +394,23 @@ def removed_ranges(texts: DataFrame, ws: Workspace, batches: int = BATCHES,
     groups = ws.stage(groups.select(
         F.pmod(F.xxhash64("h", "p", "q", "core"), F.lit(parts)).alias("part"), "s1", "s2", "a", "body", "p", "q",
         "batch"), "groups")
+    singles = counted[0]
+    for x in counted[1:]:
+        singles = singles.unionByName(x)
+    singles = ws.stage(singles, "counted")
+    ws.drop("several", *labels)
     index, hits = SuffixIndex(ws), []
     if held:
         for b in range(batches):
             hits += index.add(groups.filter(F.col("batch") == b).drop("batch"), last=b == batches - 1)
     settled = own.filter("n > 1").select("s1", "s2", F.lit(0).alias("lo"), F.col("size").alias("hi"))
-    for x in counted + hits:
+    for x in [singles, *hits]:
         settled = settled.unionByName(x)
     ranges = placed.select("s1", "s2", "k1", "k2", "start").join(settled, ["s1", "s2"]).select(
         "k1", "k2", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     ranges = ws.stage(ranges, "ranges")
     index.close()
-    ws.drop("placed", "own", "groups", "several")
+    ws.drop("placed", "own", "groups", "counted")
     return ranges
 
 
