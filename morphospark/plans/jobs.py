@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from morphospark.plans.curate import curate_with_medians
 from morphospark.plans.dose_response import distance_table, dose_response
-from morphospark.session import ensure_checkpoint_dir
+from morphospark.session import ensure_checkpoint_dir, workers_find_package
 from morphospark.sources.droplist import load_drop_list
 from morphospark.sources.readers import read_table
 from morphospark.sources.writers import write_table
@@ -25,6 +25,7 @@ from morphospark.sources.writers import write_table
 def run(spark: SparkSession, objects: str, images: str | None, drop_list: str | None, out: str,
         min_group_count: int | None = None, with_pvalue: bool = True) -> dict:
     ensure_checkpoint_dir(spark)
+    workers_find_package(spark)
     objs = read_table(spark, objects)
     imgs = read_table(spark, images) if images else None
     drops = load_drop_list(drop_list) if drop_list else []

@@ -56,6 +56,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Put this package on the path of the Python workers.
+
+    Workers of a local session get the folder that holds it, from whatever
+    directory the driver was started in; executors elsewhere get a zip of it,
+    once a session, through Spark.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if sc.master.startswith("local"):
+        sc.environment["PYTHONPATH"] = root
+    elif spark.conf.get("morphospark.shipped", None) != sc.applicationId:
+        import shutil
+
+        base = os.path.join(tempfile.mkdtemp(prefix="morphospark-zip-"), "morphospark")
+        sc.addPyFile(shutil.make_archive(base, "zip", root, "morphospark"))
+        spark.conf.set("morphospark.shipped", sc.applicationId)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     value = spark.conf.get("spark.sql.shuffle.partitions", "200")
     try:
