@@ -39,8 +39,11 @@ def path_of(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, from_day, to_day) during which each pattern is on the list."""
+    # Hosts have no case; paths keep theirs, as in candidates().
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.expr("substring(pattern, length(substring_index(pattern, '/', 1)) + 1)"))
     day = entries.filter("pattern is not null and day is not null and action is not null").groupBy(
-        F.lower("pattern").alias("pattern"), F.col("day").cast("date").alias("from_day")).agg(
+        pattern.alias("pattern"), F.col("day").cast("date").alias("from_day")).agg(
             F.max(F.when(F.col("action") == "add", 1).otherwise(0)).alias("on"))
     w = W.partitionBy("pattern").orderBy("from_day")
     runs = day.withColumn("before", F.lag("on").over(w)).filter("before is null or before <> on")
