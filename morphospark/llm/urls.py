@@ -5,7 +5,8 @@ host with a path prefix that is added to or taken off the list on a day.  The
 entries of a pattern become validity intervals [from_day, to_day): the state
 after the last entry of a day holds until the next.  Every capture is compared,
 as of its fetch day, with the intervals of the patterns it could match: its
-host, the host's parents and the host with each leading path.
+host, the host's parents and the host with each leading path, down to the
+deepest path of the whole list.
 
 The join is on the pattern and the month; intervals are cut by month, so a
 pattern with very many entries meets a capture with few.  Spark splits a
@@ -24,7 +25,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 3
 FOREVER = "9999-12-31"
 
 
@@ -51,14 +51,19 @@ def intervals(entries: DataFrame) -> DataFrame:
         .filter("on = 1").select("pattern", "from_day", "to_day")
 
 
-def candidates(url: Column) -> Column:
-    """Patterns that would match a URL: host, its parents of two labels or more, host with leading paths."""
+def candidates(url: Column, deepest: int | None = None) -> Column:
+    """Patterns that would match a URL: host, its parents of two labels or more, host with leading paths.
+
+    No pattern has more than ``deepest`` path segments; all leading paths if it is None.
+    """
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
     parents = F.when(F.size(labels) >= 2, F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array(host))
-    parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, MAX_DEPTH)
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    if deepest is not None:
+        parts = F.slice(parts, 1, deepest)
     paths = F.when(F.size(parts) >= 1, F.transform(
         F.sequence(F.lit(1), F.size(parts)),
         lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(
@@ -82,10 +87,12 @@ def judge(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> Data
     listed = intervals(entries).withColumn(
         "month", F.explode(F.when(first <= last, F.sequence(first, F.greatest(first, F.least(
             _month(F.date_sub("to_day", 1)), last))))))
+    # Longer leading paths than any pattern has can meet none.
+    deepest = max(0, entries.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0)
     rows = captures.select(F.col(key).alias("key"), F.col("url"), F.col("fetch_day").cast("date").alias("fetch_day"))
     asked = rows.filter("url is not null and fetch_day is not null").select(
         "key", "url", "fetch_day", _month(F.col("fetch_day")).alias("month"),
-        F.explode(candidates(F.col("url"))).alias("pattern"))
+        F.explode(candidates(F.col("url"), deepest)).alias("pattern"))
     hits = asked.join(listed, ["pattern", "month"]).filter("fetch_day >= from_day and fetch_day < to_day")
     best = hits.groupBy("key", "url", "fetch_day").agg(
         F.size(F.collect_set("pattern")).alias("n"),

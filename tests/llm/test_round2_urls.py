@@ -24,3 +24,10 @@ def test_listed_first_path_with_capitals_blocks_in_the_query(spark):
     captures = queries.captures(pages).selectExpr("page_id", "url", "date'2025-06-01' fetch_day")
     blocked = {r.url for r in urls.judge(captures, queries.listing(pages)).filter("blocked").collect()}
     assert listed and all(f"http://{p}/x" in blocked for p in listed)
+
+
+def test_deep_paths(spark):
+    deep = "/".join(f"d{i}" for i in range(40))
+    got = judged(spark, ["http://a.org/1/2/3/4/5/6", "http://a.org/1/2/3/4", f"http://b.org/{deep}/x?q", "http://c.org/"],
+                 ["a.org/1/2/3/4/5", f"b.org/{deep}"])
+    assert got == [(True, "a.org/1/2/3/4/5"), (False, None), (True, f"b.org/{deep}"), (False, None)]
