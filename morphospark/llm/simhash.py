@@ -405,17 +405,16 @@ def _keep_first(docs: DataFrame, own: DataFrame, roots: DataFrame, ws: Workspace
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id; all columns stay."""
-    names = docs.columns
-    comp = components(docs.select("doc_id", "text"))
-    # Narrow rows decide; the texts are shuffled once, to the kept ids.
-    chosen = comp.filter("doc_id <=> component_id").groupBy("component_id").agg(F.min("fp").alias("fp")).select(
-        F.col("component_id").alias("__id"))
-    if set(names) & {"__id", "__row"}:
-        raise ValueError("the column names __id and __row are reserved")
-    kept = docs.join(chosen, F.col("doc_id") == F.col("__id"), "left_semi")
-    repeated = comp.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if repeated:  # rows that repeat a doc_id: the first by text stays
-        kept = kept.groupBy("doc_id").agg(F.min(F.struct(
-            F.col("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))).alias("__row")).select("__row.__row.*")
-    return kept.select(*[f"`{c}`" for c in names])
+    """One row of each component of op7's links; all columns stay.
+
+    The row with the smallest doc_id stays, rows without one last, then the first by text.
+    """
+    ws = Workspace(docs.sparkSession, "keep")
+    prints = fingerprints(docs.select(F.struct("doc_id", _node().alias("node")).alias("doc_id"), "text"))
+    own = ws.stage(prints.select("doc_id.*", "fp"), "own")
+    reps = ws.stage(own.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
+    found = ws.stage(links(reps.select("fp"), ws).distinct(), "links")
+    ws.drop("cut", "pairs")
+    far = found.join(reps.toDF("u", "ru"), "u").join(reps.toDF("v", "rv"), "v").select("ru", "rv").toDF("u", "v")
+    same = own.select("fp", "node").distinct().join(reps, "fp").select("node", "rep").filter("node <> rep").toDF("u", "v")
+    return _keep_first(docs, own.select("doc_id", "node"), star_components(far.unionByName(same), ws), ws)

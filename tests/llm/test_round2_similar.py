@@ -73,3 +73,21 @@ def test_small_tiles_join_the_same_texts(spark):
     node = {r.doc_id: roots.get(r.node, r.node) for r in own.collect()}
     assert len({node[i] for i in range(0, 200, 5)}) == 1 and len(set(node.values())) == 62
     assert node[2000] == node[2001] == node[2002]
+
+
+def test_rows_without_doc_id(spark):
+    rng = random.Random(10)
+    a, b, c = (" ".join(prose(rng, 80)) for _ in range(3))
+    rows = [(None, a), (None, b), (None, b), (7, c), (None, c)]
+    for kept in (stage(spark, rows), simhash.keep_one(frame(spark, rows)).collect()):
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (0, b), (7, c)])
+
+
+def test_one_doc_id_with_two_texts(spark):
+    rng = random.Random(11)
+    a, b, c = sorted(" ".join(prose(rng, 80)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (4, c)]
+    for kept in (stage(spark, rows), simhash.keep_one(frame(spark, rows)).collect()):
+        assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), (3, c)])
+    near = f"{a} and"  # two near-duplicate texts of one doc_id: the first by text stays
+    assert [(r.doc_id, r.text) for r in stage(spark, [(1, near), (1, a)])] == [(1, a)]
