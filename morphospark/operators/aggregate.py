@@ -4,12 +4,10 @@ The exact median of a group needs every value of the group.  Spark's
 built-in ``median`` merges per-group value maps in one task, which is right
 for ordinary groups but not for a hot one (say Control holding a third of
 all rows).  ``group_median`` therefore splits hot groups off (see
-``operators.skew``) and computes their medians by rank: the tall
-(group, feature, value) rows are range-partitioned and numbered
-(``global_rank``), the two middle positions of each group are found from
-(first position, count) - both map-side combined aggregates - and only those
-rows are fetched by a semi-join on the unique position.  No task ever holds
-a whole group.
+``operators.skew``) and computes their medians from the counts of their
+distinct values: prefix sums over them (``operators.prefix``) give each value
+its range of positions, and the two middle positions pick the values.  No task
+ever holds a whole group, and equal values are one row.
 """
 
 from __future__ import annotations
@@ -19,8 +17,8 @@ from pyspark.sql import functions as F
 
 from morphospark.featureset import FeatureSet, q
 from morphospark.operators.joins import sized_broadcast
-from morphospark.operators.ranking import global_rank
-from morphospark.operators.skew import HOT_ROWS_CONF, hot_threshold, split_hot
+from morphospark.operators.prefix import order_statistics, value_counts
+from morphospark.operators.skew import HOT_ROWS_CONF, hot_threshold, null_safe_cond, split_hot
 
 
 def _c(name) -> Column:
@@ -62,19 +60,11 @@ MAX_GROUP_VALUES = 20_000_000
 
 def _median_by_rank(df: DataFrame, keys, features) -> DataFrame:
     keys = list(keys)
-    tall = df.select(
-        *[q(k) for k in keys],
-        F.explode(F.array(*[
-            F.struct(F.lit(i).alias("_f"), F.col(q(c)).cast("double").alias("_v"))
-            for i, c in enumerate(features)])).alias("_t"),
-    ).select(*[q(k) for k in keys], "_t._f", "_t._v").filter(F.col("_v").isNotNull())
-    ranked = global_rank(tall, [F.col(q(k)) for k in keys] + [F.col("_f"), F.col("_v")])
-    stats = ranked.groupBy(*[q(k) for k in keys], "_f").agg(
-        F.min("_grank").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    targets = stats.select(F.explode(F.array_distinct(F.array(
-        F.col("_s") + F.floor((F.col("_n") - 1) / 2).cast("long"),
-        F.col("_s") + F.floor(F.col("_n") / 2).cast("long")))).alias("_grank"))
-    picked = ranked.join(sized_broadcast(targets), "_grank", "left_semi")
+
+    def middle(size):
+        return F.array(F.floor((size - 1) / 2), F.floor(size / 2))
+
+    picked = order_statistics(value_counts(df, keys, features), keys, middle)
     med = picked.groupBy(*[q(k) for k in keys], "_f").agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     med = med.withColumn("_m", F.col("_lo") * 0.5 + F.col("_hi") * 0.5)
@@ -82,8 +72,11 @@ def _median_by_rank(df: DataFrame, keys, features) -> DataFrame:
     all_groups = df.select(*[q(k) for k in keys]).distinct()
     wide = med.groupBy(*[q(k) for k in keys]).pivot("_f", list(range(len(features)))).agg(
         F.first("_m"))
-    wide = wide.toDF(*keys, *features)
-    return all_groups.join(wide, on=keys, how="left") if len(keys) else wide
+    wide = wide.toDF(*[f"_g{i}" for i in range(len(keys))], *features)
+    if not keys:
+        return wide
+    joined = all_groups.join(wide, null_safe_cond(all_groups, wide, keys, wide.columns[:len(keys)]), "left")
+    return joined.select(*[q(k) for k in keys], *[q(c) for c in features])
 
 
 def group_median(df: DataFrame, keys, features, method: str = "exact",

@@ -6,7 +6,7 @@ profile* - the exact median (or mean) profile of a reference group such as
 Control of the same cell line, or the lowest dose of the same drug.  The
 reference table has one row per match key (bounded by labels), so it is an
 equi-join on a broadcast side whose size is checked; work stays linear in
-the rows.  A27 (two-sample KS) is exact and uses two skew-safe global ranks.
+the rows.  A27 (two-sample KS) is exact, from prefix sums over distinct values.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ from morphospark.featureset import FeatureSet, q
 from morphospark.functions.numeric import sum_of_squares
 from morphospark.operators.aggregate import group_median
 from morphospark.operators.joins import sized_broadcast
-from morphospark.operators.ranking import global_rank
-from morphospark.session import stage
+from morphospark.operators.prefix import prefix_sums, tall_values
 
 
 def reference_profiles(fs: FeatureSet, match_keys, where: Column | None = None,
@@ -70,29 +69,20 @@ def centroid_distances(df: DataFrame, id_col: str, label: str, vec: str, out: st
 def ks_two_sample(fs: FeatureSet, in_a: Column, in_b: Column) -> DataFrame:
     """Per feature D = max_v |F_A(v) - F_B(v)| (exact).
 
-    Ranks of each row among all rows and among its own sample (two
-    global ranks over (feature, value)) give both empirical CDFs at every
-    position; the maximum over tie groups is the statistic.
+    Both samples are counted by distinct value; prefix sums of the counts give
+    both empirical distribution functions at every value.
     """
-    from morphospark.operators.dose import tall_features
-
-    base = fs.df.withColumn("_s", F.when(in_a, F.lit("a")).when(in_b, F.lit("b"))).filter(F.col("_s").isNotNull())
-    tall = tall_features(base, ["_s"] + list(fs.keys), fs.features, "feature", "_v")
-    tall = stage(tall.withColumn("_id", F.monotonically_increasing_id()), "ks")
-    all_r = global_rank(tall, [F.col("feature"), F.col("_v"), F.col("_s"), F.col("_id")], "_ra")
-    own_r = global_rank(all_r, [F.col("_s"), F.col("feature"), F.col("_v"), F.col("_id")], "_ro")
-    starts = own_r.groupBy("feature").agg(F.min("_ra").alias("_fa"))
-    own_starts = own_r.groupBy("feature", "_s").agg(F.min("_ro").alias("_fo"), F.count(F.lit(1)).alias("_n"))
-    j = own_r.join(sized_broadcast(starts), "feature").join(sized_broadcast(own_starts), ["feature", "_s"])
-    pos_all = F.col("_ra") - F.col("_fa") + 1
-    pos_own = F.col("_ro") - F.col("_fo") + 1
-    j = j.withColumn("_ca", F.when(F.col("_s") == "a", pos_own).otherwise(pos_all - pos_own)) \
-         .withColumn("_cb", F.when(F.col("_s") == "b", pos_own).otherwise(pos_all - pos_own))
-    ties = j.groupBy("feature", "_v").agg(F.max("_ca").alias("_ca"), F.max("_cb").alias("_cb"))
-    n = own_starts.groupBy("feature").pivot("_s", ["a", "b"]).agg(F.first("_n")).fillna(0)
-    out = ties.join(sized_broadcast(n), "feature").groupBy("feature", "a", "b").agg(
-        F.max(F.abs(F.col("_ca") / F.col("a") - F.col("_cb") / F.col("b"))).alias("ks_statistic"))
-    return out.select("feature", "ks_statistic", F.col("a").alias("n_a"), F.col("b").alias("n_b"))
+    base = fs.df.select(*[q(c) for c in fs.features], F.when(in_a, F.lit("a")).when(in_b, F.lit("b")).alias("_s")) \
+        .filter(F.col("_s").isNotNull())
+    counts = tall_values(base, ["_s"], fs.features).groupBy("_f", "_v").agg(
+        F.count_if(F.col("_s") == "a").alias("_a"), F.count_if(F.col("_s") == "b").alias("_b"))
+    at = prefix_sums(counts, ["_f"], "_v", ["_a", "_b"]).select(
+        "_f", "_a", "_b", (F.col("_a_before") + F.col("_a")).alias("_ca"), (F.col("_b_before") + F.col("_b")).alias("_cb"))
+    sizes = at.groupBy("_f").agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))
+    gap = F.abs(F.try_divide("_ca", "n_a") - F.try_divide("_cb", "n_b"))
+    out = at.join(F.broadcast(sizes), "_f").groupBy("_f", "n_a", "n_b").agg(F.max(gap).alias("ks_statistic"))
+    names = F.array(*[F.lit(c) for c in fs.features])
+    return out.select(F.element_at(names, F.col("_f") + 1).alias("feature"), "ks_statistic", "n_a", "n_b")
 
 
 def fingerprints(fs: FeatureSet, label: str, k: float = 3.0):

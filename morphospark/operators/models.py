@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from morphospark.featureset import FeatureSet, q
+from morphospark.operators.prefix import prefix_sums, tall_values
 from morphospark.operators.ranking import hash_order_key, rank_in_group
 from morphospark.session import stage
 
@@ -245,23 +246,26 @@ def chi2_scores(fs: FeatureSet, label: str) -> DataFrame:
 
 def mutual_information_binned(fs: FeatureSet, label: str, bins: int = 10) -> DataFrame:
     """MM14 (re-aimed): mutual information of each feature, quantile-binned
-    by rank, with the label: sum p(b,y) ln(p(b,y) / (p(b) p(y)))."""
-    from morphospark.operators.dose import tall_features
+    by rank, with the label: sum p(b,y) ln(p(b,y) / (p(b) p(y))).
 
-    tall = tall_features(fs.df, [label], fs.features, "feature", "_v")
-    ranked = rank_in_group(tall, ["feature"], [F.col("_v"), F.col(q(label))], out="_r")
-    n = tall.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
-    # Equal values share the bin of the first of them: a bin is a range of values, whatever the labels.
-    own = ranked.groupBy("feature", "_v", q(label)).agg(F.count(F.lit(1)).alias("_c"), F.min("_r").alias("_r"))
-    first = own.groupBy("feature", "_v").agg(F.min("_r").alias("_first"))
-    b = own.join(first, ["feature", "_v"]).join(F.broadcast(n), "feature").withColumn(
-        "_bin", F.floor((F.col("_first") - 1) * bins / F.col("_n")))
-    joint = b.groupBy("feature", "_bin", q(label)).agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n"))
-    pb = joint.groupBy("feature", "_bin").agg(F.sum("_c").alias("_cb"))
-    py = joint.groupBy("feature", q(label)).agg(F.sum("_c").alias("_cy"))
-    j = joint.join(pb, ["feature", "_bin"]).join(py, ["feature", label])
-    term = (F.col("_c") / F.col("_n")) * F.log((F.col("_c") * F.col("_n")) / (F.col("_cb") * F.col("_cy")))
-    return j.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
+    A bin is a range of values, whatever the labels, so the counts by (feature,
+    value, label) and the prefix sums by (feature, value) are all it takes.
+    """
+    own = tall_values(fs.df, [label], fs.features).groupBy("_f", "_v", q(label)).agg(F.count("*").alias("_c"))
+    own = stage(own, "mutual")
+    ranked = prefix_sums(own.groupBy("_f", "_v").agg(F.sum("_c").alias("_n")), ["_f"], "_v", ["_n"])
+    n = own.groupBy("_f").agg(F.sum("_c").alias("_size"))
+    binned = ranked.join(F.broadcast(n), "_f").select(
+        "_f", "_v", "_size", F.floor(F.col("_n_before") * bins / F.col("_size")).alias("_bin"))
+    joint = own.join(binned, ["_f", "_v"]).groupBy("_f", "_bin", q(label), "_size").agg(F.sum("_c").alias("_c"))
+    joint = stage(joint, "joint")
+    pb = joint.groupBy("_f", "_bin").agg(F.sum("_c").alias("_cb"))
+    py = joint.groupBy("_f", q(label)).agg(F.sum("_c").alias("_cy"))
+    j = joint.join(pb, ["_f", "_bin"]).join(py, ["_f", label])
+    term = (F.col("_c") / F.col("_size")) * F.log((F.col("_c") * F.col("_size")) / (F.col("_cb") * F.col("_cy")))
+    names = F.array(*[F.lit(c) for c in fs.features])
+    return j.groupBy("_f").agg(F.sum(term).alias("mutual_info")).select(
+        F.element_at(names, F.col("_f") + 1).alias("feature"), "mutual_info")
 
 
 # ---------------------------------------------------------------- MM15

@@ -1,11 +1,11 @@
-"""Exact quantiles by rank (used for medians of hot groups, global
-quantiles, robust scaling, letter values and binned estimates).
-
-A quantile over a whole column is one hot group by definition; the rank
-path (range partition on (group, feature, value) + per-partition offsets)
-keeps every task bounded.  Linear interpolation between the order
-statistics at positions floor/ceil(p*(n-1)) - the same rule as Spark's
-``percentile`` and DuckDB's ``quantile_cont``.
+"""Exact quantiles from the counts of distinct values (medians of hot groups,
+global quantiles, robust scaling, letter values and binned estimates).
+
+A quantile over a whole column is one hot group by definition; prefix sums
+over its distinct values (``operators.prefix``) keep every task bounded, ties
+included.  Linear interpolation between the order statistics at positions
+floor/ceil(p*(n-1)) - the same rule as Spark's ``percentile`` and DuckDB's
+``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -14,44 +14,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphospark.featureset import q
-from morphospark.operators.joins import sized_broadcast
-from morphospark.operators.ranking import global_rank
+from morphospark.operators.prefix import order_statistics, tall_values, value_counts
 
-
-def tall_values(df: DataFrame, keys, features) -> DataFrame:
-    """(keys..., _f feature index, _v value) with nulls dropped."""
-    keys = list(keys)
-    return df.select(
-        *[q(k) for k in keys],
-        F.explode(F.array(*[
-            F.struct(F.lit(i).alias("_f"), F.col(q(c)).cast("double").alias("_v"))
-            for i, c in enumerate(features)])).alias("_t"),
-    ).select(*[q(k) for k in keys], "_t._f", "_t._v").filter(F.col("_v").isNotNull())
+__all__ = ["column_quantiles", "quantiles_by_rank", "tall_values"]
 
 
 def quantiles_by_rank(df: DataFrame, keys, features, probs) -> DataFrame:
     """Tall result (keys..., feature, p, value)."""
     keys, features, probs = list(keys), list(features), [float(p) for p in probs]
-    tall = tall_values(df, keys, features)
-    ranked = global_rank(tall, [F.col(q(k)) for k in keys] + [F.col("_f"), F.col("_v")])
-    stats = ranked.groupBy(*[q(k) for k in keys], "_f").agg(
-        F.min("_grank").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    pos = stats.select(
-        *[q(k) for k in keys], "_f", "_s", "_n",
-        F.explode(F.array(*[F.lit(p) for p in probs])).alias("_p"),
-    ).withColumn("_h", F.col("_p") * (F.col("_n") - 1)) \
-     .withColumn("_lo", F.col("_s") + F.floor("_h").cast("long")) \
-     .withColumn("_hi", F.col("_s") + F.ceil("_h").cast("long")) \
-     .withColumn("_w", F.col("_h") - F.floor("_h"))
-    targets = pos.select(F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_grank")).distinct()
-    picked = ranked.join(sized_broadcast(targets), "_grank", "left_semi").select("_grank", "_v")
-    lo = picked.withColumnRenamed("_grank", "_lo").withColumnRenamed("_v", "_vlo")
-    hi = picked.withColumnRenamed("_grank", "_hi").withColumnRenamed("_v", "_vhi")
-    out = pos.join(lo, "_lo").join(hi, "_hi")
+    by = [*keys, "_f"]
+
+    def positions(size):
+        return F.flatten(F.array(*[F.array(F.floor(F.lit(p) * (size - 1)), F.ceil(F.lit(p) * (size - 1))) for p in probs]))
+
+    found = order_statistics(value_counts(df, keys, features), keys, positions)
+    held = found.groupBy(*[q(k) for k in by], "_size").agg(F.map_from_entries(F.collect_list(F.struct("_t", "_v"))).alias("_m"))
+    out = held.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in probs]))) \
+        .withColumn("_h", F.col("_p") * (F.col("_size") - 1)).withColumn("_w", F.col("_h") - F.floor("_h"))
+    lo, hi = (F.element_at("_m", f("_h").cast("bigint")) for f in (F.floor, F.ceil))
     names = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("_f") + 1)
-    return out.select(
-        *[q(k) for k in keys], names.alias("feature"), F.col("_p").alias("p"),
-        (F.col("_vlo") * (1.0 - F.col("_w")) + F.col("_vhi") * F.col("_w")).alias("value"))
+    return out.select(*[q(k) for k in keys], names.alias("feature"), F.col("_p").alias("p"),
+                      (lo * (1.0 - F.col("_w")) + hi * F.col("_w")).alias("value"))
 
 
 def column_quantiles(df: DataFrame, features, probs) -> dict:
