@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphospark.featureset import FeatureSet, q
-from morphospark.functions.yeojohnson import yeo_johnson_col, yeo_johnson_np
+from morphospark.functions.yeojohnson import scaled_psi_col, scaled_psi_np, yeo_johnson_col
 from morphospark.operators.quantiles import column_quantiles
+from morphospark.session import stage
 
 X_TINY = float(np.finfo(np.float64).tiny)
 
@@ -96,9 +97,16 @@ def sigma_clip(fs: FeatureSet, sigma: float) -> FeatureSet:
 
 
 # ---------------------------------------------------------------- MM7
-def _partition_stats(features, lam_table: dict):
-    """mapInPandas body: per partition and (feature, lambda) the count, mean,
-    M2 of psi(x, lambda) and the lambda-free sum of sign(x)*log1p(|x|)."""
+def value_bounds(fs: FeatureSet) -> dict:
+    """{feature: (smallest, largest)}; (None, None) where all values are null."""
+    row = fs.df.agg(*[F.min(F.col(q(c)).cast("double")).alias(f"lo{i}") for i, c in enumerate(fs.features)],
+                    *[F.max(F.col(q(c)).cast("double")).alias(f"hi{i}") for i, c in enumerate(fs.features)]).first()
+    return {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(fs.features)}
+
+
+def _partition_stats(features, lam_table: dict, bounds: dict):
+    """mapInPandas body: per partition and (feature, lambda) the count, mean and
+    M2 of the scaled psi(x, lambda), and the lambda-free sum of sign(x)*log1p(|x|)."""
     def run(batches):
         acc = {}
         for pdf in batches:
@@ -109,11 +117,11 @@ def _partition_stats(features, lam_table: dict):
                     continue
                 s = float(np.sum(np.sign(x) * np.log1p(np.abs(x))))
                 for j, lam in enumerate(lam_table[c]):
-                    y = yeo_johnson_np(x, lam)
+                    y, _ = scaled_psi_np(x, lam, *bounds[c])
                     n_b, m_b = y.size, float(y.mean())
                     m2_b = float(((y - m_b) ** 2).sum())
                     key = (i, j)
-                    if key in acc:  # Chan et al. merge
+                    if key in acc:  # Chan et al. merge; all partitions share the scaling of (feature, lambda)
                         n_a, m_a, m2_a, s_a = acc[key]
                         n = n_a + n_b
                         d = m_b - m_a
@@ -130,11 +138,12 @@ def _partition_stats(features, lam_table: dict):
 _STATS_SCHEMA = "f int, j int, lam double, n long, mean double, m2 double, s double"
 
 
-def _loglik(df: DataFrame, features, lam_table: dict) -> dict:
-    """{(feature, j): (lambda, loglik)} - one pass over the data."""
+def _loglik(df: DataFrame, features, lam_table: dict, bounds: dict) -> dict:
+    """{(feature, j): (lambda, log-likelihood per value)} - one pass over the data."""
     part = df.select(*[F.col(q(c)).cast("double").alias(c) for c in features]) \
-        .mapInPandas(_partition_stats(list(features), lam_table), _STATS_SCHEMA)
+        .mapInPandas(_partition_stats(list(features), lam_table, bounds), _STATS_SCHEMA)
     # merge partitions: N, pooled mean, then M2 = sum(M2_i + n_i (mean_i - mean)^2)
+    part = stage(part, "loglik")  # a few hundred numbers a partition, read twice
     tot = part.groupBy("f", "j", "lam").agg(
         F.sum("n").alias("tot_n"),
         (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("tot_mu"),
@@ -143,17 +152,31 @@ def _loglik(df: DataFrame, features, lam_table: dict) -> dict:
         F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("tot_mu")) ** 2).alias("tot_m2"))
     out = {}
     for r in merged.collect():  # features x lambdas rows
+        c = features[r.f]
         var = r.tot_m2 / r.tot_n
-        ll = -math.inf if var < X_TINY else -r.tot_n / 2.0 * math.log(var) + (r.lam - 1.0) * r.tot_s
-        out[(features[r.f], r.j)] = (r.lam, ll)
+        t = scaled_psi_np(np.zeros(0), r.lam, *bounds[c])[1]  # logarithm of the factor left out of psi
+        ll = -math.inf if var < X_TINY else -0.5 * math.log(var) - t + (r.lam - 1.0) * (r.tot_s / r.tot_n)
+        out[(c, r.j)] = (r.lam, ll)
     return out
 
 
-#: Times that the scan of a feature may move on; each triples its reach.
-WIDENINGS = 12
+def yeo_johnson_likelihood(fs: FeatureSet, lambdas) -> DataFrame:
+    """(feature, lambda, loglik): log-likelihood per value, without its constant, at the given lambdas."""
+    bounds = {c: b for c, b in value_bounds(fs).items() if b[0] is not None and b[0] != b[1]}
+    feats, lambdas = [c for c in fs.features if c in bounds], [float(x) for x in lambdas]
+    rows = []
+    if feats:
+        found = _loglik(fs.df, feats, {c: lambdas for c in feats}, bounds)
+        rows = [(c, lam, ll) for (c, _), (lam, ll) in found.items()]
+    return fs.df.sparkSession.createDataFrame(rows, "feature string, lambda double, loglik double")
+
 
+#: Times that the scan of a feature may move on; each triples its reach, so that the last one is beyond 1e11.
+WIDENINGS = 24
 
-def fit_yeo_johnson(fs: FeatureSet, grid=(-4.0, 6.0), points: int = 17, rounds: int = 4) -> dict:
+
+def fit_yeo_johnson(fs: FeatureSet, grid=(-4.0, 6.0), points: int = 17, rounds: int = 4,
+                    bounds: dict | None = None) -> dict:
     """Maximum-likelihood lambda per feature (sklearn's objective).
 
     Round 1 scans ``points`` lambdas on ``grid``.  While the best one of a
@@ -164,9 +187,8 @@ def fit_yeo_johnson(fs: FeatureSet, grid=(-4.0, 6.0), points: int = 17, rounds:
     variance is 0 get None.
     """
     feats = list(fs.features)
-    lim = fs.df.agg(*[F.min(F.col(q(c))).alias(f"lo{i}") for i, c in enumerate(feats)],
-                    *[F.max(F.col(q(c))).alias(f"hi{i}") for i, c in enumerate(feats)]).first()
-    constant = {c for i, c in enumerate(feats) if lim[f"lo{i}"] is None or lim[f"lo{i}"] == lim[f"hi{i}"]}
+    bounds = value_bounds(fs) if bounds is None else bounds
+    constant = {c for c, (lo, hi) in bounds.items() if lo is None or lo == hi}
     feats = [c for c in feats if c not in constant]
     lam_table = {c: list(np.linspace(grid[0], grid[1], points)) for c in feats}
     best: dict = {c: None for c in constant}
@@ -177,7 +199,7 @@ def fit_yeo_johnson(fs: FeatureSet, grid=(-4.0, 6.0), points: int = 17, rounds:
     while any(left.values()):
         lam_table = {c: lams for c, lams in lam_table.items() if left[c]}
         feats = list(lam_table)
-        ll = _loglik(fs.df, feats, lam_table)
+        ll = _loglik(fs.df, feats, lam_table, bounds)
         new_table = {}
         for c in feats:
             lams = lam_table[c]
@@ -219,22 +241,29 @@ def fit_yeo_johnson(fs: FeatureSet, grid=(-4.0, 6.0), points: int = 17, rounds:
     return result
 
 
-def apply_yeo_johnson(fs: FeatureSet, lambdas: dict, standardize: bool = True) -> FeatureSet:
+def apply_yeo_johnson(fs: FeatureSet, lambdas: dict, standardize: bool = True, bounds: dict | None = None) -> FeatureSet:
     """psi(x, lambda_f) per feature, then (y - mean)/std_pop; a feature with
-    no lambda (constant) becomes 0."""
+    no lambda (constant) becomes 0.  What standardising takes out anyway, a
+    factor and a constant, is left out beforehand, so that no digits are lost."""
+    if standardize and bounds is None:
+        bounds = value_bounds(fs)
     cols = []
     for c in fs.features:
-        lam = lambdas.get(c)
-        cols.append((yeo_johnson_col(F.col(q(c)).cast("double"), lam) if lam is not None
-                     else F.col(q(c)).cast("double")).alias(c))
+        lam, x = lambdas.get(c), F.col(q(c)).cast("double")
+        if lam is not None and standardize and bounds[c][0] is not None:
+            x = scaled_psi_col(x, lam, *bounds[c])
+        elif lam is not None:
+            x = yeo_johnson_col(x, lam)
+        cols.append(x.alias(c))
     out = FeatureSet(fs.df.select(*[q(k) for k in fs.keys], *cols), fs.keys, fs.features)
     return standard_scale(out) if standardize else out
 
 
 def power_transform(fs: FeatureSet, **kw) -> tuple[FeatureSet, dict]:
     """MM7: fit + apply (sklearn power_transform(method='yeo-johnson'))."""
-    lambdas = fit_yeo_johnson(fs, **kw)
-    return apply_yeo_johnson(fs, lambdas), lambdas
+    bounds = value_bounds(fs)
+    lambdas = fit_yeo_johnson(fs, bounds=bounds, **kw)
+    return apply_yeo_johnson(fs, lambdas, bounds=bounds), lambdas
 
 
 SCALERS = {

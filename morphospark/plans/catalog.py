@@ -295,6 +295,20 @@ def q_yeo_johnson_lambdas(spark, sf_dir):
     return spark.createDataFrame([(c, lam[c]) for c in fs.features], "feature string, lambda double")
 
 
+PROFILE_LAMBDAS = [-4 + 0.5 * k for k in range(21)]
+
+
+@register("yeo_johnson_profile", _ORG + ",\nt AS " + O.tall("organoids", "ImageNumber", name="feature") + """,
+l AS (SELECT CAST(unnest(range(0, 21)) * 0.5 - 4.0 AS DOUBLE) AS lam),
+p AS (SELECT feature, lam, CASE WHEN lam = 0 THEN ln(_v + 1) ELSE pow(_v + 1, lam) / lam END AS y,
+             ln(_v + 1) AS a FROM t, l)
+SELECT feature, lam AS "lambda", round(-0.5 * ln(var_pop(y)) + (lam - 1) * avg(a), 6) AS loglik
+FROM p GROUP BY feature, lam""")
+def q_yeo_johnson_profile(spark, sf_dir):
+    """MM7: the likelihood that the fit maximises, on a grid (all features of the binding are positive)."""
+    return stable(SC.yeo_johnson_likelihood(organoids(spark, sf_dir), PROFILE_LAMBDAS))
+
+
 @register("power_transformed_organoids")
 def q_power_transformed_organoids(spark, sf_dir):
     fs, _ = SC.power_transform(organoids(spark, sf_dir))
@@ -638,13 +652,22 @@ def events_x(spark, sf_dir):
     return e.select("event_id", "event_type", "value", F.dayofmonth("ts").cast("double").alias("day"))
 
 
-_U = ("(('0x' || substr(md5(concat_ws('|', CAST(event_id AS VARCHAR), CAST(_rep AS VARCHAR), 'boot0')), 1, 12))"
-      "::BIGINT / 281474976710656.0)")
+_SEED = "('0x' || substr(md5(concat_ws('|', CAST(event_id AS VARCHAR), 'boot0')), 1, 8))::BIGINT"
+
+
+def _spread_sql(x: str) -> str:
+    """The 32-bit finaliser of the bootstrap weights; products need 64 bits and more."""
+    for shift, factor in ((16, PD.SPREAD[1]), (13, PD.SPREAD[2])):
+        x = f"((xor({x}, {x} >> {shift})::HUGEINT * {factor}) % 4294967296)::BIGINT"
+    return f"xor({x}, {x} >> 16)"
 
 
 @register("bootstrap_mean_ci", O.with_(O.EVENTS_X) + f""",
-reps AS (SELECT event_type, value, event_id, unnest(range(0, {BOOT_REPLICATES})) AS _rep FROM events_x WHERE value IS NOT NULL),
-w AS (SELECT event_type, _rep, value, {O.poisson_weight_sql(_U, PD.poisson1_thresholds())} AS _w FROM reps),
+seeds AS (SELECT event_type, value, {_SEED} AS s FROM events_x WHERE value IS NOT NULL),
+reps AS (SELECT event_type, value, _rep, xor(s, ((_rep::HUGEINT * {PD.SPREAD[0]}) % 4294967296)::BIGINT) AS x
+         FROM (SELECT *, unnest(range(0, {BOOT_REPLICATES})) AS _rep FROM seeds)),
+u AS (SELECT event_type, _rep, value, {_spread_sql("x")} / 4294967296.0 AS u FROM reps),
+w AS (SELECT event_type, _rep, value, {O.poisson_weight_sql("u", PD.poisson1_thresholds())} AS _w FROM u),
 m AS (SELECT event_type, _rep, sum(_w * value) / nullif(sum(_w), 0) AS _m FROM w GROUP BY ALL),
 ci AS (SELECT event_type, quantile_cont(_m, 0.025) AS ci_low, quantile_cont(_m, 0.975) AS ci_high FROM m GROUP BY ALL),
 base AS (SELECT event_type, avg(value) AS mean, count(value) AS n FROM events_x GROUP BY ALL)
