@@ -1,5 +1,6 @@
 """Model and statistics operators on Spark ML (MM1, MM4, MM10, MM11,
-MM13-MM15, MM17-MM19, MM24, MM25).
+MM13-MM15, MM17, MM19, MM24; MM18 is in ``ransac``, MM25 in ``importance``,
+extra trees, bagging and voting in ``ensembles``).
 
 Fits are distributed by Spark ML (tree statistics and Gram matrices are
 aggregated on executors); only models - a few KB to MB, bounded by the
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from morphospark.featureset import FeatureSet, q
 from morphospark.operators.prefix import prefix_sums, tall_values
-from morphospark.operators.ranking import hash_order_key, rank_in_group
+from morphospark.operators.ranking import rank_in_group
 from morphospark.session import stage
 
 FEATURES_VEC = "_features"
@@ -318,78 +319,6 @@ def no_intercept_weights(fs: FeatureSet, target) -> dict:
     return dict(zip(fs.features, m.coefficients.toArray().tolist()))
 
 
-# ---------------------------------------------------------------- MM25
-def permutation_importance(clf: Classifier, fs: FeatureSet, label: str, id_cols, seed: int = 0) -> DataFrame:
-    """MM25: accuracy drop when one feature is permuted.  The permutation
-    pairs the row of rank r in id order with the row of rank r in hash
-    order (a join on a unique rank: no skew)."""
-    from morphospark.operators.ranking import global_rank
-
-    base = clf.score(fs)
-    by_id = global_rank(fs.df, list(id_cols), "_ri")
-    by_hash = global_rank(fs.df.withColumn("_h", hash_order_key(list(id_cols), seed)), ["_h"], "_rh")
-    rows = []
-    for c in fs.features:
-        donor = by_hash.select(F.col("_rh").alias("_ri"), F.col(q(c)).alias("_perm"))
-        permuted = by_id.join(donor, "_ri").drop(c).withColumnRenamed("_perm", c)
-        rows.append((c, base - clf.score(FeatureSet(permuted, fs.keys, fs.features))))
-    return fs.df.sparkSession.createDataFrame(rows, "feature string, importance double")
-
-
-# ---------------------------------------------------------------- MM18
-def _unit(keys, salt):
-    h = hash_order_key(keys, salt)
-    return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(16 ** 12)
-
-
-def ransac_inliers(fs: FeatureSet, target: str, id_cols, candidates: int = 50, seed: int = 0,
-                   threshold: float | None = None) -> tuple[DataFrame, dict]:
-    """MM18: RANSAC linear model.  Candidate fits come from minimal subsets
-    (p+1 rows chosen by hash rank per candidate); one pass over the data
-    counts every candidate's inliers (|residual| <= threshold, default the
-    median absolute deviation of the target, scikit-learn's rule); the best
-    candidate's inliers are refitted by least squares.  Returns (inlier rows,
-    coefficients)."""
-    import numpy as np
-
-    from morphospark.operators.quantiles import column_quantiles
-
-    p = len(fs.features)
-    y = F.col(q(target)).cast("double")
-    if threshold is None:
-        med = column_quantiles(fs.df, [target], [0.5])[target][0.5]
-        dev = fs.df.select(F.abs(y - F.lit(med)).alias("_d"))
-        threshold = column_quantiles(dev, ["_d"], [0.5])["_d"][0.5]
-    # minimal subsets: the p+1 rows with the smallest hash per candidate, taken
-    # from a hash pre-sample whose size depends on candidates * (p+1), not on n
-    n = fs.df.count()
-    frac = min(1.0, 20.0 * candidates * (p + 1) / max(n, 1))
-    pre = fs.df.filter(_unit(list(id_cols), f"ransac-pre{seed}") < F.lit(frac))
-    per = pre.select(*[q(c) for c in id_cols], *[q(c) for c in fs.features], y.alias("_y")) \
-        .withColumn("_cand", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))) \
-        .withColumn("_h", hash_order_key(list(id_cols) + [F.col("_cand")], f"ransac{seed}"))
-    from pyspark.sql import Window
-
-    picked = per.withColumn("_r", F.row_number().over(Window.partitionBy("_cand").orderBy("_h"))) \
-        .filter(F.col("_r") <= p + 1).toPandas()  # candidates x (p+1) rows
-    coefs = []
-    for _, g in picked.groupby("_cand"):
-        X = np.column_stack([np.ones(len(g))] + [g[c].to_numpy(float) for c in fs.features])
-        beta, *_ = np.linalg.lstsq(X, g["_y"].to_numpy(float), rcond=None)
-        coefs.append(beta.tolist())
-    pred = [F.lit(b[0]) + sum((F.lit(b[i + 1]) * F.col(q(c)) for i, c in enumerate(fs.features)), F.lit(0.0))
-            for b in coefs]
-    counts = fs.df.agg(*[F.sum((F.abs(y - pr) <= threshold).cast("long")).alias(f"c{k}")
-                         for k, pr in enumerate(pred)]).first()
-    best = max(range(len(coefs)), key=lambda k: (counts[f"c{k}"], -k))
-    inliers = fs.df.filter(F.abs(y - pred[best]) <= threshold)
-    df = assemble(FeatureSet(inliers, fs.keys, fs.features)).withColumn("_y", y)
-    m = LinearRegression(featuresCol=FEATURES_VEC, labelCol="_y", regParam=0.0, solver="normal").fit(df)
-    coef = {"intercept": m.intercept, **dict(zip(fs.features, m.coefficients.toArray().tolist())),
-            "inliers": counts[f"c{best}"], "threshold": threshold}
-    return inliers, coef
-
-
 # ---------------------------------------------------------------- MM14 (RFE)
 def recursive_feature_elimination(fs: FeatureSet, label: str, keep: int, step: int = 1, seed: int = 0,
                                   **kw) -> tuple[list, DataFrame]:
@@ -408,3 +337,32 @@ def recursive_feature_elimination(fs: FeatureSet, label: str, keep: int, step: i
     ranking += [(f, rnd) for f in feats]
     spark = fs.df.sparkSession
     return feats, spark.createDataFrame(ranking, "feature string, eliminated_at_round int")
+
+
+def elimination_curve(fs: FeatureSet, label: str, order, folds: int = 5, step: int = 1, seed: int = 0,
+                      **kw) -> tuple[list, DataFrame]:
+    """MM14 recursive elimination with cross-validation.
+
+    On each training part the least important features go, ``step`` at a time,
+    and every set on the way is scored on the held-out fold.  Returns the
+    features kept at the best mean accuracy (the smaller set of equal ones) and
+    the curve (n_features, fold, accuracy, dropped: the features left out next).
+    """
+    folded = stage(stratified_folds(fs.df, label, order, folds), "folds")
+    rows = []
+    for f in range(folds):
+        train, test = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
+        feats = list(fs.features)
+        while feats:
+            clf = Classifier(FeatureSet(train, fs.keys, tuple(feats)), label, seed=seed, **kw)
+            score = clf.score(FeatureSet(test, fs.keys, tuple(feats)))
+            by = sorted((r.importance, r.Feature) for r in clf.importances().collect())
+            drop = [name for _, name in by[:step]] if len(feats) > step else feats
+            rows.append((len(feats), f, score, ",".join(sorted(drop))))
+            feats = [x for x in feats if x not in drop]
+    mean = {}
+    for n, _, score, _ in rows:
+        mean.setdefault(n, []).append(score or 0.0)
+    best = max(mean, key=lambda n: (sum(mean[n]) / len(mean[n]), -n))
+    kept, _ = recursive_feature_elimination(fs, label, best, step, seed, **kw)
+    return kept, fs.df.sparkSession.createDataFrame(rows, "n_features int, fold int, accuracy double, dropped string")

@@ -146,18 +146,21 @@ def random_split_flag(df: DataFrame, keys, test_fraction: float = 0.25, seed=0,
     return df.withColumn(out, h >= F.lit(test_fraction))
 
 
-def label_codes(df: DataFrame, label: str, out: str = "label_code") -> DataFrame:
-    """Dense 0-based codes in sorted label order.  Labels are few: the
-    sorted list comes back from one distinct aggregate and joins as a
-    broadcast table of that (bounded) size."""
-    labels = sorted(r[0] for r in df.select(q(label)).distinct().collect() if r[0] is not None)
-    dtype = df.schema[label].dataType
-    from pyspark.sql import types as T
-
-    codes = df.sparkSession.createDataFrame(
-        [(v, i) for i, v in enumerate(labels)],
-        T.StructType([T.StructField(label, dtype), T.StructField(out, T.LongType())]))
-    return df.join(F.broadcast(codes), on=label, how="left")
+def label_codes(df: DataFrame, label: str, out: str = "label_code", order=None) -> DataFrame:
+    """Dense 0-based codes of the labels, in sorted order, or in order of first appearance by ``order``.
+
+    Labels are numbered as a table, by a range sort of one row each: there may
+    be as many as there are rows.  A null label has no code.
+    """
+    firsts = df.filter(F.col(q(label)).isNotNull()).groupBy(q(label)).agg(
+        F.min(F.struct(*[_col(c).alias(f"o{i}") for i, c in enumerate(order or [label])])).alias("_first"))
+    codes = global_rank(firsts, ["_first", label], "_code").select(
+        F.col(q(label)).alias("_label"), (F.col("_code") - 1).alias(out))
+    from morphospark.operators.joins import sized_broadcast
+
+    codes = sized_broadcast(codes)
+    joined = df.join(codes, df[q(label)] == codes["_label"], "left")
+    return joined.select(*[df[q(c)] for c in df.columns], out)
 
 
 def running_total(df: DataFrame, value: str, order_desc: str, tie: str,

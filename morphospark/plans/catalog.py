@@ -502,9 +502,12 @@ def q_predicted_fraction(spark, sf_dir):
 # --------------------------------------------------------------------------
 # Feature scores (MM13, MM14) on the per-object table, label = Drug
 # --------------------------------------------------------------------------
+from morphospark.operators import ensembles as EN  # noqa: E402
 from morphospark.operators import models as M  # noqa: E402
 from morphospark.operators import outliers as OUT  # noqa: E402
 from morphospark.operators import similarity as SIM  # noqa: E402
+from morphospark.operators.importance import permutation_importance  # noqa: E402
+from morphospark.operators.ransac import ransac_inliers  # noqa: E402
 
 _TALL_DRUG = "t AS " + O.tall("cells", "Drug", name="feature")
 
@@ -936,7 +939,7 @@ def q_ransac_inliers(spark, sf_dir):
     """MM18: RANSAC of log10 dose on the scaled features of treated rows."""
     fs = scaled_organoids(spark, sf_dir)
     treated = fs.df.filter(F.col("`Conc /uM`") > 0).withColumn("_logdose", F.log10(F.col("`Conc /uM`")))
-    inl, _coef = M.ransac_inliers(FeatureSet(treated, fs.keys, fs.features), "_logdose",
+    inl, _coef = ransac_inliers(FeatureSet(treated, fs.keys, fs.features), "_logdose",
                                   ["ImageNumber", "Date", "Drug", "Cell", "Replicate", "Conc /uM"], candidates=100, seed=0)
     return inl.select(*[q(k) for k in ORGANOID_KEYS])
 
@@ -966,7 +969,7 @@ def q_permutation_importance_drug(spark, sf_dir):
     fs = scaled_organoids(spark, sf_dir)
     sub = FeatureSet(fs.df.filter(F.col("Cell") == "ISO49"), fs.keys, fs.features)
     clf = M.Classifier(sub, "Drug", seed=0, num_trees=RF_TREES, max_depth=RF_DEPTH)
-    return stable(M.permutation_importance(clf, sub, "Drug", list(ORGANOID_KEYS), seed=0))
+    return stable(permutation_importance(clf, sub, "Drug", list(ORGANOID_KEYS), seed=0))
 
 
 @register("kmeans_grid_labels")
@@ -1011,3 +1014,66 @@ def q_max_correlation_over_doses(spark, sf_dir):
     fs = organoids(spark, sf_dir)
     ref = DIST.reference_profiles(fs, ["Cell"], F.col("Drug") == "Control")
     return stable(DIST.max_correlation_over_doses(fs, ref, ["Cell"]))
+
+
+# --------------------------------------------------------------------------
+# Tree ensembles and votes (MM24), codes in order of appearance (W5), elimination with folds (MM14)
+# --------------------------------------------------------------------------
+_VOTE_KEYS = ["ImageNumber", "Date", "Drug", "Cell", "Replicate", "Conc /uM"]
+
+
+@register("tree_ensembles_holdout")
+def q_tree_ensembles_holdout(spark, sf_dir):
+    """MM24: extra trees, bagged trees and their soft vote on every cell line, scored on the hold-out half."""
+    fs = scaled_organoids(spark, sf_dir)
+    out = []
+    for cell in sorted(r[0] for r in fs.df.select("Cell").distinct().collect()):
+        flagged = RK.split_flag_ordered(fs.df.filter(F.col("Cell") == cell).withColumn("_h", _org_hash()), ["_h"])
+        train = FeatureSet(flagged.filter("is_train"), fs.keys, fs.features)
+        test = FeatureSet(flagged.filter(~F.col("is_train")), fs.keys, fs.features)
+        kw = {"trees": RF_TREES, "max_depth": 12, "seed": 0}
+        tables = {"extra trees": EN.extra_trees(train, "Drug", _VOTE_KEYS, **kw).predict_proba_long(test, _VOTE_KEYS),
+                  "bagged trees": EN.bagged_trees(train, "Drug", _VOTE_KEYS, **kw).predict_proba_long(test, _VOTE_KEYS)}
+        tables["soft vote"] = EN.soft_vote(list(tables.values()), _VOTE_KEYS)
+        for name, table in tables.items():
+            hit = (F.col("predicted") == F.col("Drug")).cast("double")
+            out.append(EN.most_probable(table, _VOTE_KEYS).agg(F.count(F.lit(1)).alias("n_test"), F.avg(hit).alias("accuracy"))
+                       .withColumns({"Cell": F.lit(cell), "estimator": F.lit(name)}))
+    from morphospark.operators.reshape import union_all
+
+    return stable(union_all(*out))
+
+
+@register("soft_vote_languages", O.with_(O.SHARES) + """,
+a AS (SELECT doc_id, "Predicted Drug" AS class, coalesce(Similarity, 0) AS p FROM sim),
+b AS (SELECT doc_id, lang AS class, 1.0 AS p FROM documents),
+u AS (SELECT doc_id, class, 2.0 * p AS p FROM a UNION ALL SELECT doc_id, class, p FROM b),
+v AS (SELECT doc_id, class, sum(p) / 3.0 AS p FROM u GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, class) AS rn FROM v)
+SELECT doc_id, class AS predicted, round(p, 6) AS probability FROM r WHERE rn = 1""")
+def q_soft_vote_languages(spark, sf_dir):
+    """MM24 voting on two probability tables: keyword shares (weight 2) and the given language (weight 1)."""
+    shares = keyword_shares(spark, sf_dir).select("doc_id", F.col("`Predicted Drug`").alias("class"),
+                                                  F.coalesce("Similarity", F.lit(0.0)).alias("probability"))
+    given = D.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("class"), F.lit(1.0).alias("probability"))
+    return stable(EN.most_probable(EN.soft_vote([shares, given], ["doc_id"], [2.0, 1.0]), ["doc_id"]))
+
+
+@register("date_codes_by_appearance", _ORG + """,
+f AS (SELECT Date, min(ImageNumber) AS first FROM organoids GROUP BY Date),
+c AS (SELECT Date, row_number() OVER (ORDER BY first, Date) - 1 AS code FROM f)
+SELECT ImageNumber, o.Date, o.Drug, o.Cell, o.Replicate, o."Conc /uM", CAST(code AS BIGINT) AS label_code
+FROM organoids o JOIN c ON o.Date = c.Date""")
+def q_date_codes_by_appearance(spark, sf_dir):
+    """W5 (pd.factorize): a code for each date in the order in which the images first show it."""
+    df = organoids(spark, sf_dir).df.select(*[q(k) for k in ORGANOID_KEYS])
+    return RK.label_codes(df, "Date", order=["ImageNumber", "Date"])
+
+
+@register("elimination_curve")
+def q_elimination_curve(spark, sf_dir):
+    """MM14: recursive elimination on every cell line's rows together, three folds, accuracy by number of features."""
+    fs = scaled_organoids(spark, sf_dir)
+    ordered = fs.with_df(fs.df.withColumn("_h", _org_hash()))
+    _, curve = M.elimination_curve(ordered, "Drug", ["_h"], folds=3, seed=0, num_trees=20, max_depth=RF_DEPTH)
+    return stable(curve)
