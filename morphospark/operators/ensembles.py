@@ -145,6 +145,37 @@ class TreeEnsemble:
             by.setdefault(t, []).append((node, candidates, children))
         shared = spark.sparkContext.broadcast((code, {t: (self.trees[t].arrays(), of) for t, of in by.items()}, len(self.trees)))
 
+        def part_counts(x, y, weight, arrays, nodes):
+            """Partial numbers of all open nodes of one tree, candidate by candidate: (node, j, counts, lows, highs)."""
+            place = _route(arrays, x)
+            ids = np.array([n for n, _, _ in nodes])  # ascending
+            at = np.searchsorted(ids, place)
+            at[at == len(ids)] = 0
+            here = np.flatnonzero((ids[at] == place) & (weight > 0))
+            at, w, own = at[here], weight[here], x[here]
+            label = y[here]
+            drawn = np.array([of for _, _, of in nodes])  # node, side, feature drawn
+            row = np.arange(len(here))
+            for j in range(max(len(cands) for _, cands, _ in nodes)):
+                feature = np.array([cands[j][0] if j < len(cands) else -1 for _, cands, _ in nodes])
+                threshold = np.array([cands[j][1] if j < len(cands) else 0.0 for _, cands, _ in nodes])
+                some = feature[at] >= 0
+                k, r = at[some], row[some]
+                if not len(k):
+                    continue
+                side = (own[r, feature[k]] > threshold[k]).astype(np.int64)
+                cell = k * 2 + side
+                counts = np.bincount(cell * c + label[some], w[some], len(ids) * 2 * c).reshape(len(ids), 2 * c)
+                order = np.argsort(cell, kind="stable")
+                held, starts = np.unique(cell[order], return_index=True)
+                lo, hi = np.full((len(ids) * 2, m), np.inf), np.full((len(ids) * 2, m), -np.inf)
+                for d in range(m):
+                    values = own[r, drawn[k, side, d]][order]
+                    lo[held, d], hi[held, d] = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+                lo, hi = lo.reshape(len(ids), 2 * m), hi.reshape(len(ids), 2 * m)
+                for i in np.flatnonzero(counts.sum(axis=1) > 0):
+                    yield int(ids[i]), j, counts[i], lo[i], hi[i]
+
         def count(batches):
             labels, trees, n_trees = shared.value
             held = {}
@@ -155,28 +186,11 @@ class TreeEnsemble:
                     y = np.array([labels[v] for v in part.column(1).to_pylist()])
                     w = poisson1_weights(part.column(2).to_numpy(), n_trees) if bag else None
                     for t, (arrays, nodes) in trees.items():
-                        weight = w[:, t] if bag else np.ones(len(x))
-                        place = _route(arrays, x)
-                        here = np.flatnonzero(weight > 0)
-                        here = here[np.argsort(place[here], kind="stable")]
-                        starts = np.searchsorted(place[here], [n for n, _, _ in nodes])
-                        stops = np.searchsorted(place[here], [n for n, _, _ in nodes], "right")
-                        for (node, candidates, children), a, b in zip(nodes, starts, stops):
-                            own = here[a:b]
-                            if not len(own):
-                                continue
-                            for j, (f, threshold) in enumerate(candidates):
-                                side = (x[own, f] > threshold).astype(int)
-                                counts = np.bincount(side * c + y[own], weight[own], 2 * c)
-                                lo, hi = np.full(2 * m, np.inf), np.full(2 * m, -np.inf)
-                                for s in (0, 1):
-                                    sub = own[side == s]
-                                    if len(sub):
-                                        values = x[np.ix_(sub, children[s])]
-                                        lo[s * m:s * m + m], hi[s * m:s * m + m] = values.min(0), values.max(0)
-                                old = held.get((t, node, j))
-                                held[t, node, j] = (counts, lo, hi) if old is None else (
-                                    old[0] + counts, np.minimum(old[1], lo), np.maximum(old[2], hi))
+                        weight = w[:, t].astype(float) if bag else np.ones(len(x))
+                        for node, j, counts, lo, hi in part_counts(x, y, weight, arrays, nodes):
+                            old = held.get((t, node, j))
+                            held[t, node, j] = (counts, lo, hi) if old is None else (
+                                old[0] + counts, np.minimum(old[1], lo), np.maximum(old[2], hi))
             if held:
                 keys = np.array(list(held), np.int64)
                 cols = [np.array([v[i] for v in held.values()]) for i in range(3)]
@@ -221,7 +235,7 @@ def extra_trees(fs: FeatureSet, label: str, id_cols, **kw) -> TreeEnsemble:
     return TreeEnsemble(fs, label, id_cols, **kw)
 
 
-def bagged_trees(fs: FeatureSet, label: str, id_cols, thresholds: int = 8, **kw) -> TreeEnsemble:
+def bagged_trees(fs: FeatureSet, label: str, id_cols, thresholds: int = 4, **kw) -> TreeEnsemble:
     """All features at every node, several thresholds each, trees on Poisson bags of the rows."""
     return TreeEnsemble(fs, label, id_cols, features_per_node=len(fs.features), thresholds=thresholds, bag=True, **kw)
 

@@ -1031,9 +1031,10 @@ def q_tree_ensembles_holdout(spark, sf_dir):
         flagged = RK.split_flag_ordered(fs.df.filter(F.col("Cell") == cell).withColumn("_h", _org_hash()), ["_h"])
         train = FeatureSet(flagged.filter("is_train"), fs.keys, fs.features)
         test = FeatureSet(flagged.filter(~F.col("is_train")), fs.keys, fs.features)
-        kw = {"trees": RF_TREES, "max_depth": 12, "seed": 0}
-        tables = {"extra trees": EN.extra_trees(train, "Drug", _VOTE_KEYS, **kw).predict_proba_long(test, _VOTE_KEYS),
-                  "bagged trees": EN.bagged_trees(train, "Drug", _VOTE_KEYS, **kw).predict_proba_long(test, _VOTE_KEYS)}
+        extra = EN.extra_trees(train, "Drug", _VOTE_KEYS, trees=RF_TREES, max_depth=RF_DEPTH)
+        bags = EN.bagged_trees(train, "Drug", _VOTE_KEYS, trees=25, max_depth=RF_DEPTH)
+        tables = {"extra trees": extra.predict_proba_long(test, _VOTE_KEYS),
+                  "bagged trees": bags.predict_proba_long(test, _VOTE_KEYS)}
         tables["soft vote"] = EN.soft_vote(list(tables.values()), _VOTE_KEYS)
         for name, table in tables.items():
             hit = (F.col("predicted") == F.col("Drug")).cast("double")
