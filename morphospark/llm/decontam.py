@@ -12,9 +12,14 @@ The items are the small side.  Their seeds are broadcast in blocks of at most
 ``BLOCK_TOKENS`` tokens, each block one pass over the documents, so a benchmark
 of any size has a bounded broadcast; documents are never shuffled.
 
-Edge cases: a null text has no tokens; an item shorter than ``MIN_ITEM`` words
-is not looked for; long documents are scanned whole; repeated documents are
-each reported, repeated items under each id; empty tables give no rows.
+Tokens are words, and single characters in scripts that put no blanks between
+words.  An item too short for the masks is looked for whole, token by token.
+
+Edge cases: a null text, and an item without token, has nothing to find; long
+documents are scanned whole; of several places of an item in a document the one
+with the most equal tokens is reported, the first of equal ones, and ``n_places``
+counts the alignments that are leaks; repeated documents are each reported,
+repeated items under each id; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,21 +37,26 @@ from .common import text_or_empty
 #: Kept positions.  Any five words in a row of which at most one is replaced are hit by one of these masks; a
 #: stretch of five words or more with a similarity of 0.8 always holds such five, so no leak is missed.
 MASKS = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4))
-MIN_ITEM = 5
+#: Items of fewer than five tokens are hashed whole: 0.8 of so few is all of them.
+SHORT = tuple(tuple(range(n)) for n in range(1, 5))
+MIN_ITEM = 1
 MIN_WINDOW = 13
 MIN_SIMILARITY = 0.8
 BLOCK_TOKENS = 2_000_000
 #: What parts words: ASCII punctuation by a byte table, other punctuation by a pattern.
 _ODD = re.compile(r"[^\w\x00-\x7f]+")
+#: Scripts without blanks between words: Thai, Lao, Tibetan, Myanmar, Khmer, kana and Chinese characters.
+_ALONE = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf"
+                    "\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _PARTS = bytes(32 if not (chr(b).isalnum() or b == 95) and b < 128 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[bytes]:
-    """Lower-cased runs of letters, digits and underscores, as UTF-8."""
+    """Lower-cased runs of letters, digits and underscores, as UTF-8; unspaced scripts character by character."""
     text = text.lower()
     if not text.isascii():
-        text = _ODD.sub(" ", text)
+        text = _ALONE.sub(r" \g<0> ", _ODD.sub(" ", text))
     return text.encode("utf-8", "replace").translate(_PARTS).split()
 
 
@@ -86,8 +96,13 @@ class SeedIndex:
                 self.names.append(name)
                 self.texts.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w],
                                            np.uint64))
-        found = [(h, k, i) for k, ids in enumerate(self.texts) for m, mask in enumerate(MASKS)
+        self.masks = list(enumerate(MASKS))
+        sizes = {len(ids) for ids in self.texts}
+        short = [(len(MASKS) + k, mask) for k, mask in enumerate(SHORT) if len(mask) in sizes]
+        found = [(h, k, i) for k, ids in enumerate(self.texts)
+                 for m, mask in (self.masks if len(ids) > len(SHORT) else [x for x in short if len(x[1]) == len(ids)])
                  for i, h in enumerate(_seeds(ids, mask, m).tolist())]
+        self.masks += short
         found.sort()
         self.hashes = np.array([x[0] for x in found], np.uint64)
         self.item = np.array([x[1] for x in found], np.int64)
@@ -98,14 +113,14 @@ class SeedIndex:
         self.filter[(self.hashes >> self.shift).astype(np.int64)] = True
 
     def leaks(self, text: str):
-        """(item, first word, end word, equal words, item words) of each item found, once, at its best place."""
+        """(item, first word, end word, equal words, item words, places) of each item found, once, at its best place."""
         found = words(text)
         own = np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.uint64, len(found))
         if not len(own) or not len(self.hashes):
             return []
         places = set()
         known = own != 0
-        for m, mask in enumerate(MASKS):
+        for m, mask in self.masks:
             n = len(own) - mask[-1]
             if n <= 0:
                 continue
@@ -126,15 +141,18 @@ class SeedIndex:
                 for j in range(a, b):
                     places.add((int(self.item[j]), p - int(self.at[j])))
         best: dict[int, tuple] = {}
+        count: dict[int, int] = {}
         for k, start in sorted(places):
             item = self.texts[k]
             equal = np.zeros(len(item), bool)
             a, b = max(0, start), min(len(own), start + len(item))
             equal[a - start:b - start] = own[a:b] == item[a - start:b - start]
             got = _best_window(equal)
+            if got:
+                count[k] = count.get(k, 0) + 1
             if got and (k not in best or got[0] > best[k][0]):
                 best[k] = (got[0], max(0, start + got[1]), min(len(own), start + got[2]), len(item))
-        return [(self.names[k], s, e, n, size) for k, (n, s, e, size) in sorted(best.items())]
+        return [(self.names[k], s, e, n, size, count[k]) for k, (n, s, e, size) in sorted(best.items())]
 
 
 def _blocks(benchmark: DataFrame):
@@ -155,7 +173,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType
     schema = (f"doc_id {doc_kind}, item_id {item_kind.simpleString()}, first_word bigint, end_word bigint, "
-              "n_equal bigint, n_item_words bigint, similarity double")
+              "n_equal bigint, n_item_words bigint, n_places bigint, similarity double")
     spark = docs.sparkSession
     out = spark.createDataFrame([], schema)
     for rows in _blocks(benchmark):
@@ -166,12 +184,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 found = [(d, *x) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                          for x in index.leaks(text)]
-                cols = list(zip(*found)) or [()] * 6
+                cols = list(zip(*found)) or [()] * 7
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1]) if found else
-                     pa.array([], _arrow(item_kind)), *[pa.array(c, pa.int64()) for c in cols[2:6]],
+                     pa.array([], _arrow(item_kind)), *[pa.array(c, pa.int64()) for c in cols[2:7]],
                      pa.array([x[4] / max(1, x[3] - x[2]) for x in found], pa.float64())],
-                    names=["doc_id", "item_id", "first_word", "end_word", "n_equal", "n_item_words", "similarity"])
+                    names=["doc_id", "item_id", "first_word", "end_word", "n_equal", "n_item_words", "n_places",
+                           "similarity"])
 
         out = out.unionByName(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema))
     return out

@@ -129,10 +129,14 @@ def fit(learning: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS):
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return [], np.zeros(0), np.zeros((0, DIMS), np.float32), idf
-    # A hash threshold per language takes about `sample` rows without sorting or ranking any language.
+    # A hash threshold per language takes about `sample` texts without sorting or ranking any language; rows of one
+    # id and text are one, and a language whose texts all miss its threshold gives the text of the smallest hash.
     part = F.create_map(*[F.lit(y) for k, c in sizes.items() for y in (k, min(1.0, sample / c))])
-    picked = learning.filter(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30))
-                             < F.lit(1 << 30) * part[F.col("lang")])
+    draw = learning.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 30)).alias("h"))
+    passed = draw.filter(F.col("h") < F.lit(1 << 30) * part[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    least = draw.filter(F.lower("text").rlike(r"\p{L}")).groupBy("lang").agg(F.min(F.struct("h", "text")).alias("least"))
+    picked = passed.select("lang", "text").unionByName(
+        least.join(passed.select("lang").distinct(), "lang", "left_anti").select("lang", "least.text"))
 
     def vectors(batches):
         for batch in batches:

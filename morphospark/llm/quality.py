@@ -24,7 +24,8 @@ MAX_REPEAT_PERCENT = 20
 MAX_LOST = 0.3
 
 #: Line ends that count as the end of a sentence.
-TERMINAL = [".", "!", "?", "…", ":", ";", ")", "]", '"', "'", "”", "’", "»", "。", "！", "？"]
+TERMINAL = [".", "!", "?", "…", ":", ";", ")", "]", '"', "'", "”", "’", "»", "。", "！", "？",
+            "」", "』", "》", "）", "；", "：", "।", "॥", "؟", "۔", "؛", "።", "։", "។", "။"]
 #: Three or more runs of doubled symbols in a line: markup or shouting, not prose.
 NOISE = r"(?:[#*$%&<>!=~^]{2,}[^#*$%&<>!=~^]+){2}[#*$%&<>!=~^]{2,}"
 #: Three or more separators in a line: a menu, a breadcrumb trail or a table row.
@@ -113,9 +114,6 @@ def quality_report(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
 def keep_good(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     """Documents that pass, with the text left after line cleaning; all columns stay."""
     kept = clean_lines(docs, max_lost).filter("kept")
-    out = kept.select("row.*", F.col("cleaned").alias("__cleaned")) if "__cleaned" not in docs.columns else None
-    if out is None:
-        raise ValueError("the column name __cleaned is reserved")
-    return out.select(*[F.col("__cleaned").alias(c) if c == "text"
-                        else F.length("__cleaned").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
-                        else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[F.col("cleaned").alias(c) if c == "text"
+                         else F.length("cleaned").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+                         else F.col("row").getField(c).alias(c) for c in docs.columns])

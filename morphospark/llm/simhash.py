@@ -16,7 +16,9 @@ components come from star contraction over those links.
 
 Edge cases: a null or empty text has fingerprint zero and is linked like any
 other; fewer than ``SHINGLE`` words are one shingle; repeated rows share their
-fingerprint and component; an empty table gives an empty result.
+fingerprint and component; a row without doc_id links others like any row, and
+a component without any doc_id has a null id; different texts under one doc_id
+are not linked by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,12 +39,6 @@ TILE = 2048
 STRIP = 256
 #: Shingles hashed at a time.
 BLOCK = 65536
-#: Links of the near-duplicate stage: Jaccard similarity of the distinct shingles of five words.
-SIMILAR_SHINGLE = 5
-SIMILARITY = 0.8
-#: Bits by which the first half, and all, of two wide fingerprints may differ for their shingle sets to be compared.
-SIMILAR_RADIUS = 22
-SIMILAR_BITS = 36
 
 
 def fingerprint(text: str | bytes, shingle: int = SHINGLE) -> int:
@@ -180,203 +176,37 @@ def star_components(edges: DataFrame, ws: Workspace, name: str = "cc") -> DataFr
 
 
 def components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id linked, directly or over others) of every document."""
+    """doc_id, fp, component_id (smallest doc_id linked, directly or over others) of every document.
+
+    Links and components are those of fingerprints; ids come in last, so that
+    rows without doc_id carry links too, and rows that share one do not.
+    """
     ws = Workspace(docs.sparkSession, "simhash")
     own = ws.stage(fingerprints(docs, shingle), "own")
-    reps = ws.stage(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = ws.stage(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "reps")
     found = ws.stage(links(reps.select("fp"), ws, radius).distinct(), "links")
     ws.drop("cut", "pairs")
-    u, v = reps.toDF("u", "ru"), reps.toDF("v", "rv")
-    # Every fingerprint has its own smallest doc_id unless rows repeat a doc_id, so links carry over to ids.
-    edges = found.join(u, "u").join(v, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-    roots = star_components(edges, ws)
-    groups = reps.join(roots, reps.rep == roots.node, "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id"))
-    return own.join(groups, "fp").select("doc_id", "fp", "component_id")
-
-
-def _distinct_shingles(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """128-bit hashes, as two unsigned longs, of the distinct shingles of a text, in order of the first long."""
-    import xxhash
-
-    words = text.lower().split()
-    width = min(shingle, len(words))
-    digest = xxhash.xxh3_128_digest
-    found = np.empty((0, 2), np.uint64)
-    for at in range(0, len(words) - width + 1 if words else 0, BLOCK):
-        part = words[at:at + BLOCK + width - 1]
-        raw = b"".join([digest(s, SEED) for s in map(b" ".join, zip(*[part[k:] for k in range(width)]))])
-        found = np.concatenate([found, np.frombuffer(raw, np.uint64).reshape(-1, 2)])
-        found = found[np.unique(found[:, 0], return_index=True)[1]]
-    return found
-
-
-def _wide(shingles: np.ndarray) -> np.ndarray:
-    """Fingerprint of two 64-bit halves: a bit is set if it is set in over half the distinct shingle hashes."""
-    total = np.zeros(128, np.int64)
-    for at in range(0, len(shingles), BLOCK):
-        total += np.unpackbits(shingles[at:at + BLOCK].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > len(shingles)).view(np.uint64)
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node (digest of the text), both halves of the wide fingerprint and the number of distinct shingles."""
-    def run(batches):
-        for batch in batches:
-            each = [_distinct_shingles(x) for x in batch.column(2).cast(pa.binary()).to_pylist()]
-            fp = np.array([_wide(x) for x in each], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fp[:, 0], pa.int64()), pa.array(fp[:, 1], pa.int64()),
-                 pa.array([len(x) for x in each], pa.int64())], names=["doc_id", "node", "hi", "lo", "n"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _node().alias("node"), text_or_empty().alias("text")).mapInArrow(
-        run, f"doc_id {kind}, node string, hi bigint, lo bigint, n bigint")
+    roots = star_components(found, ws)
+    placed = reps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp"))
+    groups = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    return own.join(groups.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def _node(text: str = "text"):
     return F.md5(text_or_empty(text).cast("binary"))
 
 
-def _meetings(hi, lo, n, side, radius: int, similarity: float):
-    """(x, y, bits) of the pairs that may be similar: within one side, or of one side and the other.
-
-    Texts whose shingle counts differ by more than ``similarity`` allows cannot
-    be similar; the others meet if the first half is within ``radius`` bits and both within ``SIMILAR_BITS``.
-    """
-    left, right = (np.flatnonzero(side == s) for s in (0, 1))
-    alone = len(right) == 0
-    left = left[np.argsort(n[left], kind="stable")]
-    right = left if alone else right[np.argsort(n[right], kind="stable")]
-    right_n, loose = n[right], similarity - 1e-9
-    for at in range(0, len(left), STRIP):
-        rows = left[at:at + STRIP]
-        first = at if alone else np.searchsorted(right_n, n[rows[0]] * loose, "left")
-        last = np.searchsorted(right_n, n[rows[-1]] / loose, "right")
-        for start in range(first, last, TILE):
-            cols = right[start:min(start + TILE, last)]
-            near = np.bitwise_count(hi[rows][:, None] ^ hi[cols][None, :]) <= radius
-            i, j = np.nonzero(near)
-            if alone:
-                i, j = i[at + i < start + j], j[at + i < start + j]
-            x, y = rows[i], cols[j]
-            bits = np.bitwise_count(hi[x] ^ hi[y]) + np.bitwise_count(lo[x] ^ lo[y])
-            fit = (bits <= SIMILAR_BITS) & (np.minimum(n[x], n[y]) >= loose * np.maximum(n[x], n[y]))
-            x, y = x[fit], y[fit]
-            if len(x):
-                yield x, y, bits[fit]
-
-
-def _confirmed(sets: list[np.ndarray], meetings, similarity: float) -> list[tuple[int, int]]:
-    """Spanning links of the pairs whose exact Jaccard similarity of shingle sets is enough."""
-    root = np.arange(len(sets))
-    found = []
-    for x, y, bits in meetings:
-        order = np.argsort(bits, kind="stable")
-        x, y = x[order], y[order]
-        apart = root[x] != root[y]
-        for i, j in zip(x[apart].tolist(), y[apart].tolist()):
-            if root[i] == root[j]:  # joined since, over others
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            every = len(sets[i]) + len(sets[j]) - both
-            if not every or both / every >= similarity:
-                found.append((i, j))
-                low, high = sorted((root[i], root[j]))
-                root[root == high] = low
-    return found
-
-
-def similar_links(docs: DataFrame, own: DataFrame, ws: Workspace, radius: int = SIMILAR_RADIUS,
-                  similarity: float = SIMILARITY, tile: int | None = None) -> DataFrame:
-    """(u, v): links between nodes of ``own``, the sketches of ``docs``, with a Jaccard similarity of 5-word shingles.
-
-    Tiles are pieces of the nodes in order of their shingle counts; two pieces
-    are compared if their counts allow the similarity.  A first pass finds the
-    nodes that meet another; only their shingle sets are dealt to the second,
-    which confirms links until all pairs that met are joined or refused.
-    """
-    spark = docs.sparkSession
-    nodes = ws.stage(own.groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).getField("doc_id").alias("id"),
-        F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.first("n").alias("n")), "nodes")
-    # Some 40 bins for each power of e: a number of rows that the driver can hold, whatever the table.
-    binned = nodes.withColumn("bin", F.floor(F.log1p("n") * 40).cast("int"))
-    hist = sorted(binned.groupBy("bin").agg(F.count("*"), F.min("n"), F.max("n")).collect())
-    if tile is None:
-        tile = max(1024, sum(count for _, count, _, _ in hist) // 64)
-    cut, low, high, before = [], {}, {}, 0
-    for b, count, least, most in hist:
-        first, parts = before // tile, -(-count // tile)
-        cut.append((b, first, parts))
-        before += count
-        for p in range(first, first + parts):
-            low[p], high[p] = min(low.get(p, least), least), max(high.get(p, most), most)
-    wanted = [(p, a, b) for a in low for b in low if a <= b
-              and min(high[a], high[b]) >= (similarity - 1e-9) * max(low[a], low[b]) for p in {a, b}]
-    cut = spark.createDataFrame(cut, "bin int, first int, parts int")
-    wanted = spark.createDataFrame(wanted, "piece int, a int, b int")
-    dealt = binned.join(F.broadcast(cut), "bin").withColumn(
-        "piece", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int")).join(
-            F.broadcast(wanted), "piece").select("a", "b", "piece", "node", "hi", "lo", "n")
-
-    def arrays(key, table):
-        halves = [table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("hi", "lo")]
-        side = (table.column("piece").to_numpy() != key[0].as_py()).astype(np.int8)
-        return *halves, table.column("n").to_numpy(), side
-
-    def meet(key, table):
-        met = np.zeros(len(table), bool)
-        hi, lo, n, side = arrays(key, table)
-        if key[0] == key[1] or side.any() and not side.all():
-            for x, y, _ in _meetings(hi, lo, n, side, radius, similarity):
-                met[x] = met[y] = True
-        return table.filter(pa.array(met)).select(["a", "b", "piece", "node", "hi", "lo", "n"])
-
-    def confirm(key, table):
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        found = _confirmed(sets, _meetings(*arrays(key, table), radius, similarity), similarity)
-        uv, node = np.array(found, np.int64).reshape(-1, 2), table.column("node")
-        return pa.table({"u": node.take(pa.array(uv[:, 0])).cast(pa.string()),
-                         "v": node.take(pa.array(uv[:, 1])).cast(pa.string())})
-
-    def shingles(batches):
-        for batch in batches:
-            each = [_distinct_shingles(x)[:, 0].tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each, pa.binary())], names=["node", "shingles"])
-
-    met = ws.stage(dealt.groupBy("a", "b").applyInArrow(
-        meet, "a int, b int, piece int, node string, hi bigint, lo bigint, n bigint"), "met")
-    asked = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "id")
-    # One row of each text: of those with its smallest doc_id, the first that comes.
-    texts = docs.select(_node().alias("node"), F.col("doc_id").alias("id"), text_or_empty().alias("text")).join(
-        asked.select(F.col("node").alias("__n"), F.col("id").alias("__i")),
-        (F.col("node") == F.col("__n")) & F.col("id").eqNullSafe(F.col("__i")), "left_semi")
-    sets = texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(shingles, "node string, shingles binary")
-    return met.join(sets, "node").groupBy("a", "b").applyInArrow(confirm, "u string, v string")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_similar(docs: DataFrame) -> DataFrame:
-    """One row of each group of texts linked by a Jaccard similarity of ``SIMILARITY`` or more; all columns stay."""
-    ws = Workspace(docs.sparkSession, "similar")
-    own = ws.stage(sketches(docs), "own")
-    found = similar_links(docs, own, ws)
-    return _keep_first(docs, own.select("doc_id", "node"), star_components(found, ws), ws)
-
-
 def _keep_first(docs: DataFrame, own: DataFrame, roots: DataFrame, ws: Workspace) -> DataFrame:
     """One row of each group of texts: the first by doc_id, rows without one last, then by text.
 
     ``own`` has doc_id and node (the digest of the text) of every row, ``roots`` the root of every linked node.
     """
-    names = docs.columns
-    if set(names) & {"__node", "__n", "__i", "__c", "__row"}:
-        raise ValueError("the column names __node, __n, __i, __c and __row are reserved")
     # Narrow rows decide; the texts are shuffled once, to the kept rows.
     none = F.col("doc_id").isNull().alias("none")
     first = own.groupBy("node", "doc_id").count().groupBy("node").agg(
@@ -393,15 +223,15 @@ def _keep_first(docs: DataFrame, own: DataFrame, roots: DataFrame, ws: Workspace
                 F.min(F.struct("text", "node")).getField("node").alias("least"))
         kept = ws.stage(kept.join(least, "root", "left").filter("least is null or least = node").select(
             "root", "node", "doc_id", "count"), "kept")
-    found = docs.withColumn("__node", _node()).join(
-        kept.select(F.col("node").alias("__n"), F.col("doc_id").alias("__i"), F.col("count").alias("__c")),
-        (F.col("__node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__i")))
-    columns = [F.col(f"`{c}`") for c in names]
+    # The row goes along as one struct: its columns cannot clash with ours.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _node().alias("node"),
+                       F.col("doc_id").alias("own"))
+    wanted = kept.select(F.col("node").alias("n"), F.col("doc_id").alias("i"), F.col("count").alias("c"))
+    found = rows.join(wanted, (F.col("node") == F.col("n")) & F.col("own").eqNullSafe(F.col("i")))
     if not kept.filter("count > 1").limit(1).count():
-        return found.select(*columns)
-    again = found.filter("__c > 1").groupBy("__node").agg(  # rows that repeat a doc_id and its text
-        F.min(F.struct(F.col("text"), F.struct(*columns).alias("__row"))).alias("__row")).select("__row.__row.*")
-    return found.filter("__c = 1").select(*columns).unionByName(again)
+        return found.select("row.*")
+    again = found.filter("c > 1").groupBy("node").agg(F.min("row").alias("row"))  # rows that repeat a doc_id and its text
+    return found.filter("c = 1").select("row.*").unionByName(again.select("row.*"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ executor instead if it is small enough to be broadcast.
 Edge cases: a capture without URL or day matches nothing and is kept; entries
 with a null pattern, day or action are dropped; of several entries of a pattern
 on one day, "add" wins; repeated captures are each judged; an empty list blocks
-nothing; intervals open at the end are still active.
+nothing; intervals open at the end are still active; slashes at the end of a
+pattern and doubled ones count for nothing, and a pattern without host is dropped.
 """
 
 from __future__ import annotations
@@ -39,9 +40,12 @@ def path_of(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, from_day, to_day) during which each pattern is on the list."""
-    # Hosts have no case; paths keep theirs, as in candidates().
-    host = F.substring_index("pattern", "/", 1)
-    pattern = F.concat(F.lower(host), F.expr("substring(pattern, length(substring_index(pattern, '/', 1)) + 1)"))
+    # As in candidates(): hosts have no case and no dot at the end, paths keep theirs and no empty segments.
+    parts = F.filter(F.split("pattern", "/"), lambda x: x != "")
+    host = F.regexp_replace(F.lower(F.element_at(parts, 1)), r"\.+$", "")
+    pattern = F.when((F.size(parts) >= 1) & ~F.col("pattern").startswith("/"), F.array_join(
+        F.concat(F.array(host), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))), "/"))
+    entries = entries.withColumn("pattern", pattern)
     day = entries.filter("pattern is not null and day is not null and action is not null").groupBy(
         pattern.alias("pattern"), F.col("day").cast("date").alias("from_day")).agg(
             F.max(F.when(F.col("action") == "add", 1).otherwise(0)).alias("on"))
