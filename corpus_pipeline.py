@@ -14,27 +14,35 @@ from morphospark.llm.common import Workspace, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go; so do documents that fail the base rules or lose too much text."""
+    """Failing lines go; so do documents that fail the base rules or lose too much text.
+
+    A null or empty text fails; repeated rows are each judged; other columns,
+    whatever their names, stay as they are, but for ``n_chars``, which is counted anew.
+    """
     return quality.keep_good(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of texts at a similarity of 0.8 or more stays."""
-    return simhash.keep_similar(docs)
+    """One document of each group stays that fingerprints of three-word shingles at most three bits apart link.
+
+    The smallest doc_id stays, rows without one last, then the first text; null
+    and empty texts are one group, repeated rows too.
+    """
+    return simhash.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; a null text holds none, and a null item is in none."""
     return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data is replaced by its kind."""
+    """Every span of personal data is replaced by its kind; a null text stays null."""
     return pii.redact(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of the ids and of the bytes they decode to."""
+    """Token ids of every document, with the digests of the ids and of the bytes they decode to; a null text has none."""
     return bpe.digests(docs, with_ids=True)
 
 
