@@ -582,14 +582,24 @@ def q_kmeans_on_pcs(spark, sf_dir):
     return labelled.select(*[q(c) for c in ORGANOID_KEYS], "PC1", "PC2", "cluster")
 
 
+def _study(spark, sf_dir):
+    """MM5 over all cell lines, doses and drugs, medians in both orders, five folds in each half (run once a session)."""
+    from morphospark.plans.classification import classification_study
+
+    return _memo(spark, sf_dir, "study", lambda: classification_study(
+        scaled_organoids(spark, sf_dir), None, None, variables=["Conc /uM", "Drug"], seed=0, cv=5,
+        num_trees=RF_TREES, max_depth=RF_DEPTH))
+
+
 @register("classification_study_drug")
 def q_classification_study_drug(spark, sf_dir):
-    from morphospark.plans.classification import classification_study
+    return stable(_study(spark, sf_dir)[0])
 
-    rep, _scores = classification_study(
-        scaled_organoids(spark, sf_dir), None, ["ISO49"], variables=["Drug"], seed=0, cv=5,
-        population_names=["Median per Organoid unsorted"], num_trees=RF_TREES, max_depth=RF_DEPTH)
-    return stable(rep)
+
+@register("classification_study_scores")
+def q_classification_study_scores(spark, sf_dir):
+    """The score table of the study: hold-out accuracy, and the mean of the folds in either half."""
+    return stable(_study(spark, sf_dir)[1])
 
 
 @register("pairwise_similarity")
@@ -1078,3 +1088,39 @@ def q_elimination_curve(spark, sf_dir):
     ordered = fs.with_df(fs.df.withColumn("_h", _org_hash()))
     _, curve = M.elimination_curve(ordered, "Drug", ["_h"], folds=3, seed=0, num_trees=20, max_depth=RF_DEPTH)
     return stable(curve)
+
+
+# --------------------------------------------------------------------------
+# E3 whole: isolation, power transform, feature source, median, norm, line, EC50
+# --------------------------------------------------------------------------
+_YJ_CELLS = ("yjc AS (SELECT " + O.ORG_KEYS_SQL + ", " + ", ".join(
+    f"{O.yj_sql(c, FIXED_LAMBDAS[c])} AS {c}" for c in O.FEATURES) + " FROM cells),\nzc AS (SELECT " + O.ORG_KEYS_SQL + ", "
+    + ", ".join(f"{O.zscore_sql(c)} AS {c}" for c in O.FEATURES) + " FROM yjc),\nzo AS (SELECT " + O.ORG_KEYS_SQL + ", "
+    + ", ".join(f"median({c}) AS {c}" for c in O.FEATURES) + " FROM zc GROUP BY ALL),\nzd AS (SELECT " + O.ORG_KEYS_SQL
+    + ", sqrt(" + " + ".join(f"{c}*{c}" for c in O.FEATURES) + ') AS "Euclidean distance" FROM zo)')
+
+
+@register("dose_response_scaled", _CELLS + "," + _YJ_CELLS + ",\n" + O.line_ctes("zd", "Drug, Cell", '"Conc /uM"', '"Euclidean distance"') + """
+SELECT Drug, Cell, n, round(m, 6) AS m, round(c, 6) AS c, round(R, 6) AS R, round(stderr, 6) AS stderr,
+       round(abs((0.5 - c) / nullif(m, 0)), 6) AS "EC50 /uM", 'scaled' AS Source
+FROM fit""")
+def q_dose_response_scaled(spark, sf_dir):
+    """E3 on objects scaled at fixed exponents (every step but the model fits)."""
+    from morphospark.plans.dose_response import prepared_dose_response
+
+    out = prepared_dose_response(cells(spark, sf_dir), "scaled", isolate=False, lambdas=FIXED_LAMBDAS)
+    return stable(out.select("Drug", "Cell", "n", "m", "c", "R", "stderr", "`EC50 /uM`", "Source"))
+
+
+@register("dose_response_prepared")
+def q_dose_response_prepared(spark, sf_dir):
+    """E3 as the reference runs it, for each feature source: inlying objects, fitted power transform, p-values."""
+    from morphospark.operators.reshape import union_all
+    from morphospark.plans.dose_response import profiles, scaled_objects
+
+    scaled = scaled_objects(cells(spark, sf_dir), seed=0)
+    out = []
+    for source in ("scaled", "weighted", "selected"):
+        name, medians = profiles(scaled, source, seed=0, num_trees=RF_TREES, max_depth=RF_DEPTH)
+        out.append(dose_response(medians, with_pvalue=True).withColumn("Source", F.lit(name)))
+    return stable(union_all(*out).select("Source", "Drug", "Cell", *[q(c) for c in _LINE_COLS], "pvalue"))

@@ -1,14 +1,18 @@
 """Read per-object / per-image tables.
 
-CSV exports are read by Spark from any path it can open.  The header comes from
-Spark's reader, and every file's own header is compared with it, so a file with
-another column order stops the job instead of being read by position.  Columns
-that hold text anywhere stay text, as in pandas; missing-value tokens and NaN
+CSV exports are read by Spark from any path it can open.  Every file's own header
+is looked up first; files with one header are read together, and the tables of
+several headers are united by column name, so neither another column order nor a
+column that only some files have is read by position.  Columns that hold text
+anywhere stay text, as in pandas; missing-value tokens and NaN
 become null once, at the source (R1).
 """
 
 from __future__ import annotations
 
+import csv
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,11 +53,38 @@ def column_types(raw: DataFrame, string_columns=(), long_columns=()) -> T.Struct
         for c in raw.columns])
 
 
+def headers(spark: SparkSession, path) -> dict[tuple[str, ...], list[str]]:
+    """{header: its files}: the first line of every file, read in tasks; one row a file reaches the driver."""
+    def first_lines(batches):
+        seen = set()
+        for batch in batches:
+            files = batch.column(0).dictionary_encode()
+            fresh = [(f, k) for k, f in enumerate(files.dictionary.to_pylist()) if f not in seen]
+            at = [files.indices.index(k).as_py() for _, k in fresh]  # lines of a file come in order
+            seen.update(f for f, _ in fresh)
+            yield batch.take(pa.array(at, pa.int64())).select([0, 1])
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value",
+                                         F.col("_metadata.file_block_start").alias("start")).filter("start = 0")
+    found: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(lines.mapInArrow(first_lines, "file string, value string").collect()):
+        found.setdefault(tuple(next(csv.reader([r.value.lstrip("\ufeff")]), [])), []).append(r.file)
+    return found
+
+
 def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, **schema_kw) -> DataFrame:
-    """Rows of one or several CSV files.  A given ``schema`` saves the pass that finds the text columns."""
-    names = schema.names if schema else spark.read.csv(path, header=True).columns
-    as_text = T.StructType([T.StructField(c, T.StringType(), True) for c in names])
-    raw = spark.read.csv(path, header=True, schema=as_text, enforceSchema=False, mode="FAILFAST")
+    """Rows of one or several CSV files; columns in the order of the first header that has them, null where a
+    file has none.  A given ``schema`` saves the pass that finds the text columns."""
+    groups = headers(spark, path)
+    names = list(schema.names) if schema else list(dict.fromkeys(c for header in groups for c in header))
+    raw = None
+    for header, files in groups.items():
+        as_text = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
+        own = spark.read.csv(files, header=True, schema=as_text, enforceSchema=False, mode="FAILFAST")
+        part = own.select(*[F.col(q(c)) if c in header else F.lit(None).cast("string").alias(c) for c in names])
+        raw = part if raw is None else raw.unionByName(part)
+    if raw is None:  # files without any line
+        raw = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType(), True) for c in names]))
     schema = schema or column_types(raw, **schema_kw)
     return normalise_nan(raw.select(*[
         (_value(f.name) if isinstance(f.dataType, T.StringType) else F.trim(_value(f.name)).cast(f.dataType))
