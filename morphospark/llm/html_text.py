@@ -2,12 +2,14 @@
 
 A tokeniser of one regular expression feeds a tree builder that closes and
 opens implied tags; a renderer then walks the tree, leaves out what a browser
-does not show, and keeps block spacing, list markers and table columns.
+does not show, and keeps block spacing, list markers and table columns.  Cells
+stand in a grid that follows colspan and rowspan; a cell of several lines makes
+its row as high, and lines too long for a column are wrapped inside it.
 
 Pages are independent rows: no shuffle.  Edge cases: a null or empty page has
 empty text; unclosed, misnested and unknown tags and broken entities never
 fail; elements nested deeper than ``MAX_DEPTH`` become children of the one at
-that depth, as in browsers; pages of any length are read whole; repeated rows
+that depth, as in browsers, and what is hidden there stays hidden; pages of any length are read whole; repeated rows
 are each rendered; an empty table gives an empty result.
 """
 
@@ -21,7 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 200
-MAX_TABLE_WIDTH = 200
+#: Lines of a cell longer than this are wrapped at blanks, but for those of a table's last column.
+CELL_WIDTH = 80
+#: The standard's limits of spans.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+#: Inputs that show no value.
+WORDLESS = frozenset("hidden password checkbox radio file image color range".split())
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -53,7 +60,7 @@ _TOKEN = re.compile(
     r"[^<]++|<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>?|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)"
     r"(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"?|'[^']*+'?)*+)>?|<", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
-_INTERESTING = re.compile(r"hidden|style|colspan|start|type|value|open", re.I)
+_INTERESTING = re.compile(r"hidden|style|colspan|rowspan|start|type|value|open", re.I)
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -95,7 +102,9 @@ def parse(page: str) -> Node:
             open_("tr", None)  # a cell outside a row
         node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < MAX_DEPTH:
+        # Beyond the limit only hidden elements go on the stack, with what they hold.
+        if tag not in VOID and (len(stack) < MAX_DEPTH or len(stack) < 2 * MAX_DEPTH and (
+                _hidden(node) or any(_hidden(x) for x in stack[MAX_DEPTH:]))):
             stack.append(node)
         return node
 
@@ -142,7 +151,7 @@ def _hidden(node: Node) -> bool:
     a = node.attrs
     if node.tag in UNSEEN or (a and ("hidden" in a or _HIDING.search(a.get("style", "")))):
         return True
-    return node.tag == "input" and a.get("type", "text").lower() not in ("submit", "button", "reset")
+    return node.tag == "input" and a.get("type", "text").lower() in WORDLESS
 
 
 class _Lines:
@@ -202,6 +211,12 @@ def _render(node: Node, out: _Lines, depth: int) -> None:
             out.block(1)
             _table(child, out, depth)
             out.block(1)
+        elif tag == "details" and "open" not in child.attrs:  # closed: its summary shows
+            out.block(0)
+            first = next((x for x in child.children if isinstance(x, Node) and x.tag == "summary"), None)
+            if first is not None and not _hidden(first):
+                _render(first, out, depth + 1)
+            out.block(0)
         elif tag == "input":
             out.inline(" " + child.attrs.get("value", "") + " ")
         elif tag == "li":
@@ -234,62 +249,95 @@ def _plain(node):
             yield from _plain(child)
 
 
+def _span(cell, name, most):
+    return max(1, min(most, _number(cell.attrs.get(name, ""), 1))) if isinstance(cell, Node) else 1
+
+
 def _rows(node):
-    """Rows of a table in order, captions and stray content as rows of one cell."""
+    """Rows of a table in order, captions and stray content as rows of one cell; a cell is (node, columns, rows)."""
     for child in node.children:
         if isinstance(child, str):
             if child.strip():
-                yield [(child, 1)]
+                yield [(child, 1, 1)]
         elif _hidden(child):
             continue
         elif child.tag == "tr":
-            yield [(c, max(1, min(1000, _number(c.attrs.get("colspan", ""), 1))) if isinstance(c, Node) else 1)
+            yield [(c, _span(c, "colspan", MAX_COLSPAN),
+                    MAX_ROWSPAN if isinstance(c, Node) and c.attrs.get("rowspan", "").strip() == "0"
+                    else _span(c, "rowspan", MAX_ROWSPAN))
                    for c in child.children if (c.strip() if isinstance(c, str) else not _hidden(c))]
         elif child.tag in ("thead", "tbody", "tfoot"):
             yield from _rows(child)
         elif child.tag not in ("colgroup", "col"):
-            yield [(child, 1)]
-
-
-def _table(node, out, depth):
-    rows = []
+            yield [(child, 1, 1)]
+
+
+def _wrapped(lines):
+    """The lines, those beyond ``CELL_WIDTH`` cut at blanks; a longer word stays whole."""
+    out = []
+    for line in lines:
+        while len(line) > CELL_WIDTH:
+            cut = line.rfind(" ", 1, CELL_WIDTH + 1)
+            cut = cut if cut > 0 and line[:cut].strip() else line.find(" ", CELL_WIDTH)
+            if cut < 0:
+                break
+            out.append(line[:cut].rstrip())
+            line = line[cut:].lstrip()
+        out.append(line)
+    return out
+
+
+def _grid(node, depth):
+    """Rows of (first column, columns, lines), each cell below and beside the spans of those before it."""
+    rows, busy = [], {}
     for row in _rows(node):
-        cells = []
-        for cell, span in row:
+        placed, at, begun = [], 0, {}
+        for cell, columns, down in row:
+            while busy.get(at, 0) > 0:
+                at += 1
             own = _Lines()
-            holder = cell if isinstance(cell, Node) else Node("td")
-            if not isinstance(cell, Node):
+            holder = cell
+            if isinstance(cell, str):
+                holder = Node("td")
                 holder.children.append(cell)
             _render(holder, own, depth + 1)
             own.flush()
-            cells.append((own.lines, span))
-        rows.append(cells)
+            placed.append((at, columns, own.lines))
+            if down > 1:
+                begun |= {at + k: down for k in range(columns)}
+            at += columns
+        busy = {k: n - 1 for k, n in (busy | begun).items() if n > 1}
+        rows.append(placed)
+    return rows
+
+
+def _table(node, out, depth):
+    rows = _grid(node, depth)
+    last = max((at + columns for row in rows for at, columns, _ in row), default=0)
+    rows = [[(at, columns, lines if at + columns >= last else _wrapped(lines)) for at, columns, lines in row] for row in rows]
     widths: dict[int, int] = {}
-    simple = all(len(lines) <= 1 for cells in rows for lines, _ in cells)
-    for cells in rows:
-        at = 0
-        for lines, span in cells:
-            if span == 1 and lines:
-                widths[at] = max(widths.get(at, 0), len(lines[0]))
-            at += span
-    if not simple or sum(widths.values()) > MAX_TABLE_WIDTH:  # a layout table: its cells are blocks
-        for cells in rows:
-            for lines, _ in cells:
-                for line in lines:
-                    out.line = line
-                    if line:
-                        out.flush()
-                    else:
-                        out.gap = 1
-        return
-    for cells in rows:
-        text, at = "", 0
-        for lines, span in cells:
-            width = sum(widths.get(at + k, 0) + 2 for k in range(span)) - 2
-            text += (lines[0] if lines else "").ljust(width) + "  "
-            at += span
-        out.line = text
-        out.flush()
+    for row in rows:
+        for at, columns, lines in row:
+            if columns == 1:
+                widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
+    for row in rows:  # a cell over several columns widens the last of them if it needs more
+        for at, columns, lines in row:
+            if columns > 1 and at + columns < last:
+                lacking = max(map(len, lines), default=0) - sum(widths.get(at + k, 0) + 2 for k in range(columns)) + 2
+                if lacking > 0:
+                    widths[at + columns - 1] = widths.get(at + columns - 1, 0) + lacking
+    starts, left = [], 0
+    for k in range(last):
+        starts.append(left)
+        left += widths.get(k, 0) + 2
+    for row in rows:
+        for i in range(max((len(lines) for _, _, lines in row), default=0)):
+            text = ""
+            for at, _, lines in row:
+                if i < len(lines) and lines[i]:
+                    text = text.ljust(starts[at]) + lines[i] if len(text) <= starts[at] else f"{text}  {lines[i]}"
+            out.line = text
+            out.flush()
 
 
 def page_text(page: str) -> str:

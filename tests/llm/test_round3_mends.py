@@ -62,3 +62,52 @@ def test_sentence_ends_of_many_scripts(spark):
                                  "doc_id string, text string")
     got = {r.doc_id: (r.n_punctuation_lines, r.base_failed) for r in quality.quality_report(docs).collect()}
     assert all(got[k][0] == 0 for k in line) and got["bad"][0] == 8
+
+
+# ---------------------------------------------------------------- HTML
+def text(page):
+    from morphospark.llm import html_text
+
+    return html_text.page_text(page)
+
+
+def test_long_and_broken_cells_stay_in_their_columns():
+    long = " ".join(["word"] * 60)
+    got = text(f"<table><tr><td>a</td><td>b</td></tr><tr><td>{long}</td><td>x</td></tr><tr><td>c<br>d</td><td>e</td></tr></table>").split("\n")
+    assert got[0].split() == ["a", "b"] and got[0].index("b") == got[1].index("x")
+    assert " ".join(got[1:-2]).split().count("word") == 60 and max(map(len, got)) <= 90
+    assert got[-2].split() == ["c", "e"] and got[-2].index("e") == got[0].index("b") and got[-1] == "d"
+
+
+def test_last_column_is_not_wrapped():
+    long = " ".join(["word"] * 60)
+    assert text(f"<table><tr><td>a</td><td>{long}</td></tr></table>") == f"a  {long}"
+
+
+def test_rowspans_keep_columns():
+    got = text("<table><tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c</td></tr><tr><td>d</td><td>e</td></tr></table>").split("\n")
+    assert got == ["a  b", "   c", "d  e"]
+    got = text("<table><tr><td>a</td><td rowspan=0>b</td><td>c</td></tr><tr><td>d</td><td>e</td></tr></table>").split("\n")
+    assert got == ["a  b  c", "d     e"]
+    got = text("<table><tr><td colspan=2 rowspan=2>wide cell</td><td>x</td></tr><tr><td>y</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>").split("\n")
+    assert got[0].index("x") == got[1].index("y") == got[2].index("3") and got[2].split() == ["1", "2", "3"]
+
+
+def test_hidden_stays_hidden_below_the_depth_limit():
+    deep = "<div>" * 400
+    got = text(f"{deep}seen <div style='display:none'>gone <div>too <b>x</b></div> gone</div> back<script>no()</script>")
+    assert got.split() == ["seen", "back"]
+    assert text("<i>" * 100_000 + "end") == "end"
+
+
+def test_inputs_and_details():
+    assert text("<form><input value='Anna'><input type=text value=B><input type=hidden value=h><input type=password value=p>"
+                "<input type=checkbox value=c><input type=submit value=Go></form>").split() == ["Anna", "B", "Go"]
+    assert text("<details><summary>More</summary><p>inside</p></details>after") == "More\nafter"
+    assert text("<details open><summary>More</summary><p>inside</p></details>").split() == ["More", "inside"]
+
+
+def test_very_long_pages_are_read_whole():
+    page = "<table>" + "".join(f"<tr><td>{i}</td><td>{'x' * 300}</td></tr>" for i in range(5000)) + "</table>"
+    got = text(page).split("\n")
+    assert len(got) == 5000 and got[4999].split() == ["4999", "x" * 300]
