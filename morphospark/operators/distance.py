@@ -38,16 +38,29 @@ def distance_to_reference(fs: FeatureSet, ref: DataFrame, match_keys, out: str =
     return j.select(*[q(k) for k in fs.keys], F.sqrt(sum_of_squares(diffs)).alias(out))
 
 
+def row_correlation(x: Column, y: Column) -> Column:
+    """Pearson r of two arrays over the places where both have a value; null where one of them is constant."""
+    pairs = F.filter(F.zip_with(x, y, lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+                     lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+
+    def mean(values):
+        return F.try_divide(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v), F.size(values).cast("double"))
+
+    ma, mb = mean(F.transform(pairs, lambda p: p["a"])), mean(F.transform(pairs, lambda p: p["b"]))
+    sums = F.aggregate(pairs, F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb")),
+                       lambda acc, p: F.struct((acc["ab"] + (p["a"] - ma) * (p["b"] - mb)).alias("ab"),
+                                               (acc["aa"] + (p["a"] - ma) * (p["a"] - ma)).alias("aa"),
+                                               (acc["bb"] + (p["b"] - mb) * (p["b"] - mb)).alias("bb")))
+    return F.transform(F.array(sums), lambda s: s["ab"] / F.nullif(F.sqrt(s["aa"]) * F.sqrt(s["bb"]), F.lit(0.0)))[0]
+
+
 def correlation_to_reference(fs: FeatureSet, ref: DataFrame, match_keys, out: str = "correlation") -> DataFrame:
     """A16 re-aimed: Pearson r between each row profile and its reference
-    profile, across features (tall join on (match keys, feature))."""
-    from morphospark.operators.dose import pearson_r, tall_features
-
-    keys = list(fs.keys)
-    tall = tall_features(fs.df, keys, fs.features, "_feat", "_v")
-    rtall = tall_features(ref, list(match_keys), fs.features, "_feat", "_r")
-    j = tall.join(sized_broadcast(rtall), list(match_keys) + ["_feat"], "left")
-    return j.groupBy(*[q(k) for k in keys]).agg(pearson_r(F.col("_v"), F.col("_r")).alias(out))
+    profile, across features: one join with a row a match key, no shuffle of the rows."""
+    wide = ref.select(*[q(k) for k in match_keys], F.array(*[F.col(q(c)).cast("double") for c in fs.features]).alias("_ref"))
+    j = fs.df.join(sized_broadcast(wide), list(match_keys), "left")
+    own = F.array(*[F.col(q(c)).cast("double") for c in fs.features])
+    return j.select(*[q(k) for k in fs.keys], row_correlation(own, F.col("_ref")).alias(out))
 
 
 def centroid_distances(df: DataFrame, id_col: str, label: str, vec: str, out: str = "distance") -> DataFrame:

@@ -16,6 +16,7 @@ from morphospark.operators.aggregate import min_over_group
 from morphospark.operators.models import Classifier
 from morphospark.operators.ranking import balanced_heads, hash_order_key
 from morphospark.operators.reshape import pivot
+from morphospark.session import concurrently, shuffle_partitions, stage
 
 CONTROL = "Control"
 
@@ -88,7 +89,8 @@ def pairwise_similarity(fs: FeatureSet, label: str = "Drug", seed: int = 0, orde
                                       F.lit(1.0).alias("Similarity")))
             continue
         pair = hashed.filter(F.col(q(label)).isin(CONTROL, d))
-        train = balanced_heads(pair, label, ["_h"]).drop("_h")
+        # The heads come out of a window with as many partitions as labels; the fit wants them dealt out.
+        train = balanced_heads(pair, label, ["_h"]).drop("_h").repartition(shuffle_partitions(fs.df.sparkSession))
         clf = Classifier(FeatureSet(train, fs.keys, fs.features), label, seed=seed, **kw)
         long = clf.predict_proba_long(fs, keep=list(fs.keys), classes=[d]) \
             .withColumnRenamed("class", "Predicted Drug").withColumnRenamed("probability", "Similarity")
@@ -99,6 +101,22 @@ def pairwise_similarity(fs: FeatureSet, label: str = "Drug", seed: int = 0, orde
     return out
 
 
+def similarity_of_lines(fs: FeatureSet, operator, summary, line: str = "Cell", parallel: int = 2, **kw) -> DataFrame:
+    """``summary(operator(rows of one line))`` for every value of ``line``, the lines side by side."""
+    spark = fs.df.sparkSession
+    lines = sorted(r[0] for r in fs.df.select(q(line)).distinct().collect())
+
+    def one(value):
+        own = FeatureSet(fs.df.filter(F.col(q(line)) == value), fs.keys, fs.features)
+        return stage(summary(operator(own, **kw)), "similarity").withColumn(line, F.lit(value))  # a row a pair of labels
+
+    parts = concurrently(spark, lines, one, parallel, name=lambda v: f"similarity {v}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def similarity_summary(sim_long: DataFrame, truth: str = "Drug") -> DataFrame:
     """MM3 tail: off-diagonal pair means, symmetrised by the minimum."""
     return symmetrise_min(pair_mean(sim_long, truth=truth))

@@ -604,18 +604,17 @@ def q_classification_study_scores(spark, sf_dir):
 
 @register("pairwise_similarity")
 def q_pairwise_similarity(spark, sf_dir):
-    fs = scaled_organoids(spark, sf_dir)
-    sub = FeatureSet(fs.df.filter(F.col("Cell") == "ISO49"), fs.keys, fs.features)
-    long = SIM.pairwise_similarity(sub, "Drug", seed=0, num_trees=RF_TREES, max_depth=RF_DEPTH)
-    return stable(SIM.similarity_summary(long))
+    """MM3 for every cell line."""
+    return stable(SIM.similarity_of_lines(scaled_organoids(spark, sf_dir), SIM.pairwise_similarity, SIM.similarity_summary,
+                                          label="Drug", seed=0, num_trees=RF_TREES, max_depth=RF_DEPTH))
 
 
 @register("leave_one_out_similarity")
 def q_leave_one_out_similarity(spark, sf_dir):
-    fs = scaled_organoids(spark, sf_dir)
-    sub = FeatureSet(fs.df.filter(F.col("Cell") == "ISO49"), fs.keys, fs.features)
-    long = SIM.leave_one_out_similarity(sub, "Drug", seed=0, num_trees=RF_TREES, max_depth=RF_DEPTH)
-    return stable(SIM.pair_mean(long, exclude_self=False))
+    """MM2 for every cell line."""
+    return stable(SIM.similarity_of_lines(scaled_organoids(spark, sf_dir), SIM.leave_one_out_similarity,
+                                          lambda long: SIM.pair_mean(long, exclude_self=False),
+                                          label="Drug", seed=0, num_trees=RF_TREES, max_depth=RF_DEPTH))
 
 
 # --------------------------------------------------------------------------

@@ -98,3 +98,24 @@ def stage(df, name: str = "stage"):
     path = f"{base.rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def concurrently(spark: SparkSession, work, task, parallel: int = 4, name=str) -> list:
+    """Results of ``task`` over ``work``, in order; ``parallel`` of them submit jobs at a time.
+
+    Each runs in a thread with its own job group and scheduler pool, both called
+    ``name(item)``, so that independent small jobs share the executors instead
+    of waiting for one another, and one can be cancelled by itself.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    def one(item):
+        label = name(item)
+        spark.sparkContext.setJobGroup(label, label, interruptOnCancel=True)
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", label)
+        return task(item)
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        return list(pool.map(lambda item: inheritable_thread_target(spark)(one)(item), work))
