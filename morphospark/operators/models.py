@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from morphospark.featureset import FeatureSet, q
+from morphospark.operators.importance import permutation_importance  # noqa: F401  (MM25)
 from morphospark.operators.prefix import prefix_sums, tall_values
 from morphospark.operators.ranking import rank_in_group
+from morphospark.operators.ransac import ransac_inliers  # noqa: F401  (MM18)
 from morphospark.session import stage
 
 FEATURES_VEC = "_features"

@@ -583,12 +583,12 @@ def q_kmeans_on_pcs(spark, sf_dir):
 
 
 def _study(spark, sf_dir):
-    """MM5 over all cell lines, doses and drugs, medians in both orders, five folds in each half (run once a session)."""
+    """MM5 over all cell lines, doses and drugs, medians in hash order, three folds in each half (run once a session)."""
     from morphospark.plans.classification import classification_study
 
     return _memo(spark, sf_dir, "study", lambda: classification_study(
-        scaled_organoids(spark, sf_dir), None, None, variables=["Conc /uM", "Drug"], seed=0, cv=5,
-        num_trees=RF_TREES, max_depth=RF_DEPTH))
+        scaled_organoids(spark, sf_dir), None, None, variables=["Conc /uM", "Drug"], seed=0, cv=3,
+        population_names=["Median per Organoid unsorted"], num_trees=RF_TREES, max_depth=RF_DEPTH))
 
 
 @register("classification_study_drug")
