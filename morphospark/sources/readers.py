@@ -1,9 +1,9 @@
 """Read per-object / per-image tables.
 
 CSV exports are read by Spark from any path it can open.  Every file's own header
-is looked up first; files with one header are read together, and the tables of
-several headers are united by column name, so neither another column order nor a
-column that only some files have is read by position.  Columns that hold text
+is looked up first.  Files with one header are read together; tables of several
+headers are united by column name where that is asked for (as ``read_table``
+does) and are an error otherwise, so nothing is read by position.  Columns that hold text
 anywhere stay text, as in pandas; missing-value tokens and NaN
 become null once, at the source (R1).
 """
@@ -72,10 +72,13 @@ def headers(spark: SparkSession, path) -> dict[tuple[str, ...], list[str]]:
     return found
 
 
-def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, **schema_kw) -> DataFrame:
+def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, unite_headers: bool = False,
+             **schema_kw) -> DataFrame:
     """Rows of one or several CSV files; columns in the order of the first header that has them, null where a
     file has none.  A given ``schema`` saves the pass that finds the text columns."""
     groups = headers(spark, path)
+    if len(groups) > 1 and not unite_headers:
+        raise ValueError("the header differs between " + " and ".join(files[0] for files in list(groups.values())[:2]))
     names = list(schema.names) if schema else list(dict.fromkeys(c for header in groups for c in header))
     raw = None
     for header, files in groups.items():
@@ -110,7 +113,7 @@ def normalise_nan(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, **kw) -> DataFrame:
     fmt = fmt or ("csv" if _holds_csv(spark, path) else "parquet")
-    return read_csv(spark, path, **kw) if fmt == "csv" else read_parquet(spark, path)
+    return read_csv(spark, path, **({"unite_headers": True} | kw)) if fmt == "csv" else read_parquet(spark, path)
 
 
 def _holds_csv(spark: SparkSession, path: str) -> bool:

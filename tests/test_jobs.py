@@ -8,7 +8,7 @@ from morphospark.featureset import ORGANOID_KEYS, FeatureSet
 from morphospark.plans import catalog, jobs
 from morphospark.plans.classification import classification_study
 from morphospark.plans.dose_response import control_weights, prepared_dose_response, profiles, scaled_objects
-from morphospark.sources.readers import headers, read_csv
+from morphospark.sources.readers import headers, read_csv, read_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,7 +74,7 @@ def test_files_with_different_headers(spark, tmp_path):
     (tmp_path / "d.csv").write_text("ImageNumber,ObjectNumber,x,note\n4,1,5,no\n")
     found = headers(spark, str(tmp_path))
     assert sorted(len(v) for v in found.values()) == [1, 1, 2]
-    df = read_csv(spark, str(tmp_path))
+    df = read_table(spark, str(tmp_path))
     assert set(df.columns) == {"ImageNumber", "ObjectNumber", "x", "note", "extra, one"}
     got = {(r.ImageNumber, r.ObjectNumber): (r.x, r.note, r["extra, one"]) for r in df.collect()}
     assert got == {(1, 1): (1.5, "ok", None), (1, 2): (None, None, None), (2, 1): (2.5, "q, r", None),
