@@ -121,38 +121,31 @@ class Classifier:
 
 # ---------------------------------------------------------------- MM4
 def stratified_folds(df: DataFrame, label: str, order, k: int = 5, out: str = "fold") -> DataFrame:
-    """scikit-learn StratifiedKFold(shuffle=False) fold ids.
-
-    Classes sorted; class c holds positions [s_c, s_c+n_c) of the sorted
-    labels; fold sizes of c are the counts of those positions i with
-    i % k == f; within the class rows take folds in table order as
-    contiguous blocks.  Per-class ranks use the skew-safe rank_in_group.
+    """Fold ids of the unshuffled stratified rule.
+
+    Classes come in order of their first row, and class c holds the positions
+    [s_c, s_c + n_c) of the labels laid end to end in that order; its share of
+    fold f is the number of those positions i with i % k == f, and its rows, in
+    table order, take the folds as contiguous blocks.  The starts s_c are prefix
+    sums over a row a class and the ranks are skew-safe: any number of classes
+    will do.  Rows without a label are left out.
     """
+    from morphospark.operators.joins import sized_broadcast
     from morphospark.operators.ranking import _col
 
-    order_cols = [_col(c) for c in order]
-    # classes in order of first appearance (scikit-learn's encoding), one row per class
-    sizes = df.groupBy(q(label)).agg(F.count(F.lit(1)).alias("count"),
-                                     F.min(F.struct(*order_cols)).alias("_first")) \
-        .orderBy("_first").collect()
-    start, rows = 0, []
-    for r in sizes:
-        n_c = r["count"]
-        counts = [len(range((f - start) % k, n_c, k)) for f in range(k)]
-        cum, acc = [], 0
-        for cnt in counts:
-            acc += cnt
-            cum.append(acc)
-        rows.append((r[0], cum))
-        start += n_c
-    spark = df.sparkSession
-    dtype = df.schema[label].dataType
-    bounds = spark.createDataFrame(rows, T.StructType([T.StructField(label, dtype),
-                                                       T.StructField("_cum", T.ArrayType(T.LongType()))]))
-    ranked = rank_in_group(df, [label], order, out="_r")  # 1-based
-    j = ranked.join(F.broadcast(bounds), on=label)  # one row per class
-    fold = F.aggregate(F.col("_cum"), F.lit(0), lambda acc, c: acc + F.when(F.col("_r") > c, 1).otherwise(0))
-    return j.withColumn(out, fold).drop("_cum", "_r")
+    known = df.filter(F.col(q(label)).isNotNull())
+    sizes = known.groupBy(F.col(q(label)).alias("_class")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct(*[_col(c).alias(f"o{i}") for i, c in enumerate(order)])).alias("_at"))
+    starts = prefix_sums(sizes.select("_class", "_n", F.struct("_at", "_class").alias("_first")), [], "_first", ["_n"])
+    share = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.greatest(
+        F.lit(0), F.ceil((F.col("_n") - F.pmod(f - F.col("_n_before"), F.lit(k))) / F.lit(k))))
+    shares = sized_broadcast(starts.select("_class", share.alias("_share")))
+    ranked = rank_in_group(known, [label], [_col(c) for c in order], out="_r")  # 1-based
+    j = ranked.join(shares, ranked[q(label)] == shares["_class"])
+    walk = F.aggregate("_share", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).alias("fold")),
+                       lambda a, c: F.struct((a["upto"] + c).alias("upto"), (
+                           a["fold"] + F.when(F.col("_r") > a["upto"] + c, 1).otherwise(0)).alias("fold")))
+    return j.withColumn(out, walk["fold"]).drop("_class", "_share", "_r")
 
 
 def cross_val_accuracy(fs: FeatureSet, label: str, order, k: int = 5, seed: int = 0, **kw) -> dict:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from morphospark.featureset import FeatureSet, q
+from morphospark.plans import oracle_algebra as OA
 from morphospark.plans import oracle_sql as O
 from morphospark.plans.curate import curate_objects, median_per_organoid
 from morphospark.plans.dose_response import DISTANCE, distance_table, dose_response
@@ -82,7 +83,12 @@ def q_dose_response_ec50(spark, sf_dir):
     return stable(out.select("Drug", "Cell", *[q(c) for c in _LINE_COLS]))
 
 
-@register("dose_response_pvalue")
+@register("dose_response_pvalue", O.with_(O.OBJECTS, O.META, O.CELLS, O.ORGANOIDS, O.DIST, O.line_ctes(
+    "dist", "Drug, Cell", '"Conc /uM"', '"Euclidean distance"'), OA.t_tail_ctes("fit", "Drug, Cell")) + """
+SELECT Drug, Cell, n, round(m, 6) AS m, round(c, 6) AS c, round(R, 6) AS R, round(stderr, 6) AS stderr,
+       round(R * R, 6) AS R2, round(abs((0.5 - c) / nullif(m, 0)), 6) AS "EC50 /uM", round(2.58 * stderr, 6) AS CI,
+       round(abs((0.5 - c) / nullif(m, 0)) * (2.58 * stderr), 6) AS EC50_err, round(pvalue, 6) AS pvalue
+FROM fit LEFT JOIN tails USING (Drug, Cell)""")
 def q_dose_response_pvalue(spark, sf_dir):
     out = dose_response(organoids(spark, sf_dir), with_pvalue=True)
     return stable(out.select("Drug", "Cell", *[q(c) for c in _LINE_COLS], "pvalue"))
@@ -288,11 +294,13 @@ def q_yeo_johnson_fixed(spark, sf_dir):
     return stable(SC.apply_yeo_johnson(std, FIXED_LAMBDAS).select())
 
 
-@register("yeo_johnson_lambdas")
+@register("yeo_johnson_lambdas", _ORG + ",\nt AS " + O.tall("organoids", "ImageNumber", name="feature") + ",\n"
+          + OA.likelihood_peak_ctes("t") + '\nSELECT feature, round(lam, 3) AS "lambda" FROM peak')
 def q_yeo_johnson_lambdas(spark, sf_dir):
+    """MM7: the fitted exponents; three places, as the likelihood is flat at its peak."""
     fs = organoids(spark, sf_dir)
     lam = SC.fit_yeo_johnson(fs)
-    return spark.createDataFrame([(c, lam[c]) for c in fs.features], "feature string, lambda double")
+    return stable(spark.createDataFrame([(c, lam[c]) for c in fs.features], "feature string, lambda double"), 3)
 
 
 PROFILE_LAMBDAS = [-4 + 0.5 * k for k in range(21)]
@@ -568,10 +576,11 @@ def q_isolation_inliers(spark, sf_dir):
     return OUT.isolation_inliers(organoids(spark, sf_dir), seed=0).select()
 
 
-@register("pca_organoids")
+@register("pca_organoids", _ORG + "," + _std_sql() + ",\n" + OA.component_ctes("std", O.FEATURES, "pc") + "\n"
+          + OA.scores_sql("std", O.FEATURES, "pc", O.ORG_KEYS_SQL))
 def q_pca_organoids(spark, sf_dir):
     out, _ = M.pca(scaled_organoids(spark, sf_dir), k=2)
-    return out.select()
+    return stable(out.select())
 
 
 @register("kmeans_on_pcs")
@@ -932,7 +941,14 @@ def q_huber_dose_weights(spark, sf_dir):
     return spark.createDataFrame(sorted(w.items()), "feature string, weight double")
 
 
-@register("control_norm_weights")
+_CONTROL_NORM = (",\nctrl AS (SELECT *, sqrt(" + " + ".join(f"{c}*{c}" for c in O.FEATURES)
+                 + ") AS _norm FROM std WHERE Drug = 'Control'),\n"
+                 "ctrl2 AS (SELECT *, (SELECT median(_norm) FROM ctrl) AS _target FROM ctrl),\n"
+                 + OA.solve_ctes("ctrl2", O.FEATURES, "_target"))
+
+
+@register("control_norm_weights", _ORG + "," + _std_sql() + _CONTROL_NORM
+          + "\nSELECT feature, round(weight, 6) AS weight FROM ls")
 def q_control_norm_weights(spark, sf_dir):
     """MM19: control rows regressed (no intercept) onto their median norm."""
     fs = scaled_organoids(spark, sf_dir)
@@ -940,7 +956,7 @@ def q_control_norm_weights(spark, sf_dir):
     med = A.group_median(ctrl.withColumn("_all", F.lit(1)).withColumn("_norm", l2_norm(fs.features)),
                          ["_all"], ["_norm"]).first()["_norm"]
     w = M.no_intercept_weights(FeatureSet(ctrl, fs.keys, fs.features), F.lit(med))
-    return spark.createDataFrame(sorted(w.items()), "feature string, weight double")
+    return stable(spark.createDataFrame(sorted(w.items()), "feature string, weight double"))
 
 
 @register("ransac_inliers")
@@ -1123,3 +1139,6 @@ def q_dose_response_prepared(spark, sf_dir):
         name, medians = profiles(scaled, source, seed=0, num_trees=RF_TREES, max_depth=RF_DEPTH)
         out.append(dose_response(medians, with_pvalue=True).withColumn("Source", F.lit(name)))
     return stable(union_all(*out).select("Source", "Drug", "Cell", *[q(c) for c in _LINE_COLS], "pvalue"))
+
+
+from morphospark.plans import catalog_more  # noqa: E402,F401  (registers its queries here)
