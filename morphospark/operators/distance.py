@@ -19,6 +19,7 @@ from morphospark.functions.numeric import sum_of_squares
 from morphospark.operators.aggregate import group_median
 from morphospark.operators.joins import sized_broadcast
 from morphospark.operators.prefix import prefix_sums, tall_values
+from morphospark.session import stage
 
 
 def reference_profiles(fs: FeatureSet, match_keys, where: Column | None = None,
@@ -66,7 +67,8 @@ def correlation_to_reference(fs: FeatureSet, ref: DataFrame, match_keys, out: st
 def centroid_distances(df: DataFrame, id_col: str, label: str, vec: str, out: str = "distance") -> DataFrame:
     """J8 re-aimed on array profiles: distance of every vector to every class
     centroid (classes bounded; the centroid table is broadcast after a size
-    check and matched by an equi-join on the exploded class id)."""
+    check and matched by an equi-join on the exploded class id).  Where one row
+    a vector will do, ``nearest_centroid`` needs neither."""
     dims = df.select(F.size(vec)).first()[0]
     cent = df.groupBy(q(label)).agg(F.array(*[F.avg(F.col(vec)[i]) for i in range(dims)]).alias("_c"))
     classes = [r[0] for r in cent.select(q(label)).collect()]
@@ -79,6 +81,36 @@ def centroid_distances(df: DataFrame, id_col: str, label: str, vec: str, out: st
     return j.select(q(id_col), q(label), "centroid_label", d.alias(out))
 
 
+#: Centroids held as a model by ``nearest_centroid``: numbers of all classes together (16 MB).
+MODEL_NUMBERS = 2_000_000
+
+
+def nearest_centroid(df: DataFrame, id_col: str, label: str, vec: str) -> DataFrame:
+    """J8 re-aimed, a row a vector: its own class, the nearest class centroid (the first of equal ones) and the distance.
+
+    The centroids are a model of classes x dimensions numbers.  Up to
+    ``MODEL_NUMBERS`` they go with the task and every row is compared where it
+    lies, without a join; beyond, the rows meet the centroids one by one and the
+    nearest is kept by a map-side combined minimum.
+    """
+    known = df.filter(F.col(q(vec)).isNotNull())
+    parts = known.select(q(label), F.posexplode(vec).alias("_i", "_x")).groupBy(q(label), "_i").agg(F.avg("_x").alias("_x"))
+    cent = parts.groupBy(F.col(q(label)).alias("nearest")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("_c"))
+    cent = stage(cent, "centroids")
+    size = cent.agg(F.sum(F.size("_c"))).first()[0] or 0
+    if size > MODEL_NUMBERS:
+        each = centroid_distances(known, id_col, label, vec)
+        best = each.groupBy(q(id_col), q(label)).agg(F.min(F.struct("distance", "centroid_label")).alias("_b"))
+        return best.select(q(id_col), q(label), F.col("_b.centroid_label").alias("nearest"), F.col("_b.distance").alias("distance"))
+    model = cent.agg(F.array_sort(F.collect_list(F.struct("nearest", "_c"))).alias("_model"))
+    every = F.transform("_model", lambda m: F.struct(
+        F.sqrt(F.aggregate(F.zip_with(F.col(vec), m["_c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+                           lambda acc, x: acc + x)).alias("distance"), m["nearest"].alias("nearest")))
+    best = known.withColumn("_model", model.scalar()).withColumn("_b", F.array_min(every))
+    return best.select(q(id_col), q(label), F.col("_b.nearest").alias("nearest"), F.col("_b.distance").alias("distance"))
+
+
 def ks_two_sample(fs: FeatureSet, in_a: Column, in_b: Column) -> DataFrame:
     """Per feature D = max_v |F_A(v) - F_B(v)| (exact).
 

@@ -7,21 +7,23 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from morphospark.featureset import ORGANOID_KEYS, q
+from morphospark.featureset import ORGANOID_KEYS, FeatureSet, q
 from morphospark.functions.numeric import binarize, log10_dose
 from morphospark.operators import aggregate as A
 from morphospark.operators import columns as CO
 from morphospark.operators import distance as DIST
 from morphospark.operators import joins as J
 from morphospark.operators import models as M
+from morphospark.operators import ranking as RK
 from morphospark.operators import reshape as RS
 from morphospark.operators import rows as R
+from morphospark.operators import scale as SC
 from morphospark.plans import catalog as C
 from morphospark.plans import oracle_algebra as OA
 from morphospark.plans import oracle_sql as O
 from morphospark.plans.catalog import register, stable
 from morphospark.plans.curate import curate_objects, median_per_organoid
-from morphospark.session import ensure_checkpoint_dir
+from morphospark.session import concurrently, ensure_checkpoint_dir, stage
 from morphospark.sources import driver_tables as D
 from morphospark.sources.readers import read_csv
 from morphospark.sources.writers import write_table, write_without_null_columns
@@ -264,3 +266,95 @@ def q_pca_of_populations(spark, sf_dir):
     from morphospark.plans.classification import pca_variants
 
     return stable(pca_variants(None, C.organoids(spark, sf_dir), _DOSE))
+
+
+# --------------------------------------------------------------------------
+# Wide profiles: 64 features of the embeddings (J8, A2, MM8, MM13, A16)
+# --------------------------------------------------------------------------
+_DIMS = 64
+_WIDE = [f"f{i:02d}" for i in range(_DIMS)]
+_WIDE_SQL = "WITH wide AS (SELECT vec_id, CAST(label AS VARCHAR) AS Drug, " + ", ".join(
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(_WIDE)) + " FROM embeddings)"
+_WIDE_MEDIANS = ", ".join(f"median({c}) AS {c}" for c in _WIDE)
+
+
+def _wide(spark, sf_dir) -> FeatureSet:
+    return FeatureSet(D.embeddings_wide(spark, sf_dir, _DIMS), ("vec_id", "Drug"), tuple(_WIDE))
+
+
+@register("wide_medians", _WIDE_SQL + f" SELECT Drug, {', '.join(f'round(median({c}), 6) AS {c}' for c in _WIDE)} FROM wide GROUP BY Drug")
+def q_wide_medians(spark, sf_dir):
+    """A2 over 64 features: the median profile of each label."""
+    return stable(A.group_median(_wide(spark, sf_dir).df, ["Drug"], _WIDE))
+
+
+@register("wide_standard_scaled", _WIDE_SQL + " SELECT vec_id, Drug, " + ", ".join(
+    f"round({O.zscore_sql(c)}, 6) AS {c}" for c in _WIDE) + " FROM wide")
+def q_wide_standard_scaled(spark, sf_dir):
+    """MM8 over 64 features: one aggregate for all means and deviations."""
+    return stable(SC.standard_scale(_wide(spark, sf_dir)).select())
+
+
+@register("wide_anova_f", _WIDE_SQL + ",\nt AS (UNPIVOT wide ON " + ", ".join(_WIDE) + """ INTO NAME feature VALUE _v),
+g AS (SELECT feature, Drug, count(*) AS n, avg(_v) AS m, var_pop(_v) AS v FROM t GROUP BY ALL),
+a AS (SELECT feature, avg(_v) AS mu, count(*) AS nt FROM t GROUP BY feature)
+SELECT feature, round((sum(n * (m - mu) * (m - mu)) / (count(*) - 1)) / nullif(sum(n * v) / (any_value(nt) - count(*)), 0), 6)
+       AS F FROM g JOIN a USING (feature) GROUP BY feature""")
+def q_wide_anova_f(spark, sf_dir):
+    """MM13 over 64 features."""
+    return stable(M.anova_f(_wide(spark, sf_dir), "Drug"))
+
+
+@register("wide_distance_to_own_median", _WIDE_SQL + f""",
+ref AS (SELECT Drug, {_WIDE_MEDIANS} FROM wide GROUP BY Drug)
+SELECT w.vec_id, w.Drug, round(sqrt(""" + " + ".join(f"(w.{c} - r.{c}) * (w.{c} - r.{c})" for c in _WIDE)
+          + "), 6) AS distance FROM wide w JOIN ref r ON w.Drug = r.Drug")
+def q_wide_distance_to_own_median(spark, sf_dir):
+    """J9 over 64 features: distance of each profile to the median profile of its label."""
+    fs = _wide(spark, sf_dir)
+    return stable(DIST.distance_to_reference(fs, DIST.reference_profiles(fs, ["Drug"]), ["Drug"]))
+
+
+@register("embedding_nearest_centroid", """WITH x AS (SELECT vec_id, CAST(label AS VARCHAR) AS Drug, CAST(embedding AS DOUBLE[]) AS v
+  FROM embeddings),
+e AS (SELECT Drug, unnest(v) AS _x, unnest(range(0, len(v))) AS i FROM x),
+m AS (SELECT Drug, i, avg(_x) AS _x FROM e GROUP BY ALL),
+c AS (SELECT Drug AS nearest, list(_x ORDER BY i) AS c FROM m GROUP BY Drug),
+d AS (SELECT x.vec_id, x.Drug, c.nearest, list_distance(x.v, c.c) AS distance FROM x, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, nearest) AS rn FROM d)
+SELECT vec_id, Drug, nearest, round(distance, 6) AS distance FROM r WHERE rn = 1""")
+def q_embedding_nearest_centroid(spark, sf_dir):
+    """J8, a row a profile: the class centroid nearest to it."""
+    return stable(DIST.nearest_centroid(D.embeddings_profiles(spark, sf_dir), "vec_id", "Drug", "features"))
+
+
+# --------------------------------------------------------------------------
+# Other estimators (MM24)
+# --------------------------------------------------------------------------
+@register("logistic_class_totals", _ORG + """
+SELECT Drug, count(*) AS n, true AS totals_met FROM organoids GROUP BY Drug""")
+def q_logistic_class_totals(spark, sf_dir):
+    """MM24 logistic regression on all medians: at the largest likelihood the probabilities of a class add up to
+    its rows; ``totals_met`` says whether they do, to one row in a thousand."""
+    fs = C.scaled_organoids(spark, sf_dir)
+    clf = M.Classifier(fs, "Drug", estimator="logistic_regression")
+    sums = clf.predict_proba_long(fs, keep=("ImageNumber",)).groupBy(F.col("class").alias("Drug")).agg(
+        F.sum("probability").alias("_p"))
+    n = fs.df.groupBy("Drug").agg(F.count(F.lit(1)).alias("n"))
+    total = fs.df.count()
+    return n.join(sums, "Drug").select("Drug", "n", (F.abs(F.col("_p") - F.col("n")) <= 0.001 * total).alias("totals_met"))
+
+
+@register("linear_estimators_holdout")
+def q_linear_estimators_holdout(spark, sf_dir):
+    """MM24: logistic regression, linear support vectors and a perceptron, fitted on the first half in hash order and
+    scored on the other."""
+    fs = C.scaled_organoids(spark, sf_dir)
+    flagged = stage(RK.split_flag_ordered(fs.df.withColumn("_h", C._org_hash()), ["_h"]), "halves")
+    train, test = (FeatureSet(flagged.filter(F.col("is_train") == flag), fs.keys, fs.features) for flag in (True, False))
+    n_test, classes = test.df.count(), train.df.select("Drug").distinct().count()
+    settings = {"logistic_regression": {}, "linear_svc": {"max_iter": 10},
+                "mlp": {"layers": [len(fs.features), 8, classes + 1], "max_iter": 60}}
+    rows = concurrently(spark, list(settings), lambda name: (
+        name, n_test, M.Classifier(train, "Drug", estimator=name, seed=0, **settings[name]).score(test)), 3)
+    return stable(spark.createDataFrame(rows, "estimator string, n_test long, accuracy double"))

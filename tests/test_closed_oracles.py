@@ -82,3 +82,33 @@ def test_label_grid(spark):
     assert sparse == {("a", "a"): 1, ("a", "b"): 2, ("c", "a"): 1}
     assert RP.confusion_counts(df, "t", "p", classes=["a", "z"]).count() == 4
     assert RP.confusion_counts(df.limit(0), "t", "p").count() == 0
+
+
+def test_broadcast_is_checked_by_bytes(spark):
+    from morphospark.operators.joins import row_bytes, sized_broadcast
+
+    wide = spark.range(1000).select("id", F.repeat(F.lit("x"), 1000).alias("t"), F.array_repeat(F.lit(1.0), 50).alias("v"))
+    got = wide.agg(F.avg(row_bytes(wide)).alias("w")).first().w
+    assert 1400 < got < 1600
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(sized_broadcast(wide)) and not hinted(sized_broadcast(wide, max_bytes=1_000_000))
+    assert not hinted(sized_broadcast(wide, max_rows=999)) and hinted(sized_broadcast(wide.limit(0)))
+
+
+def test_nearest_centroid_both_ways(spark, monkeypatch):
+    from morphospark.operators import distance as DIST
+
+    rows = [(1, "a", [0.0, 0.0]), (2, "a", [0.0, 2.0]), (3, "b", [9.0, 9.0]), (4, "b", [0.0, 1.0]), (5, "c", None)]
+    df = spark.createDataFrame(rows, "i long, y string, v array<double>")
+    # centroids: a (0, 1), b (4.5, 5)
+    want = {1: ("a", 1.0), 2: ("a", 1.0), 3: ("b", math.hypot(4.5, 4)), 4: ("a", 0.0)}
+
+    def got():
+        out = DIST.nearest_centroid(df, "i", "y", "v")
+        return {r.i: (r.nearest, pytest.approx(r.distance)) for r in out.collect()}
+
+    assert got() == want
+    plan = DIST.nearest_centroid(df, "i", "y", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    monkeypatch.setattr(DIST, "MODEL_NUMBERS", 3)
+    assert got() == want
