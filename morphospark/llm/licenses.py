@@ -25,7 +25,7 @@ from .common import text_or_empty
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
-#: The base phrases and their labels.
+#: The base phrases and their labels where a caller names none.
 BASE = {
     "the mit license": "mit",
     "apache license version 2": "apache-2",
@@ -140,9 +140,9 @@ class Automaton:
                 self._redirect(p, t, q, c)
         return cur
 
-    def statistics(self, words):
+    def statistics(self, words, least: int = MIN_MATCH):
         """(end, state, length) wherever a stretch of template words cannot be carried on, and at every word
-        of at least ``MIN_MATCH`` matched words; words outside the templates cost one lookup each."""
+        of at least ``least`` matched words; words outside the templates cost one lookup each."""
         nxt, link, length = self.next, self.link, self.length
         known = nxt[0]
         s = n = 0
@@ -155,18 +155,20 @@ class Automaton:
                 n = length[s]
             s = nxt[s][w]
             n += 1
-            if n >= MIN_MATCH:
+            if n >= least:
                 yield i + 1, s, n
 
 
 class Scanner:
-    def __init__(self):
-        named = [(label, tokens(p), True) for p, label in BASE.items()]
+    def __init__(self, phrases=BASE):
+        named = [(label, tokens(p), True) for p, label in phrases.items()]
         named += [(label, tokens(t), False) for label, texts in TEMPLATES.items() for t in texts]
         self.labels = [x[0] for x in named]
         self.sizes = [len(x[1]) for x in named]
         a = self.automaton = Automaton([x[1] for x in named])
-        n_base = len(BASE)
+        n_base = len(phrases)
+        #: Shorter phrases than a stretch that counts are reported too.
+        self.least = min([MIN_MATCH, *self.sizes[:n_base]])
         #: Base phrases that a state's longest string is, and those that end in every string of the state.
         self.whole = [[k for k, at in e if k < n_base and at == self.sizes[k] == a.length[s]]
                       for s, e in enumerate(a.ends)]
@@ -179,10 +181,10 @@ class Scanner:
         """Base places (start, label) and template spans (label, start, end, covered share)."""
         places, runs = [], {}
         sizes, labels, length = self.sizes, self.labels, self.automaton.length
-        for end, state, n in self.automaton.statistics(words):
+        for end, state, n in self.automaton.statistics(words, self.least):
             here = self.inside[state] + self.whole[state] if n == length[state] else self.inside[state]
             places += [(end - sizes[k], labels[k]) for k in here]
-            for k, at in self.long[state]:
+            for k, at in self.long[state] if n >= MIN_MATCH else ():
                 own = runs.setdefault(k, [])
                 # The stretch [end - n, end) is template words [at - n, at); one that goes on replaces its start.
                 if own and own[-1][1] == end - 1 and own[-1][3] == at - 1:
@@ -219,15 +221,23 @@ class Scanner:
         return out
 
 
-_SCANNER: list[Scanner] = []
+_SCANNERS: dict[tuple, Scanner] = {}
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Digest columns of every row, and ``spans``: label:first word:end word:share of each covered template."""
+def scan(docs: DataFrame, phrases: dict[str, str] | None = None) -> DataFrame:
+    """Digest columns of every row, and ``spans``: label:first word:end word:share of each covered template.
+
+    ``phrases`` are the base phrases and their labels (``BASE`` by default); each has a word at least.
+    """
+    phrases = dict(BASE if phrases is None else phrases)
+    if not all(tokens(p) for p in phrases):
+        raise ValueError("a base phrase has no word")
+
     def run(batches):
-        if not _SCANNER:
-            _SCANNER.append(Scanner())
-        scanner = _SCANNER[0]
+        key = tuple(phrases.items())
+        if key not in _SCANNERS:
+            _SCANNERS[key] = Scanner(phrases)
+        scanner = _SCANNERS[key]
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
