@@ -39,20 +39,31 @@ def distance_to_reference(fs: FeatureSet, ref: DataFrame, match_keys, out: str =
     return j.select(*[q(k) for k in fs.keys], F.sqrt(sum_of_squares(diffs)).alias(out))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda's argument is not written into its uses, as Catalyst
+    does with columns."""
+    return F.transform(F.array(value), body)[0]
+
+
 def row_correlation(x: Column, y: Column) -> Column:
     """Pearson r of two arrays over the places where both have a value; null where one of them is constant."""
-    pairs = F.filter(F.zip_with(x, y, lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-                     lambda p: p["a"].isNotNull() & p["b"].isNotNull())
-
     def mean(values):
         return F.try_divide(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v), F.size(values).cast("double"))
 
-    ma, mb = mean(F.transform(pairs, lambda p: p["a"])), mean(F.transform(pairs, lambda p: p["b"]))
-    sums = F.aggregate(pairs, F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb")),
-                       lambda acc, p: F.struct((acc["ab"] + (p["a"] - ma) * (p["b"] - mb)).alias("ab"),
-                                               (acc["aa"] + (p["a"] - ma) * (p["a"] - ma)).alias("aa"),
-                                               (acc["bb"] + (p["b"] - mb) * (p["b"] - mb)).alias("bb")))
-    return F.transform(F.array(sums), lambda s: s["ab"] / F.nullif(F.sqrt(s["aa"]) * F.sqrt(s["bb"]), F.lit(0.0)))[0]
+    def sums(m):
+        zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"))
+        return F.aggregate(m["pairs"], zero, lambda acc, p: F.struct(
+            (acc["ab"] + (p["a"] - m["ma"]) * (p["b"] - m["mb"])).alias("ab"),
+            (acc["aa"] + (p["a"] - m["ma"]) * (p["a"] - m["ma"])).alias("aa"),
+            (acc["bb"] + (p["b"] - m["mb"]) * (p["b"] - m["mb"])).alias("bb")))
+
+    def of(pairs):
+        means = F.struct(pairs.alias("pairs"), mean(F.transform(pairs, lambda p: p["a"])).alias("ma"),
+                         mean(F.transform(pairs, lambda p: p["b"])).alias("mb"))
+        return _let(_let(means, sums), lambda s: s["ab"] / F.nullif(F.sqrt(s["aa"]) * F.sqrt(s["bb"]), F.lit(0.0)))
+
+    return _let(F.filter(F.zip_with(x, y, lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+                         lambda p: p["a"].isNotNull() & p["b"].isNotNull()), of)
 
 
 def correlation_to_reference(fs: FeatureSet, ref: DataFrame, match_keys, out: str = "correlation") -> DataFrame:
