@@ -24,3 +24,11 @@ def test_row_correlation_pairs_the_arrays_once(spark):
     got = {r.i: r.r for r in df.collect()}
     assert all(abs(got[i] - np.corrcoef(x, y)[0, 1]) < 1e-12 for i, x, y in rows[:20])
     assert got[20] is None and abs(got[21] - np.corrcoef([1, 2, 4], [1, 3, 4])[0, 1]) < 1e-12
+
+
+def test_tasks_of_a_fit_are_bounded_by_rows(spark, monkeypatch):
+    df = spark.range(0, 4000, 1, 2).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("string").alias("y"))
+    monkeypatch.setattr(models, "FIT_ROWS", 100)
+    parts = models.dealt(df).rdd.glom().map(len).collect()
+    assert sum(parts) == 4000 and len(parts) == 40 and max(parts) <= 110
+    assert models.Classifier(FeatureSet(df, (), ("x",)), "y", num_trees=2, max_depth=2).classes == ["0", "1"]
