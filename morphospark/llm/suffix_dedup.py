@@ -53,6 +53,8 @@ BLOCK = 1 << 20
 #: Bytes of stretches for one part of the index, and batches in which a table is indexed.
 PART_BYTES = 1 << 18
 BATCHES = 4
+#: Bytes of a row group of a level's table; a level has a row of up to megabytes a part.
+GROUP_BYTES = 16 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _LOW = np.uint64(BLOCK * 2 - 1)
@@ -215,55 +217,52 @@ def _in(sorted_s: np.ndarray, s: np.ndarray) -> np.ndarray:
     return sorted_s[at] == s
 
 
-_LEVEL = ("part bigint, body binary, place array<int>, owner array<int>, off array<int>, s1 array<bigint>, "
-          "s2 array<bigint>, a array<int>")
+_KINDS = {"place": np.int32, "size": np.int32, "a": np.int32, "s1": np.int64, "s2": np.int64}
+_LEVEL = "part bigint, body binary, " + ", ".join(f"{c} binary" for c in _KINDS)
 _HIT = "s1 bigint, s2 bigint, lo int, hi int"
-_LISTS = {"place": pa.int32(), "owner": pa.int32(), "off": pa.int32(), "s1": pa.int64(), "s2": pa.int64(),
-          "a": pa.int32()}
+_FIELDS = "s1: bigint, s2: bigint, lo: int, hi: int"
 
 
 class Level:
-    """The suffix array of one part: text, places in the order of their suffixes, and for each its stretch
-    (``owner``, an index into s1, s2 and a) and its offset from the anchor."""
+    """The suffix array of one part: the bodies of its stretches end to end, and places there in the order of their
+    suffixes.  A stretch has a size, an anchor offset a and a name s1, s2; a place tells its stretch by the sizes."""
 
-    def __init__(self, text, place, owner, off, s1, s2, a):
-        self.text, self.place, self.owner, self.off = text, place, owner, off
-        self.s1, self.s2, self.a = s1, s2, a
+    def __init__(self, text, place, size, a, s1, s2):
+        self.text, self.place, self.size, self.a, self.s1, self.s2 = text, place, size, a, s1, s2
         self.strings = _strings(text, place)
 
     @classmethod
     def build(cls, t: pa.Table):
         rows = list(zip(*(t.column(c).to_pylist() for c in ("body", "a", "p", "q"))))
-        text, place, owner, off = _windows(rows)
+        text, place, _, _ = _windows(rows)
         order = np.argsort(_strings(text, place), kind="stable")
-        return cls(text, place[order], owner[order], off[order], *(t.column(c).to_numpy() for c in ("s1", "s2", "a")))
+        return cls(text, place[order], np.array([len(r[0]) for r in rows], np.int64),
+                   *(t.column(c).to_numpy() for c in ("a", "s1", "s2")))
 
     @classmethod
     def load(cls, batch, i):
         text = np.frombuffer(batch.column("body")[i].as_buffer(), np.uint8)
-        return cls(text, *(batch.column(c)[i].values.to_numpy() for c in _LISTS))
+        return cls(text, *(np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in _KINDS.items()))
 
     @classmethod
     def merge(cls, x, y):
         """Both arrays are sorted, so the places of one in the other give the order of the two."""
         at = np.searchsorted(x.strings, y.strings, "right")
-        both = [np.insert(getattr(x, c).astype(np.int64), at, getattr(y, c).astype(np.int64) + shift)
-                for c, shift in (("place", len(x.text)), ("owner", len(x.s1)), ("off", 0))]
-        return cls(np.concatenate([x.text, y.text]), *both,
-                   *(np.concatenate([getattr(x, c), getattr(y, c)]) for c in ("s1", "s2", "a")))
+        place = np.insert(x.place.astype(np.int64), at, y.place.astype(np.int64) + len(x.text))
+        return cls(np.concatenate([x.text, y.text]), place,
+                   *(np.concatenate([getattr(x, c), getattr(y, c)]) for c in ("size", "a", "s1", "s2")))
 
     def table(self, part) -> pa.Table:
-        def one(values, kind):
-            values = pa.array(np.asarray(values), kind)
-            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
         return pa.table({"part": pa.array([part], pa.int64()), "body": pa.array([self.text.tobytes()], pa.binary()),
-                         **{c: one(getattr(self, c), t) for c, t in _LISTS.items()}})
+                         **{c: pa.array([np.asarray(getattr(self, c)).astype(t).tobytes()], pa.binary())
+                            for c, t in _KINDS.items()}})
 
     def hits(self, which) -> pa.Table:
         """Byte ranges, relative to their stretch, of the windows in ``which``."""
-        owner = self.owner[which]
-        s1, s2, lo = self.s1[owner], self.s2[owner], self.a[owner].astype(np.int64) - self.off[which]
+        place = self.place[which].astype(np.int64)
+        ends = np.cumsum(self.size, dtype=np.int64)
+        owner = np.searchsorted(ends, place, "right")
+        s1, s2, lo = self.s1[owner], self.s2[owner], place - (ends - self.size)[owner]
         order = np.lexsort((lo, s2, s1))
         s1, s2, lo = s1[order], s2[order], lo[order]
         new = np.concatenate(([True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]) | (lo[1:] > lo[:-1] + 1)))[:len(lo)]
@@ -286,17 +285,15 @@ class SuffixIndex:
     def add(self, batch: DataFrame, last: bool = False) -> list[DataFrame]:
         """Index a batch of stretches (part, s1, s2, a, body, p, q); hits within it and against all earlier ones."""
         def build(key, t):
-            return Level.build(t).table(key[0].as_py())
+            x = Level.build(t)
+            own = x.hits(_equal_next(x.strings)).to_struct_array().combine_chunks()
+            own = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+            return x.table(key[0].as_py()).append_column("own", own)
 
         self.n += 1
         label = f"level{self.n}"
-        fresh = self.ws.stage(batch.groupBy("part").applyInArrow(build, _LEVEL), label)
-
-        def own(batches):
-            for b in batches:
-                for i in range(b.num_rows):
-                    x = Level.load(b, i)
-                    yield from x.hits(_equal_next(x.strings)).to_batches()
+        built = self._staged(batch.groupBy("part").applyInArrow(build, f"{_LEVEL}, own array<struct<{_FIELDS}>>"), label)
+        fresh = built.drop("own")
 
         def scan(left, right):
             if not left.num_rows or not right.num_rows:
@@ -304,7 +301,7 @@ class SuffixIndex:
             x, y = Level.load(left, 0), Level.load(right, 0)
             return pa.concat_tables([x.hits(_in(y.strings, x.strings)), y.hits(_in(x.strings, y.strings))])
 
-        hits = [fresh.mapInArrow(own, _HIT)]
+        hits = [built.select(F.inline("own"))]
         for _, _, level in self.levels:
             hits.append(fresh.groupBy("part").cogroup(level.groupBy("part")).applyInArrow(scan, _HIT))
         hits = [self.ws.stage(x, f"hits{self.n}_{i}") for i, x in enumerate(hits)]
@@ -317,11 +314,14 @@ class SuffixIndex:
         while not last and len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, old, x), (m, new, y) = self.levels[-2:]
             both = f"{old}_{new}"
-            merged = self.ws.stage(x.unionByName(y).groupBy("part").applyInArrow(merge, _LEVEL), both)
+            merged = self._staged(x.unionByName(y).groupBy("part").applyInArrow(merge, _LEVEL), both)
             self.ws.drop(old, new)
             self.levels[-2:] = [(n + m, both, merged)]
         return hits
 
+    def _staged(self, level: DataFrame, label: str) -> DataFrame:
+        return self.ws.stage(level, label, GROUP_BYTES)
+
     def close(self):
         self.ws.drop(*[label for _, label, _ in self.levels])
 
