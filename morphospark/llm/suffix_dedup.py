@@ -39,6 +39,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -337,25 +338,27 @@ def _grouped(rows: DataFrame, ws: Workspace, part_bytes: int):
     """Stretches with a group id whose bytes fit a part, ranges of windows settled by counting alone, and the
     labels of the staged tables that both read.
 
-    A group starts as all stretches of an anchor with all their windows; one
-    that is too large is halved by window offset, and stretches are regrouped by
-    the bytes that the windows of their half share.
+    A group starts as all stretches of an anchor with all their windows, and
+    ends here if it has one only; one that is too large is halved by window
+    offset, and stretches are regrouped by the bytes that the windows of their
+    half share.  A turn leaves one table, so that its files stay few.
     """
     widest = MATCH - GRAM + 1
     rows = rows.withColumns({"p": F.lit(0), "q": F.lit(widest), "core": F.lit("")})
     ready, counted, labels = [], [], []
     key = ["h", "p", "q", "core"]
     for turn in range(12):
-        labels += [f"turn{turn}", f"sizes{turn}"]
-        rows = ws.stage(rows, f"turn{turn}")
-        sizes = rows.groupBy(*key).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter("n > 1")
-        sizes = ws.stage(sizes.select(*key, (F.col("bytes") > part_bytes).alias("large")), f"sizes{turn}")
-        joined = rows.join(sizes, key)
+        labels.append(f"turn{turn}")
+        # Kept for the one join, so that it has a shuffle of its own on both sides and Spark can split a large group.
+        sizes = rows.groupBy(*key).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter("n > 1").select(
+            *key, (F.col("bytes") > part_bytes).alias("large")).persist(StorageLevel.DISK_ONLY)
+        joined = ws.stage(rows.join(sizes, key), f"turn{turn}")
+        sizes.unpersist()
         ready.append(joined.filter(~F.col("large") & (F.col("q") - F.col("p") > 1)).drop("large"))
         # One window offset left: the group is the window, and it has two or more members.
         counted.append(joined.filter("q - p = 1").select(
             "s1", "s2", (F.col("a") - F.col("p")).alias("lo"), (F.col("a") - F.col("p") + MATCH).alias("hi")))
-        if not sizes.filter("large and q - p > 1").limit(1).count():
+        if not joined.filter("large and q - p > 1").limit(1).count():
             break
         half = F.expr("p + (q - p) div 2").cast("int")
         big = joined.filter("large and q - p > 1").drop("large").withColumn("half", F.explode(F.array(
@@ -367,25 +370,29 @@ def _grouped(rows: DataFrame, ws: Workspace, part_bytes: int):
     return ready, counted, labels
 
 
+#: Staged tables that the ranges are read from.
+RANGES = ("placed", "own", "counted")
+
+
 def removed_ranges(texts: DataFrame, ws: Workspace, batches: int = BATCHES,
                    part_bytes: int = PART_BYTES) -> DataFrame:
-    """k1, k2, lo, hi: byte ranges of the distinct texts (k1, k2, text, copies) that stand elsewhere too."""
+    """k1, k2, lo, hi: byte ranges of the distinct texts (k1, k2, text, copies) that stand elsewhere too.
+
+    They are joined as they are read, from the tables named in ``RANGES`` and the hits.
+    """
     anchors = ws.stage(_anchors(texts), "anchors")
     each = anchors.select("k1", "k2", F.explode("hs").alias("h"))
-    # Staged, so that the join has a shuffle of its own on both sides and Spark can split a frequent anchor.
-    often = ws.stage(each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
+    # Kept, so that the join has a shuffle of its own on both sides and Spark can split a frequent anchor.
+    often = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h").persist(StorageLevel.DISK_ONLY)
     wanted = each.join(often, "h").groupBy("k1", "k2").agg(F.collect_set("h").alias("hs"))
-    wanted = ws.stage(wanted, "wanted")
-    ws.drop("anchors", "often")
     placed = ws.stage(_placed(texts.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select(
         "k1", "k2", "text", "copies", "hs")), "placed")
-    ws.drop("wanted")
+    often.unpersist()
+    ws.drop("anchors")
     own = placed.groupBy("h", "a", "s1", "s2", "size").agg(
         F.sum("copies").alias("n"), F.min("body").alias("body"), F.min(F.pmod("k1", F.lit(batches))).alias("batch"))
     own = ws.stage(own, "own")
-    several = ws.stage(own.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "several")
-    ready, counted, labels = _grouped(own.join(several, "h").select("h", "s1", "s2", "a", "size", "body", "batch"), ws,
-                              part_bytes)
+    ready, counted, labels = _grouped(own.select("h", "s1", "s2", "a", "size", "body", "batch"), ws, part_bytes)
     groups = ready[0]
     for x in ready[1:]:
         groups = groups.unionByName(x)
@@ -398,7 +405,7 @@ def removed_ranges(texts: DataFrame, ws: Workspace, batches: int = BATCHES,
     for x in counted[1:]:
         singles = singles.unionByName(x)
     singles = ws.stage(singles, "counted")
-    ws.drop("several", *labels)
+    ws.drop(*labels)
     index, hits = SuffixIndex(ws), []
     if held:
         for b in range(batches):
@@ -408,9 +415,8 @@ def removed_ranges(texts: DataFrame, ws: Workspace, batches: int = BATCHES,
         settled = settled.unionByName(x)
     ranges = placed.select("s1", "s2", "k1", "k2", "start").join(settled, ["s1", "s2"]).select(
         "k1", "k2", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    ranges = ws.stage(ranges, "ranges")
     index.close()
-    ws.drop("placed", "own", "groups", "counted")
+    ws.drop("groups")
     return ranges
 
 
@@ -462,6 +468,6 @@ def dedup(docs: DataFrame, batches: int = BATCHES, part_bytes: int = PART_BYTES)
     cut = ws.stage(_cut(texts.join(per_text.hint("shuffle_hash"), ["k1", "k2"], "left").select(
         "k1", "k2", "text", "copies", "ranges")), "cut")
     spark.sql(f"DROP TABLE {name}")
-    ws.drop("texts", "ranges")
+    ws.drop("texts", *RANGES)
     return rows.select("doc_id", "k1", "k2").join(cut, ["k1", "k2"]).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
