@@ -163,3 +163,24 @@ def test_elimination_drops_planted_noise_first(spark):
     got = curve.collect()
     assert len(got) == 9 and {r.dropped for r in got if r.n_features == 3} == {"noise"}
     assert "noise" not in kept and all(0.5 < r.accuracy <= 1 for r in got)
+
+
+def test_a_row_an_open_node_reaches_the_driver(moons):
+    """Not one a candidate: the best split of a node is found where its counts meet."""
+    train, _ = moons
+    model = ensembles.bagged_trees(train, "y", ["id"], thresholds=8, trees=3, max_depth=2)
+    rows = train.df.selectExpr("u f0", "v f1", "w f2", "if(y = 'a', 0, 1) y", "id s")
+    for tree in model.trees:
+        tree.__init__()
+    front = [(t, 0, [(j % 3, j / 10 - 1.0) for j in range(20 + t)], None) for t in range(3)]
+    found = model._counts(rows, front, 2, 24, False)
+    got = rows.collect()
+    x, y = np.array([r[:3] for r in got]), np.array([r.y for r in got])
+    assert sorted(found) == [(0, 0), (1, 0), (2, 0)]
+    for t, _, candidates, _ in front:
+        sides = [np.array([np.bincount(y[(x[:, f] > at) == side], minlength=2) for side in (False, True)]) for f, at in candidates]
+        gains = [sum((s ** 2).sum() / s.sum() for s in both) if both.sum(axis=1).all() else 0 for both in sides]
+        j, _, counts = found[t, 0]
+        assert j == int(np.argmax(gains)) and counts.tolist() == sides[j].tolist()
+    ends = model._ranges(rows, [(0, 0, [2, 0])], 2, False)
+    assert ends == {(0, 0): ([x[:, 2].min(), x[:, 0].min()], [x[:, 2].max(), x[:, 0].max()])}
