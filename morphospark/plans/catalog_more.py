@@ -353,8 +353,7 @@ def q_linear_estimators_holdout(spark, sf_dir):
     flagged = stage(RK.split_flag_ordered(fs.df.withColumn("_h", C._org_hash()), ["_h"]), "halves")
     train, test = (FeatureSet(flagged.filter(F.col("is_train") == flag), fs.keys, fs.features) for flag in (True, False))
     n_test, classes = test.df.count(), train.df.select("Drug").distinct().count()
-    settings = {"logistic_regression": {}, "linear_svc": {"max_iter": 10},
-                "mlp": {"layers": [len(fs.features), 8, classes + 1], "max_iter": 60}}
+    settings = {"logistic_regression": {}, "linear_svc": {}, "mlp": {"layers": [len(fs.features), 8, classes + 1]}}
     rows = concurrently(spark, list(settings), lambda name: (
         name, n_test, M.Classifier(train, "Drug", estimator=name, seed=0, **settings[name]).score(test)), 3)
     return stable(spark.createDataFrame(rows, "estimator string, n_test long, accuracy double"))
